@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import at_least, clip, share
 from ..functions.physical import building_age, log_area, tidy_category
+from ..session import cut_lineage
 from ..schemas import METER_CODES, has_columns, numeric_columns
 from .quantiles import grouped_stats
-from .skew import HOT_ROWS, first_per_key
+from .skew import HOT_ROWS, first_per_key, needs_split
 from .windows import fill_gaps
 
 VALUE = "meter_reading"
@@ -128,9 +129,16 @@ def zero_shares(df: DataFrame, value: str = VALUE) -> DataFrame:
     return df.groupBy("building_id").agg(share(F.col(value) == 0).alias("zero_pct"))
 
 
-def exclude_buildings(df: DataFrame, excluded: DataFrame) -> DataFrame:
-    """Rows of all other buildings."""
-    return df.join(excluded.select("building_id"), "building_id", "left_anti")
+def exclude_buildings(df: DataFrame, excluded: DataFrame, salts: int = 64) -> DataFrame:
+    """Rows of all other buildings.
+
+    Neither list has a known size, so no side is broadcast by force. The rows of a building are spread over ``salts``
+    tasks, with as many copies of each excluded id.
+    """
+    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != "building_id"]), F.lit(salts))
+    copies = excluded.select("building_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+    kept = df.withColumn("__salt", spread.cast("int")).join(copies, ["building_id", "__salt"], "left_anti")
+    return kept.select(*df.columns)
 
 
 def drop_high_missing(df: DataFrame, threshold: float = 0.90, value: str = VALUE) -> DataFrame:
@@ -171,8 +179,8 @@ def handle_outliers(
 ) -> DataFrame:
     """Clip to the bounds, remove rows outside (and missing ones), or add an is_outlier flag."""
     bounds = outlier_bounds(df, method, multiplier, value, **options)
-    low = bounds.select("lower_bound").scalar()
-    high = bounds.select("upper_bound").scalar()
+    both = bounds.select(F.struct("lower_bound", "upper_bound")).scalar()
+    low, high = both["lower_bound"], both["upper_bound"]
     v = F.col(value)
     if action == "clip":
         return df.withColumn(value, clip(v, low, high))
@@ -183,9 +191,11 @@ def handle_outliers(
     raise ValueError(f"unknown outlier action {action!r}")
 
 
-def clean_weather(df: DataFrame, max_gap: int = 2, method: str = "both", limit: int = HOT_ROWS) -> DataFrame:
+def clean_weather(
+    df: DataFrame, max_gap: int = 2, method: str = "both", limit: int = HOT_ROWS, split: bool | None = None
+) -> DataFrame:
     """Fill short gaps of every numeric weather column per site."""
-    return fill_gaps(df, numeric_columns(df, ["site_id"]), ["site_id"], max_gap, method, limit=limit)
+    return fill_gaps(df, numeric_columns(df, ["site_id"]), ["site_id"], max_gap, method, limit=limit, split=split)
 
 
 def clean_metadata(df: DataFrame, reference_year: int, strict: bool = True) -> DataFrame:
@@ -211,11 +221,16 @@ def clean_long(
     remove_high_zeros: bool = True,
     max_zero: float = 0.95,
     check_missing: bool = True,
+    split: bool | None = None,
 ) -> DataFrame:
-    """The exploratory cleaner: sparse buildings, negatives, gaps, outliers, buildings of zeros."""
+    """The exploratory cleaner: sparse buildings, negatives, gaps, outliers, buildings of zeros.
+
+    The filled readings are checkpointed: the bounds, the clipping and the shares of zeros each need a pass over them.
+    """
+    split = needs_split(df, ["building_id"], split=split)
     if check_missing:
         df = drop_high_missing(df, max_missing)
     df = handle_negatives(df, negative_action, drop_nulls)
-    df = fill_gaps(df, [VALUE], ["building_id"], max_gap, "both")
+    df = cut_lineage(fill_gaps(df, [VALUE], ["building_id"], max_gap, "both", split=split))
     df = handle_outliers(df, outlier_method, multiplier, outlier_action)
     return drop_high_zero(df, max_zero) if remove_high_zeros else df

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import matches, split_hot
+from .skew import matches, needs_split, split_hot
 
 QUANTILE_ROWS = 1_000_000
 _ACCURACY = 10_000
@@ -112,6 +112,7 @@ def grouped_stats(
     value: str,
     quantiles: Mapping[str, float],
     limit: int = QUANTILE_ROWS,
+    split: bool | None = None,
     cells: int = _CELLS,
 ) -> DataFrame:
     """One row per group: the given (mergeable) aggregates and the named exact quantiles of ``value``.
@@ -120,24 +121,30 @@ def grouped_stats(
     """
     if not keys:
         one = df.withColumn("__all", F.lit(1))
-        return grouped_stats(one, ["__all"], aggregates, value, quantiles, limit, cells).drop("__all")
+        return grouped_stats(one, ["__all"], aggregates, value, quantiles, limit, split, cells).drop("__all")
     keys = list(keys)
     names, probs = list(quantiles), list(quantiles.values())
+    exact = [F.percentile(value, p).alias(name) for name, p in quantiles.items()]
+    if not needs_split(df, keys, limit, split):
+        return df.groupBy(*keys).agg(*aggregates, *exact)
     cold, hot = split_hot(df, keys, limit)
-    plain = cold.groupBy(*keys).agg(
-        *aggregates, *[F.percentile(value, p).alias(name) for name, p in quantiles.items()]
-    )
+    plain = cold.groupBy(*keys).agg(*aggregates, *exact)
     located = (
         _hot_quantiles(hot, keys, value, probs, cells)
         .groupBy(*[F.col(k).alias("__b_" + k) for k in keys])
         .agg(*[F.max(F.when(F.col("__q") == i, F.col("__v"))).alias(name) for i, name in enumerate(names)])
     )
-    base = hot.groupBy(*keys).agg(*aggregates)
+    base = hot.groupBy(*keys).agg(*aggregates) if aggregates else hot.select(*keys).distinct()
     big = base.join(located, matches(keys, "__b_"), "left").select(*base.columns, *names)
     return plain.unionByName(big)
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float], limit: int = QUANTILE_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    quantiles: Mapping[str, float],
+    limit: int = QUANTILE_ROWS,
+    split: bool | None = None,
 ) -> DataFrame:
-    return grouped_stats(df, keys, [F.count(value).alias("count")], value, quantiles, limit).drop("count")
+    return grouped_stats(df, keys, [], value, quantiles, limit, split)

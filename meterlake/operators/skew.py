@@ -1,9 +1,8 @@
 """Grouped work that stays balanced when one group holds a large share of all rows.
 
-Groups up to ``limit`` rows go through the ordinary Spark operator. Larger ("hot") groups are found by a
-map-side-combined count. There can be at most ``total rows / limit`` of them, which is what bounds the lists that
-are broadcast here. Nothing runs until the caller's action: everything is part of one lazy plan, and where no group is
-hot, adaptive execution drops the hot branch as empty.
+Groups up to ``limit`` rows go through the ordinary Spark operator. Whether there are larger ("hot") ones is checked
+with a map-side-combined count, unless the caller says so with ``split``. There can be at most ``total rows / limit`` of
+them, which is what bounds the lists of hot groups that are broadcast here.
 """
 
 from __future__ import annotations
@@ -33,6 +32,14 @@ def hot_groups(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> Dat
     return sizes.filter(F.col("__rows") > limit).select(*_renamed(keys, "__hot_"), "__rows")
 
 
+def needs_split(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS, split: bool | None = None) -> bool:
+    """Whether some group has more than ``limit`` rows: one counting job, or the caller's own knowledge.
+
+    A chain of operators on the same groups needs only one check, at its start, as long as no step adds rows.
+    """
+    return split if split is not None else not hot_groups(df, keys, limit).isEmpty()
+
+
 def split_hot(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """(rows of ordinary groups, rows of hot groups)."""
     hot = F.broadcast(hot_groups(df, keys, limit).drop("__rows"))
@@ -111,6 +118,7 @@ def over_groups(
     forward: int = 0,
     time_col: str = "timestamp",
     limit: int = HOT_ROWS,
+    split: bool | None = None,
 ) -> DataFrame:
     """Apply row-framed window expressions per group.
 
@@ -118,6 +126,8 @@ def over_groups(
     ahead. Ordinary groups use one window partition each; hot groups are cut into runs of days, each with enough border
     rows for the frames, so the result is the same. ``order`` must start with ``time_col``.
     """
+    if not needs_split(df, groups, limit, split):
+        return build(df, Window.partitionBy(*groups).orderBy(*order))
     cold, hot = split_hot(df, groups, limit)
     plain = build(cold, Window.partitionBy(*groups).orderBy(*order))
     chunks = chunk_rows(hot, groups, time_col, back, forward, limit)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
-from .skew import HOT_ROWS, chunk_rows, matches, over_groups, split_hot
+from .skew import HOT_ROWS, chunk_rows, matches, needs_split, over_groups, split_hot
 
 LAG_HOURS = (1, 24, 168)
 DIFF_HOURS = (1, 24)
@@ -47,6 +47,7 @@ def add_temporal_features(
     order: Sequence[str] = ("timestamp",),
     align: str = "rows",
     limit: int = HOT_ROWS,
+    split: bool | None = None,
 ) -> DataFrame:
     """All requested features in one select over one window: a single shuffle and sort.
 
@@ -69,8 +70,10 @@ def add_temporal_features(
             ],
         )
 
-    out = over_groups(df, group_cols, order, build, back=reach, time_col=order[0], limit=limit) if reach else df
-    return add_expanding_features(out, target, expanding, group_cols, order, limit) if expanding else out
+    if reach and expanding:
+        split = needs_split(df, group_cols, limit, split)
+    out = over_groups(df, group_cols, order, build, reach, 0, order[0], limit, split) if reach else df
+    return add_expanding_features(out, target, expanding, group_cols, order, limit, split) if expanding else out
 
 
 def add_lag_features(df, target="meter_reading", hours=LAG_HOURS, group_cols=("building_id",), **options) -> DataFrame:
@@ -92,6 +95,7 @@ def add_expanding_features(
     group_cols: Sequence[str] = ("building_id",),
     order: Sequence[str] = ("timestamp",),
     limit: int = HOT_ROWS,
+    split: bool | None = None,
 ) -> DataFrame:
     """Statistics of all earlier rows of the group.
 
@@ -100,10 +104,12 @@ def add_expanding_features(
     wanted = [name for name in functions if name in _AGGREGATES]
     names = {name: f"{target}_expanding_{name}" for name in wanted}
     groups = list(group_cols)
-    cold, hot = split_hot(df, groups, limit)
-
     past = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    plain = cold.select("*", *[_AGGREGATES[name](target).over(past).alias(names[name]) for name in wanted])
+    expanded = [_AGGREGATES[name](target).over(past).alias(names[name]) for name in wanted]
+    if not needs_split(df, groups, limit, split):
+        return df.select("*", *expanded)
+    cold, hot = split_hot(df, groups, limit)
+    plain = cold.select("*", *expanded)
 
     chunks = chunk_rows(hot, groups, order[0], rows=limit).drop("__own")
     x = F.col(target)
@@ -161,6 +167,7 @@ def fill_gaps(
     method: str = "both",
     order: Sequence[str] = ("timestamp",),
     limit: int = HOT_ROWS,
+    split: bool | None = None,
 ) -> DataFrame:
     """Carry the last known value forward over at most ``max_gap`` rows, then the next one backward likewise."""
     if method not in ("forward", "backward", "both"):
@@ -176,7 +183,7 @@ def fill_gaps(
             frame = frame.withColumns({c: F.first(c, ignorenulls=True).over(w_ahead) for c in columns})
         return frame
 
-    filled = over_groups(df, group_cols, order, build, max_gap, max_gap, order[0], limit)
+    filled = over_groups(df, group_cols, order, build, max_gap, max_gap, order[0], limit, split)
     return filled.select(*df.columns)
 
 
@@ -194,6 +201,7 @@ def add_weather_rolling(
     windows: Sequence[int] = (24, 72),
     group_cols: Sequence[str] = ("site_id",),
     limit: int = HOT_ROWS,
+    split: bool | None = None,
 ) -> DataFrame:
     """Moving averages including the current hour, and the deviation from the first of them.
 
@@ -204,6 +212,6 @@ def add_weather_rolling(
         means = {f"{column}_rolling_{n}h": F.avg(column).over(w.rowsBetween(1 - n, 0)) for n in windows}
         return frame.select("*", *[mean.alias(name) for name, mean in means.items()])
 
-    rolled = over_groups(weather, group_cols, ["timestamp"], build, back=max(windows) - 1, limit=limit)
+    rolled = over_groups(weather, group_cols, ["timestamp"], build, max(windows) - 1, limit=limit, split=split)
     first = windows[0]
     return rolled.withColumn(f"{column}_diff_{first}h_mean", F.col(column) - F.col(f"{column}_rolling_{first}h"))
