@@ -3,7 +3,7 @@
 
 def load():
     """(queries, SQL) by name."""
-    from . import reports, tables  # noqa: F401
+    from . import modelling, reports, tables  # noqa: F401
     from .registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES
