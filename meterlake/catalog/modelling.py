@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.calendar import add_calendar_features, add_extended_calendar, add_profile_calendar
-from ..functions.columns import at_least
+from ..functions.columns import at_least, pearson
 from ..models import baselines, boosted, linear, metrics, regimes
 from ..models.additive import AdditiveModel, fit_additive
 from ..operators import features, joins, splits, windows
@@ -504,7 +504,7 @@ def target_encoded_use(spark, sf):
 def feature_correlation(spark, sf):
     """Input of a correlation heat map."""
     pairs = (("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_discount", "l_tax"))
-    return rounded(views.table(spark, sf, "lineitem").agg(*[F.corr(a, b).alias(f"{a}_{b}") for a, b in pairs]))
+    return rounded(views.table(spark, sf, "lineitem").agg(*[pearson(F.col(a), F.col(b)).alias(f"{a}_{b}") for a, b in pairs]))
 
 
 # --- clients ---------------------------------------------------------------------------------------------------------
@@ -585,7 +585,7 @@ score AS (SELECT client, sqrt(avg(pow(ln(1 + greatest(l_extendedprice, 0)) - ln(
 )
 def client_round_scores(spark, sf):
     """Train on each client's first 80 %, score the rest, average the drawn clients per round."""
-    rows = _client_rows(spark, sf)
+    rows = cut_lineage(_client_rows(spark, sf))
     models = cut_lineage(linear.fit_groups(rows.filter("is_train"), ["l_quantity"], "l_extendedprice", "client"))
     scored = linear.predict_groups(rows.filter("not is_train"), models, ["l_quantity"], "client")
     scores = metrics.evaluate(scored, "l_extendedprice", "prediction", ["client"])
@@ -605,7 +605,7 @@ tall AS (SELECT 'per_site' AS regime, l_extendedprice AS y, a + b * l_quantity A
     + f"SELECT regime, {_metrics('y', 'p', 3)} FROM tall GROUP BY 1",
 )
 def regime_comparison(spark, sf):
-    rows = _client_rows(spark, sf)
+    rows = cut_lineage(_client_rows(spark, sf))
     return rounded(regimes.compare_regimes(rows.filter("is_train"), rows.filter("not is_train"), ["l_quantity"], "l_extendedprice", "client", 0.0), 3)
 
 

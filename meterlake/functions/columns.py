@@ -47,3 +47,10 @@ def any_of(conditions: Iterable[Column]) -> Column:
 def share(condition: Column) -> Column:
     """Percentage of rows for which the condition holds."""
     return F.count_if(condition) / F.count(F.lit(1)) * 100.0
+
+
+def pearson(a: Column, b: Column) -> Column:
+    """Correlation over the rows where both are present; NULL without spread, where corr() fails in ANSI mode."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return ratio(F.covar_pop(x, y), F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y)))

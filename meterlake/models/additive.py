@@ -8,16 +8,18 @@ with the features. A prediction is the intercept plus the contributions, each of
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.ml.feature import Bucketizer, VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+MAX_BINS = 6000
+
 
 @dataclass
 class AdditiveModel:
@@ -122,48 +124,85 @@ def bin_features(df: DataFrame, features: Sequence[str], edges: dict[str, list[f
     return out.drop(*[f"__x_{f}" for f in cut])
 
 
-def _indicator(index: Column, size: int) -> Column:
-    """One-hot array of the given size."""
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (i == index.cast("int")).cast("double"))
-
-
-def _fit_terms(binned: DataFrame, target: str, terms: dict[str, tuple[Column, int]], penalty: float):
-    """Joint ridge fit of all one-hot terms: (intercept, contributions per term), each term centred on training rows."""
-    indexed = binned.select(target, *[index.cast("int").alias(f"__t{i}") for i, (index, _) in enumerate(terms.values())])
-    pieces = [
-        array_to_vector(_indicator(F.col(f"__t{i}"), size)).alias(f"__v{i}") for i, (_, size) in enumerate(terms.values())
-    ]
-    vectors = indexed.select(target, *pieces)
-    assembled = VectorAssembler(inputCols=[f"__v{i}" for i in range(len(terms))], outputCol="features").transform(vectors)
-    model = LinearRegression(
-        featuresCol="features", labelCol=target, regParam=penalty, elasticNetParam=0.0, standardization=False
-    ).fit(assembled.select("features", target))
-
-    tall = F.array(*[F.struct(F.lit(i).alias("t"), F.col(f"__t{i}").alias("b")) for i in range(len(terms))])
-    counts = indexed.select(F.explode(tall).alias("c")).groupBy("c.t", "c.b").count().collect()
-    weights = {term: [0.0] * size for term, (_, size) in terms.items()}
-    names = list(terms)
-    for row in counts:
-        weights[names[row["t"]]][row["b"]] = float(row["count"])
-
-    intercept, shapes, at = float(model.intercept), {}, 0
-    for term, (_, size) in terms.items():
-        values = [float(v) for v in model.coefficients.toArray()[at : at + size]]
-        total = sum(weights[term])
-        mean = sum(v * w for v, w in zip(values, weights[term])) / total if total else 0.0
-        shapes[term] = [v - mean for v in values]
-        intercept, at = intercept + mean, at + size
+def _offsets(sizes: Sequence[int]) -> list[int]:
+    return [0, *np.cumsum(sizes).tolist()]
+
+
+def normal_sums(rows: DataFrame, target: str, terms: dict[str, tuple[Column, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Bin co-occurrence counts of all terms, and the target summed per bin.
+
+    These are the normal equations of the one-hot design. Each task counts with numpy, the cluster adds up the non-zero
+    cells, and the driver gets at most (number of bins) squared of them.
+    """
+    sizes = [size for _, size in terms.values()]
+    at, total = _offsets(sizes), sum(sizes)
+    if total > MAX_BINS:
+        raise ValueError(f"{total} bins in all terms together; at most {MAX_BINS} are supported")
+    names = [f"t{i}" for i in range(len(sizes))]
+    coded = rows.select(target, *[index.cast("int").alias(n) for n, (index, _) in zip(names, terms.values())])
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gram, sums = np.zeros((total, total)), np.zeros(total)
+        for batch in batches:
+            y = batch[target].to_numpy()
+            codes = [batch[n].to_numpy() for n in names]
+            for i, size in enumerate(sizes):
+                sums[at[i] : at[i + 1]] += np.bincount(codes[i], y, size)
+                for j in range(i, len(sizes)):
+                    cells = np.bincount(codes[i] * sizes[j] + codes[j], minlength=size * sizes[j])
+                    gram[at[i] : at[i + 1], at[j] : at[j + 1]] += cells.reshape(size, sizes[j])
+        flat = np.concatenate([gram.ravel(), sums])
+        used = np.flatnonzero(flat)
+        yield pd.DataFrame({"pos": used, "v": flat[used]})
+
+    added = coded.mapInPandas(partial, "pos bigint, v double").groupBy("pos").agg(F.sum("v").alias("v")).toPandas()
+    flat = np.zeros(total * total + total)
+    flat[added["pos"].to_numpy()] = added["v"].to_numpy()
+    upper = flat[: total * total].reshape(total, total)
+    return upper + np.triu(upper, 1).T, flat[total * total :]
+
+
+def _fit_terms(rows: DataFrame, target: str, terms: dict[str, tuple[Column, int]], penalty: float):
+    """Joint ridge fit of all one-hot terms: (intercept, contributions per term, rows per bin).
+
+    Each term is centred on the training rows; the intercept is not penalised.
+    """
+    gram, sums = normal_sums(rows, target, terms)
+    at = _offsets([size for _, size in terms.values()])
+    counts = np.diag(gram)
+    n, y = counts[: at[1]].sum(), sums[: at[1]].sum()
+    system = np.block([[np.array([[n]]), counts[None, :]], [counts[:, None], gram + penalty * n * np.eye(len(gram))]])
+    solution = np.linalg.solve(system, np.concatenate([[y], sums]))
+    intercept, shapes, weights = float(solution[0]), {}, {}
+    for i, term in enumerate(terms):
+        values, held = solution[1 + at[i] : 1 + at[i + 1]], counts[at[i] : at[i + 1]]
+        mean = float(values @ held / n)
+        shapes[term], weights[term] = (values - mean).tolist(), held.tolist()
+        intercept += mean
     return intercept, shapes, weights
 
 
 def score_pairs(binned: DataFrame, residual: Column, edges: dict[str, list[float]], pairs, bins: int) -> DataFrame:
     """(pair, gain): squared error explained by the cell means of each pair of features."""
-    cells = F.array(
-        *[F.struct(F.lit(i).alias("pair"), _cell(edges, a, b, bins).alias("cell")) for i, (a, b) in enumerate(pairs)]
-    )
-    tall = binned.select(residual.alias("r"), F.explode(cells).alias("c")).select("r", "c.*")
-    sums = tall.groupBy("pair", "cell").agg(F.sum("r").alias("s"), F.count("r").alias("n"))
-    return sums.groupBy("pair").agg(F.sum(F.col("s") * F.col("s") / F.col("n")).alias("gain"))
+    cells = (bins + 1) ** 2
+    names = sorted({f for pair in pairs for f in pair})
+    coded = binned.select(residual.alias("r"), *[_coarse(edges, f, bins).alias(f"c{i}") for i, f in enumerate(names)])
+    places = [(f"c{names.index(a)}", f"c{names.index(b)}") for a, b in pairs]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, counts = np.zeros((len(places), cells)), np.zeros((len(places), cells))
+        for batch in batches:
+            r = batch["r"].to_numpy()
+            for i, (a, b) in enumerate(places):
+                cell = batch[a].to_numpy() * (bins + 1) + batch[b].to_numpy()
+                sums[i] += np.bincount(cell, r, cells)
+                counts[i] += np.bincount(cell, minlength=cells)
+        pair, cell = np.nonzero(counts)
+        yield pd.DataFrame({"pair": pair, "cell": cell, "s": sums[pair, cell], "n": counts[pair, cell]})
+
+    parts = coded.mapInPandas(partial, "pair bigint, cell bigint, s double, n double")
+    added = parts.groupBy("pair", "cell").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return added.groupBy("pair").agg(F.sum(F.col("s") * F.col("s") / F.col("n")).alias("gain"))
 
 
 def fit_additive(

@@ -17,7 +17,9 @@ from ..operators.skew import lookup_join
 from ..operators.splits import seeded_key
 from ..session import cut_lineage
 
-_FLUSH_GROUPS = 2048
+# Up to this many products per group, the sums are plain Spark aggregates; beyond it numpy adds them up per task.
+_JVM_PRODUCTS = 120
+_FLUSH_GROUPS = 4096
 
 
 def standardise(df: DataFrame, features: Sequence[str], moments: DataFrame | None = None) -> DataFrame:
@@ -40,46 +42,72 @@ def feature_moments(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def gram_sums(df: DataFrame, features: Sequence[str], target: str, key: str) -> DataFrame:
-    """(key, pos, s): the flattened sum over rows of z zᵀ with z = (1, features..., target). NULL rows are left out."""
-    features = list(features)
-    complete = df.select(F.col(key).cast("string").alias("key"), *[F.col(c).cast("double").alias(c) for c in [*features, target]])
+    """(key, g): the upper triangle, row by row, of the sum of z zᵀ with z = (1, features..., target).
+
+    Rows with a NULL are left out. Either way only partial sums are shuffled.
+    """
+    names = [*features, target]
+    complete = df.select(F.col(key).cast("string").alias("key"), *[F.col(c).cast("double").alias(c) for c in names])
     complete = complete.na.drop("any")
+    size = len(names) + 1
+    if size * (size + 1) // 2 <= _JVM_PRODUCTS:
+        z = [F.lit(1.0), *[F.col(c) for c in names]]
+        products = [F.sum(z[i] * z[j]) for i in range(size) for j in range(i, size)]
+        return complete.groupBy("key").agg(F.array(*products).alias("g"))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, np.ndarray] = {}
-
-        def drain() -> pd.DataFrame:
-            out = pd.DataFrame({"key": list(sums), "g": [m.ravel() for m in sums.values()]})
-            sums.clear()
-            return out
-
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for name, rows in batch.groupby("key", sort=False):
-                z = np.column_stack([np.ones(len(rows)), rows[features].to_numpy(), rows[target].to_numpy()])
-                product = z.T @ z
-                sums[name] = sums[name] + product if name in sums else product
-            if len(sums) >= _FLUSH_GROUPS:
-                yield drain()
-        if sums:
-            yield drain()
+            z = [np.ones(len(batch)), *[batch[c].to_numpy() for c in names]]
+            groups, code = np.unique(batch["key"].to_numpy(dtype=object), return_inverse=True)
+            sums = [
+                np.bincount(code, z[i] * z[j], len(groups)) for i in range(size) for j in range(i, size)
+            ]
+            held.append((groups, np.column_stack(sums)))
+            if sum(len(g) for g, _ in held) > _FLUSH_GROUPS:
+                held = [_merge(held)]
+                if len(held[0][0]) > _FLUSH_GROUPS // 2:
+                    yield _frame(held.pop())
+        if held:
+            yield _frame(_merge(held))
 
     parts = complete.mapInPandas(partial, "key string, g array<double>")
-    cells = parts.select("key", F.posexplode("g").alias("pos", "v"))
-    return cells.groupBy("key", "pos").agg(F.sum("v").alias("s"))
+    return _matrices(parts.select("key", F.posexplode("g").alias("pos", "s")))
+
 
+def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Add up the rows of equal keys."""
+    groups, code = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    total = np.zeros((len(groups), parts[0][1].shape[1]))
+    np.add.at(total, code, np.concatenate([m for _, m in parts]))
+    return groups, total
 
-def _matrices(sums: DataFrame) -> DataFrame:
-    """(key, g): one flattened matrix of fixed size per key."""
+
+def _frame(part: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
+    return pd.DataFrame({"key": part[0], "g": list(part[1])})
+
+
+def _matrices(cells: DataFrame) -> DataFrame:
+    """(key, g) from (key, pos, s): summed per position, then one array of fixed size per key."""
+    summed = cells.groupBy("key", "pos").agg(F.sum("s").alias("s"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "s")))
-    return sums.groupBy("key").agg(F.transform(ordered, lambda c: c["s"]).alias("g"))
+    return summed.groupBy("key").agg(F.transform(ordered, lambda c: c["s"]).alias("g"))
+
+
+def _square(triangle: np.ndarray) -> np.ndarray:
+    """The full symmetric matrix of an upper triangle."""
+    size = int((np.sqrt(8 * triangle.size + 1) - 1) / 2)
+    m = np.zeros((size, size))
+    m[np.triu_indices(size)] = triangle
+    return m + np.triu(m, 1).T
 
 
-def _solve(gram: np.ndarray, penalty: float) -> np.ndarray:
-    """Ridge solution for one matrix of sums; the intercept is not penalised."""
-    size = int(round(np.sqrt(gram.size)))
-    m = gram.reshape(size, size)
+def _solve(triangle: np.ndarray, penalty: float) -> np.ndarray:
+    """Ridge solution for one set of sums; the intercept is not penalised."""
+    m = _square(triangle)
     a, b = m[:-1, :-1].copy(), m[:-1, -1]
-    a[np.arange(1, size - 1), np.arange(1, size - 1)] += penalty
+    inner = np.arange(1, len(a))
+    a[inner, inner] += penalty
     return np.linalg.lstsq(a, b, rcond=None)[0]
 
 
@@ -92,7 +120,7 @@ def fit_groups(
     def solve(g: pd.Series) -> pd.Series:
         return g.map(lambda flat: _solve(np.asarray(flat), penalty))
 
-    fitted = _matrices(gram_sums(df, features, target, client))
+    fitted = gram_sums(df, features, target, client)
     return fitted.select(
         F.col("key").alias(client),
         F.get("g", F.lit(0)).cast("bigint").alias("n"),
@@ -198,8 +226,8 @@ def tune_ridge(
     def of(role: str) -> DataFrame:
         ranges = folds.select("fold", f"{role}_from", f"{role}_to")
         inside = F.col("month").between(F.col(f"{role}_from"), F.col(f"{role}_to"))
-        summed = monthly.join(F.broadcast(ranges), inside).groupBy("fold", "pos").agg(F.sum("s").alias("s"))
-        return _matrices(summed.withColumnRenamed("fold", "key")).select(F.col("key").alias("fold"), F.col("g").alias(role))
+        cells = monthly.join(F.broadcast(ranges), inside).select(F.col("fold").alias("key"), F.posexplode("g").alias("pos", "s"))
+        return _matrices(cells).select(F.col("key").alias("fold"), F.col("g").alias(role))
 
     pairs = of("train").join(of("test"), "fold")
     pairs = pairs.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
@@ -207,11 +235,8 @@ def tune_ridge(
     @F.pandas_udf("double")
     def test_sse(train: pd.Series, test: pd.Series, alpha: pd.Series) -> pd.Series:
         def one(g, t, a):
-            beta = _solve(np.asarray(g), a)
-            size = beta.size + 1
-            m = np.asarray(t).reshape(size, size)
-            z = np.append(-beta, 1.0)
-            return max(float(z @ m @ z), 0.0)
+            z = np.append(-_solve(np.asarray(g), a), 1.0)
+            return max(float(z @ _square(np.asarray(t)) @ z), 0.0)
 
         return pd.Series([one(g, t, a) for g, t, a in zip(train, test, alpha)])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio
+from ..functions.columns import pearson, ratio
 from ..operators.joins import meter_pairs
 from ..operators.quantiles import grouped_stats
 
@@ -65,7 +65,7 @@ def pair_correlations(df: DataFrame) -> DataFrame:
     """Mean over shared buildings of the Pearson correlation of two meter types."""
     both = meter_pairs(df).filter(F.col("reading_1").isNotNull() & F.col("reading_2").isNotNull())
     per_building = both.groupBy("meter_1", "meter_2", "building_id").agg(
-        F.corr("reading_1", "reading_2").alias("c"),
+        pearson(F.col("reading_1"), F.col("reading_2")).alias("c"),
         F.count(F.lit(1)).alias("n"),
         (F.min("reading_1") < F.max("reading_1")).alias("moves_1"),
         (F.min("reading_2") < F.max("reading_2")).alias("moves_2"),

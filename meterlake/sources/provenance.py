@@ -26,11 +26,12 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
 def _sha256(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Hash files in blocks, so that a task's memory does not depend on the file size."""
     import hashlib
+    from urllib.parse import quote
 
     from pyarrow import fs
 
     def digest(path: str) -> str:
-        system, inner = fs.FileSystem.from_uri(path)
+        system, inner = fs.FileSystem.from_uri(quote(path, safe="/:@=%"))
         h = hashlib.sha256()
         with system.open_input_stream(inner) as stream:
             while block := stream.read(1 << 22):
