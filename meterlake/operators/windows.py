@@ -54,7 +54,7 @@ def add_temporal_features(
     Positions stand for hours. ``align="time"`` first puts every group on a gap-free hourly grid, so that they do.
     """
     if align == "time":
-        df = hourly_grid(df, group_cols, order[0])
+        df = hourly_grid(df, group_cols, order[0], limit, split)
     reach = max([0, *lags, *diffs, *[size for size, _ in rolling]])
 
     def build(frame: DataFrame, w: WindowSpec) -> DataFrame:
@@ -187,12 +187,36 @@ def fill_gaps(
     return filled.select(*df.columns)
 
 
-def hourly_grid(df: DataFrame, group_cols: Sequence[str] = ("building_id",), time_col: str = "timestamp") -> DataFrame:
-    """One row per group and hour between its first and last; hours without a row have NULL in the other columns."""
+def hourly_grid(
+    df: DataFrame,
+    group_cols: Sequence[str] = ("building_id",),
+    time_col: str = "timestamp",
+    limit: int = HOT_ROWS,
+    split: bool | None = None,
+) -> DataFrame:
+    """One row per group and hour between its first and last; added hours have NULL in the other columns.
+
+    Expects readings at whole hours, one per group and hour. Each row is followed by the hours up to the next one, so the
+    grid needs no join, and a later window over the same groups no further shuffle.
+    """
     groups = list(group_cols)
-    span = df.groupBy(*groups).agg(F.min(time_col).alias("__lo"), F.max(time_col).alias("__hi"))
-    grid = span.select(*groups, F.explode(F.expr("sequence(__lo, __hi, interval 1 hour)")).alias(time_col))
-    return grid.join(df, [*groups, time_col], "left").select(*df.columns)
+    t = F.col(time_col)
+
+    def build(frame: DataFrame, w: WindowSpec) -> DataFrame:
+        return frame.withColumn("__next", F.lead(time_col).over(w))
+
+    chained = over_groups(df.filter(t.isNotNull()), groups, [time_col], build, 0, 1, time_col, limit, split)
+    gap = F.expr(f"sequence(`{time_col}` + interval 1 hour, __next - interval 1 hour, interval 1 hour)")
+    added = F.when(F.col("__next") > t + F.expr("interval 1 hour"), gap)
+    hours = F.concat(F.array(t), F.coalesce(added, F.array().cast("array<timestamp_ntz>")))
+    exploded = chained.select(*df.columns, F.posexplode(hours).alias("__i", "__hour"))
+    observed = F.col("__i") == 0
+    return exploded.select(
+        *[
+            F.col("__hour").alias(c) if c == time_col else F.col(c) if c in groups else F.when(observed, F.col(c)).alias(c)
+            for c in df.columns
+        ]
+    )
 
 
 def add_weather_rolling(

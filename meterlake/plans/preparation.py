@@ -7,10 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.calendar import add_calendar_features
-from ..operators.cleaning import clean_metadata, clean_readings, clean_weather, in_date_range, of_meter_type
+from ..operators.cleaning import (
+    clean_metadata,
+    clean_readings,
+    clean_weather,
+    in_date_range,
+    of_meter_type,
+    with_file_order,
+)
 from ..operators.features import add_building_features, add_weather_features, drop_warm_up, top_categories
 from ..operators.joins import merge_all
 from ..operators.reshape import normalise_readings
+from ..operators.skew import needs_split
 from ..operators.windows import add_temporal_features
 from ..sources.files import read_parquet, write_parquet, write_readings
 from ..sources.meters import read_raw
@@ -30,12 +38,16 @@ def prepare(
     end_inclusive_day: bool = False,
     weather_fill: str = "both",
     strict: bool = True,
+    split: bool | None = None,
 ) -> DataFrame:
     """Clean the three tables, derive the weather features, join, and keep the period and meter type.
 
-    The filters only touch key columns of the readings, so they are applied before the joins.
+    The filters only touch key columns of the readings, so they are applied before the duplicate removal and the joins.
+    Without hot buildings the readings are shuffled once, by building, for this and all later windows over buildings.
     """
-    kept = of_meter_type(in_date_range(clean_readings(readings), start, end, end_inclusive_day), meter_type)
+    wanted = of_meter_type(in_date_range(with_file_order(readings), start, end, end_inclusive_day), meter_type)
+    co_locate = () if needs_split(wanted, ["building_id"], split=split) else ("building_id",)
+    kept = clean_readings(wanted, co_locate=co_locate)
     hourly_weather = add_weather_features(clean_weather(weather, method=weather_fill), strict)
     return merge_all(kept, clean_metadata(metadata, reference_year, strict), hourly_weather)
 
@@ -48,13 +60,14 @@ def build_features(
     top_uses: DataFrame | None = None,
     use_values: Sequence[str] | None = None,
     strict: bool = True,
+    split: bool | None = None,
 ) -> DataFrame:
     """Calendar, building and history columns; rows without history are dropped.
 
     ``top_uses`` (value, count) ranks the categories; by default it is counted over the rows of ``df``.
     """
     top = top_categories(df, "primary_use") if top_uses is None else top_uses
-    out = add_temporal_features(df, lags=lags, rolling=rolling, group_cols=group_cols)
+    out = add_temporal_features(df, lags=lags, rolling=rolling, group_cols=group_cols, split=split)
     out = add_building_features(add_calendar_features(out), top, use_values, strict)
     return drop_warm_up(out)
 

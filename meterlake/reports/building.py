@@ -89,12 +89,10 @@ def value_counts(stats: DataFrame, column: str) -> DataFrame:
 
 def extremes(groups: DataFrame, key: str) -> DataFrame:
     """The group with the highest and the lowest mean of means; ties go to the smaller name."""
-    known = groups.filter(F.col("mean_mean").isNotNull()).select(F.col(key).alias("k"), F.col("mean_mean").alias("m"))
-    bounds = known.agg(F.max("m").alias("hi"), F.min("m").alias("lo"))
-    at_bound = known.join(F.broadcast(bounds), (F.col("m") == F.col("hi")) | (F.col("m") == F.col("lo")))
-    return at_bound.agg(
-        F.min(F.when(F.col("m") == F.col("hi"), F.col("k"))).alias(f"highest_consumption_{key}"),
-        F.min(F.when(F.col("m") == F.col("lo"), F.col("k"))).alias(f"lowest_consumption_{key}"),
+    k, m = F.col(key), F.col("mean_mean")
+    return groups.filter(m.isNotNull()).agg(
+        F.min(F.struct((-m).alias("m"), k.alias("k")))["k"].alias(f"highest_consumption_{key}"),
+        F.min(F.struct(m.alias("m"), k.alias("k")))["k"].alias(f"lowest_consumption_{key}"),
     )
 
 

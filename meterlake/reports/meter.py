@@ -36,10 +36,9 @@ def compare_meters(df: DataFrame, value: str = VALUE, **options) -> DataFrame:
         {"median": 0.5, "q25": 0.25, "q75": 0.75},
         **options,
     )
-    sizes = _distinct_per_meter(df, "building_id", "n_buildings").join(
-        F.broadcast(_distinct_per_meter(df, "timestamp", "n_readings")), "meter"
-    )
-    return stats.filter(F.col("mean").isNotNull()).join(F.broadcast(sizes), "meter")
+    buildings = _distinct_per_meter(df, "building_id", "n_buildings")
+    times = _distinct_per_meter(df, "timestamp", "n_readings")
+    return stats.filter(F.col("mean").isNotNull()).join(buildings, "meter").join(times, "meter")
 
 
 def _distinct_per_meter(df: DataFrame, column: str, name: str) -> DataFrame:

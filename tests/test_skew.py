@@ -136,3 +136,16 @@ def test_exclusion(df, spark):
     gone = spark.createDataFrame([("hot",)], "building_id string")
     left = exclude_buildings(df, gone)
     assert left.columns == df.columns and left.count() == df.filter("building_id is null or building_id <> 'hot'").count()
+
+
+@pytest.mark.parametrize("limit", [1, LIMIT])
+def test_hourly_grid(df, frame, limit):
+    out = windows.hourly_grid(df, limit=limit)
+    found = out.toPandas()
+    assert out.columns == df.columns and found["meter_reading"].notna().sum() == frame["meter_reading"].notna().sum()
+    for name, part in frame.groupby(frame["building_id"].fillna("?")):
+        hours = pd.date_range(part["timestamp"].min(), part["timestamp"].max(), freq="h")
+        got = found[found["building_id"].fillna("?") == name].sort_values("timestamp")
+        assert got["timestamp"].tolist() == hours.tolist()
+        want = part.set_index("timestamp")["meter_reading"].reindex(hours)
+        np.testing.assert_array_equal(got["meter_reading"].astype(float), want)
