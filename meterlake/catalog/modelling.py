@@ -9,7 +9,7 @@ from ..functions.columns import at_least, pearson
 from ..models import baselines, boosted, linear, metrics, regimes
 from ..models.additive import AdditiveModel, fit_additive
 from ..operators import features, joins, splits, windows
-from ..operators.skew import first_per_key
+from ..operators.skew import first_per_key, needs_split
 from ..plans.preparation import build_features, prepare
 from ..plans.scored import score_buildings
 from ..plans.training import client_round_metrics
@@ -286,22 +286,15 @@ def feature_table(spark, sf):
 
     The use ranking is given as all categories, so that the dummy columns do not depend on the data.
     """
-    df = _prepared(spark, sf)
-    uses = views.metadata_clean(spark, sf).groupBy("primary_use").count()
-    return rounded(build_features(df, top_uses=uses, use_values=["machinery-0"]))
-
-
-def _prepared(spark, sf):
+    readings = views.readings(spark, sf)
+    split = needs_split(readings, ["building_id"])
     cleaned = prepare(
-        views.readings(spark, sf),
-        views.metadata(spark, sf),
-        views.weather(spark, sf),
-        views.REFERENCE_YEAR,
-        "2024-01-01",
-        "2024-12-31",
-        "all",
+        readings, views.metadata(spark, sf), views.weather(spark, sf), views.REFERENCE_YEAR,
+        "2024-01-01", "2024-12-31", "all", split=split,
     )
-    return first_per_key(cleaned, ["building_id", "timestamp"], ["ord"])
+    one_per_hour = first_per_key(cleaned, ["building_id", "timestamp"], ["ord"])
+    uses = views.metadata_clean(spark, sf).groupBy("primary_use").count()
+    return rounded(build_features(one_per_hour, top_uses=uses, use_values=["machinery-0"], split=split))
 
 
 @register(

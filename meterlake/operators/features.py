@@ -25,12 +25,12 @@ NOT_FEATURES = (
 )
 
 
-def add_weather_features(weather: DataFrame, strict: bool = True) -> DataFrame:
-    """Humidity and moving temperature averages, on the weather table."""
+def add_weather_features(weather: DataFrame, strict: bool = True, **options) -> DataFrame:
+    """Humidity and moving temperature averages, on the weather table. ``options`` go to the moving averages."""
     if has_columns(weather, ["air_temperature", "dew_temperature"], strict):
         humidity = relative_humidity(F.col("air_temperature"), F.col("dew_temperature"))
         weather = weather.withColumn("relative_humidity", humidity)
-    return add_weather_rolling(weather) if has_columns(weather, ["air_temperature"], strict) else weather
+    return add_weather_rolling(weather, **options) if has_columns(weather, ["air_temperature"], strict) else weather
 
 
 def add_comfort(weather: DataFrame) -> DataFrame:

@@ -113,7 +113,7 @@ def over_groups(
     df: DataFrame,
     groups: Sequence[str],
     order: Sequence[str],
-    build: Callable[[DataFrame, WindowSpec], DataFrame],
+    build: Callable[[DataFrame, WindowSpec, list[str]], DataFrame],
     back: int = 0,
     forward: int = 0,
     time_col: str = "timestamp",
@@ -122,16 +122,16 @@ def over_groups(
 ) -> DataFrame:
     """Apply row-framed window expressions per group.
 
-    ``build(frame, window)`` adds the columns; its frames may look at most ``back`` rows behind and ``forward`` rows
-    ahead. Ordinary groups use one window partition each; hot groups are cut into runs of days, each with enough border
+    ``build(frame, window, keys)`` adds the columns; its frames may look at most ``back`` rows behind and ``forward`` rows
+    ahead. ``keys`` are the window's partition columns. Ordinary groups use one window partition each; hot groups are cut into runs of days, each with enough border
     rows for the frames, so the result is the same. ``order`` must start with ``time_col``.
     """
     if not needs_split(df, groups, limit, split):
-        return build(df, Window.partitionBy(*groups).orderBy(*order))
+        return build(df, Window.partitionBy(*groups).orderBy(*order), list(groups))
     cold, hot = split_hot(df, groups, limit)
-    plain = build(cold, Window.partitionBy(*groups).orderBy(*order))
+    plain = build(cold, Window.partitionBy(*groups).orderBy(*order), list(groups))
     chunks = chunk_rows(hot, groups, time_col, back, forward, limit)
-    cut = build(chunks, Window.partitionBy(*groups, "__chunk").orderBy(*order))
+    cut = build(chunks, Window.partitionBy(*groups, "__chunk").orderBy(*order), [*groups, "__chunk"])
     return plain.unionByName(cut.filter("__own").drop("__own", "__chunk"))
 
 

@@ -15,6 +15,9 @@ DIFF_HOURS = (1, 24)
 ROLLING = ((24, ("mean", "std", "min", "max")), (168, ("mean", "std")))
 EXPANDING = ("mean", "std")
 
+# From this many rows on, rolling windows are merged from blocks (see _add_long_rolling).
+LONG_WINDOW = 48
+
 _AGGREGATES = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
 
 
@@ -36,6 +39,51 @@ def rolling_columns(target: str, windows, w: WindowSpec) -> dict[str, Column]:
     }
 
 
+def _add_long_rolling(
+    frame: DataFrame, w: WindowSpec, keys: list[str], order: Sequence[str], target: str, size: int, names: Sequence[str]
+) -> DataFrame:
+    """Rolling statistics whose cost per row does not grow with the window.
+
+    Rows are cut into blocks of ``size``. The previous ``size`` rows are the rest of one block and the beginning of the
+    next, so running statistics of each block from both ends are merged. Spark would visit every row of every frame.
+    """
+    x = F.col(target)
+    block = Window.partitionBy(*keys, "__block")
+    head = block.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    tail = block.orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+
+    def parts(span: WindowSpec) -> Column:
+        wanted = {"n": F.count(x)}
+        if "mean" in names or "std" in names:
+            wanted["s"] = F.sum(x)
+        if "std" in names:
+            wanted["v"] = F.var_pop(x)
+        wanted |= {f: _AGGREGATES[f](x) for f in ("min", "max") if f in names}
+        return F.struct(*[c.over(span).alias(k) for k, c in wanted.items()])
+
+    kept = frame.columns
+    frame = frame.withColumn("__block", F.expr(f"(__row - 1) div {size}"))
+    frame = frame.withColumn("__head", parts(head)).withColumn("__tail", parts(tail))
+    frame = frame.withColumn("__tail", F.lag("__tail", size).over(w))
+
+    zero = F.lit(0.0)
+    a, b = (lambda f: F.col("__tail")[f]), (lambda f: F.col("__head")[f])
+    na, nb = F.coalesce(a("n"), F.lit(0)), F.coalesce(b("n"), F.lit(0))
+    n = na + nb
+    out = {}
+    for name in names:
+        if name == "mean":
+            merged = ratio(F.coalesce(a("s"), zero) + F.coalesce(b("s"), zero), n)
+        elif name == "std":
+            shift = F.coalesce(ratio(a("s"), na) - ratio(b("s"), nb), zero)
+            square = F.coalesce(a("v"), zero) * na + F.coalesce(b("v"), zero) * nb + shift * shift * ratio(na * nb, n)
+            merged = F.when(n > 1, F.sqrt(ratio(square, n - 1)))
+        else:
+            merged = (F.least if name == "min" else F.greatest)(a(name), b(name))
+        out[f"{target}_rolling_{size}h_{name}"] = merged
+    return frame.select(*kept, *[c.alias(k) for k, c in out.items()])
+
+
 def add_temporal_features(
     df: DataFrame,
     target: str = "meter_reading",
@@ -49,26 +97,30 @@ def add_temporal_features(
     limit: int = HOT_ROWS,
     split: bool | None = None,
 ) -> DataFrame:
-    """All requested features in one select over one window: a single shuffle and sort.
+    """All requested features over one window: a single shuffle.
 
     Positions stand for hours. ``align="time"`` first puts every group on a gap-free hourly grid, so that they do.
     """
     if align == "time":
         df = hourly_grid(df, group_cols, order[0], limit, split)
     reach = max([0, *lags, *diffs, *[size for size, _ in rolling]])
-
-    def build(frame: DataFrame, w: WindowSpec) -> DataFrame:
-        return frame.select(
-            "*",
-            *[
-                column.alias(name)
-                for name, column in {
-                    **lag_columns(target, lags, w),
-                    **rolling_columns(target, rolling, w),
-                    **diff_columns(target, diffs, w),
-                }.items()
-            ],
-        )
+    known = [(size, [f for f in names if f in _AGGREGATES]) for size, names in rolling]
+    short = [(size, names) for size, names in known if size < LONG_WINDOW]
+    long = [(size, names) for size, names in known if size >= LONG_WINDOW and names]
+
+    def build(frame: DataFrame, w: WindowSpec, keys: list[str]) -> DataFrame:
+        added = {
+            **lag_columns(target, lags, w),
+            **rolling_columns(target, short, w),
+            **diff_columns(target, diffs, w),
+        }
+        names = [c.alias(name) for name, c in added.items()]
+        if not long:
+            return frame.select("*", *names)
+        frame = frame.select("*", *names, F.row_number().over(w).alias("__row"))
+        for size, functions in long:
+            frame = _add_long_rolling(frame, w, keys, order, target, size, functions)
+        return frame.drop("__row")
 
     if reach and expanding:
         split = needs_split(df, group_cols, limit, split)
@@ -174,7 +226,7 @@ def fill_gaps(
         raise ValueError(f"unknown fill method {method!r}")
     columns = list(columns)
 
-    def build(frame: DataFrame, w: WindowSpec) -> DataFrame:
+    def build(frame: DataFrame, w: WindowSpec, keys: list[str]) -> DataFrame:
         if method in ("forward", "both"):
             w_back = w.rowsBetween(-max_gap, 0)
             frame = frame.withColumns({c: F.last(c, ignorenulls=True).over(w_back) for c in columns})
@@ -202,7 +254,7 @@ def hourly_grid(
     groups = list(group_cols)
     t = F.col(time_col)
 
-    def build(frame: DataFrame, w: WindowSpec) -> DataFrame:
+    def build(frame: DataFrame, w: WindowSpec, keys: list[str]) -> DataFrame:
         return frame.withColumn("__next", F.lead(time_col).over(w))
 
     chained = over_groups(df.filter(t.isNotNull()), groups, [time_col], build, 0, 1, time_col, limit, split)
@@ -232,7 +284,7 @@ def add_weather_rolling(
     Runs on the weather table, before it is joined to the meters: after the join, n rows of a site are not n hours.
     """
 
-    def build(frame: DataFrame, w: WindowSpec) -> DataFrame:
+    def build(frame: DataFrame, w: WindowSpec, keys: list[str]) -> DataFrame:
         means = {f"{column}_rolling_{n}h": F.avg(column).over(w.rowsBetween(1 - n, 0)) for n in windows}
         return frame.select("*", *[mean.alias(name) for name, mean in means.items()])
 

@@ -48,7 +48,9 @@ def prepare(
     wanted = of_meter_type(in_date_range(with_file_order(readings), start, end, end_inclusive_day), meter_type)
     co_locate = () if needs_split(wanted, ["building_id"], split=split) else ("building_id",)
     kept = clean_readings(wanted, co_locate=co_locate)
-    hourly_weather = add_weather_features(clean_weather(weather, method=weather_fill), strict)
+    split_sites = needs_split(weather, ["site_id"])
+    filled = clean_weather(weather, method=weather_fill, split=split_sites)
+    hourly_weather = add_weather_features(filled, strict, split=split_sites)
     return merge_all(kept, clean_metadata(metadata, reference_year, strict), hourly_weather)
 
 

@@ -149,3 +149,14 @@ def test_hourly_grid(df, frame, limit):
         assert got["timestamp"].tolist() == hours.tolist()
         want = part.set_index("timestamp")["meter_reading"].reindex(hours)
         np.testing.assert_array_equal(got["meter_reading"].astype(float), want)
+
+
+@pytest.mark.parametrize("size", [1, 2, 24, 168])
+def test_block_merged_rolling_matches_frames(df, size, monkeypatch):
+    wanted = ((size, ("mean", "std", "min", "max")),)
+    monkeypatch.setattr(windows, "LONG_WINDOW", 10_000)
+    frames = pandas_of(windows.add_rolling_features(df, windows=wanted, split=False))
+    monkeypatch.setattr(windows, "LONG_WINDOW", 1)
+    for limit, split in ((LIMIT, None), (1, None), (LIMIT, False)):
+        blocks = pandas_of(windows.add_rolling_features(df, windows=wanted, limit=limit, split=split))
+        pd.testing.assert_frame_equal(blocks[list(frames.columns)], frames, rtol=1e-9, atol=1e-6)
