@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from ..functions.calendar import add_calendar_features, add_extended_calendar, add_profile_calendar
-from ..functions.columns import at_least, pearson
+from ..functions.columns import at_least
 from ..models import baselines, boosted, linear, metrics, regimes
-from ..models.additive import AdditiveModel, fit_additive
+from ..models.additive import AdditiveModel, fit_additive, tune_additive
 from ..operators import features, joins, splits, windows
 from ..operators.skew import first_per_key, needs_split
 from ..plans.preparation import build_features, prepare
 from ..plans.scored import score_buildings
 from ..plans.training import client_round_metrics
+from ..reports.quality import correlation_matrix
 from ..session import cut_lineage, scratch_path
 from ..sources.files import write_parquet
 from . import views
@@ -491,13 +494,19 @@ def target_encoded_use(spark, sf):
     return rounded(joins.lookup_join(meta, means, ["primary_use"]).select("building_id", "primary_use_target_mean"))
 
 
-@register("feature_correlation", "SELECT " + ", ".join(
-    r(f"corr({a}, {b})") + f" AS {a}_{b}" for a, b in (("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_discount", "l_tax"))
-) + " FROM lineitem")
+_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register(
+    "feature_correlation",
+    " UNION ALL ".join(
+        f"SELECT '{a}' AS column_1, '{b}' AS column_2, " + r(f"corr({a}, {b})") + " AS correlation FROM lineitem"
+        for a, b in combinations(_NUMBERS, 2)
+    ),
+)
 def feature_correlation(spark, sf):
     """Input of a correlation heat map."""
-    pairs = (("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_discount", "l_tax"))
-    return rounded(views.table(spark, sf, "lineitem").agg(*[pearson(F.col(a), F.col(b)).alias(f"{a}_{b}") for a, b in pairs]))
+    return rounded(correlation_matrix(views.table(spark, sf, "lineitem"), _NUMBERS))
 
 
 # --- clients ---------------------------------------------------------------------------------------------------------
@@ -656,6 +665,14 @@ def tree_grid_over_folds(spark, sf):
     return boosted.tune_boosted(train, _TREE_FEATURES[:3], folds, [{"maxIter": 2, "maxDepth": d} for d in (2, 4)])
 
 
+@register("additive_grid_over_folds")
+def additive_grid_over_folds(spark, sf):
+    train, _ = _model_rows(spark, sf)
+    folds = splits.time_folds(train, n_splits=2)
+    grid = [{"bins": b, "interactions": i} for b, i in ((8, 0), (16, 2))]
+    return tune_additive(train, _TREE_FEATURES[:3], folds, grid)
+
+
 def _additive(spark, sf) -> tuple[AdditiveModel, object]:
     train, test = _model_rows(spark, sf)
     model = fit_additive(train, _TREE_FEATURES, bins=16, interactions=3)

@@ -18,6 +18,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tuning import tune_over_folds
+
 MAX_BINS = 6000
 
 
@@ -247,3 +249,14 @@ def fit_additive(
         {p: shapes[p] for p in pair_names},
         weights,
     )
+
+
+def tune_additive(
+    df: DataFrame, features: Sequence[str], folds: DataFrame, grid: Sequence[dict], target: str = "meter_reading"
+) -> DataFrame:
+    """Metrics of the additive model per fold and parameter set."""
+
+    def scored(train: DataFrame, test: DataFrame, params: dict) -> DataFrame:
+        return fit_additive(train, features, target, **params).predict(test)
+
+    return tune_over_folds(df, folds, grid, scored, target)

@@ -10,9 +10,9 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.splits import assign_folds, split_time
+from ..operators.splits import split_time
 from ..session import shared_dir
-from .metrics import evaluate
+from .tuning import tune_over_folds
 
 # Stands for a missing feature value: below every real one, so trees can split it off.
 MISSING = -1.0e9
@@ -81,25 +81,11 @@ def load_model(path: str) -> PipelineModel:
 
 
 def tune_boosted(
-    df: DataFrame,
-    features: Sequence[str],
-    folds: DataFrame,
-    grid: Sequence[dict],
-    target: str = "meter_reading",
+    df: DataFrame, features: Sequence[str], folds: DataFrame, grid: Sequence[dict], target: str = "meter_reading"
 ) -> DataFrame:
-    """Metrics per fold and parameter set. One distributed fit per combination, as in Spark's own cross-validation."""
-    assigned = assign_folds(df, folds).persist()
-    out = None
-    try:
-        for fold in sorted(r[0] for r in folds.select("fold").collect()):
-            part = assigned.filter(F.col("fold") == fold)
-            for i, params in enumerate(grid):
-                model = fit_boosted(part.filter("role = 'train'"), features, target, None, **params)
-                scored = predict_boosted(model, part.filter("role = 'test'"), features)
-                row = evaluate(scored, target, "prediction").select(
-                    F.lit(fold).alias("fold"), F.lit(i).alias("grid_point"), F.lit(str(params)).alias("params"), "*"
-                )
-                out = row if out is None else out.unionByName(row)
-        return df.sparkSession.createDataFrame(out.collect(), out.schema)
-    finally:
-        assigned.unpersist()
+    """Metrics of the trees per fold and parameter set."""
+
+    def scored(train: DataFrame, test: DataFrame, params: dict) -> DataFrame:
+        return predict_boosted(fit_boosted(train, features, target, None, **params), test, features)
+
+    return tune_over_folds(df, folds, grid, scored, target)

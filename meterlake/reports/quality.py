@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import share
+from ..functions.columns import pearson, share
 from ..operators.cleaning import duplicate_keys, outlier_bounds
 from ..operators.quantiles import grouped_stats
 
@@ -68,6 +69,19 @@ def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_1, column_2, correlation) for all pairs, from one aggregate over the rows."""
+    pairs = list(combinations(columns, 2))
+    wide = df.agg(*[pearson(F.col(a), F.col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    rows = F.array(
+        *[
+            F.struct(F.lit(a).alias("column_1"), F.lit(b).alias("column_2"), F.col(f"c{i}").alias("correlation"))
+            for i, (a, b) in enumerate(pairs)
+        ]
+    )
+    return wide.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def _micros(column: Column) -> Column:
     return F.unix_micros(column.cast("timestamp"))
 
