@@ -97,7 +97,7 @@ def weather_rolling(spark, sf):
 
 @register("weather_rolling_split", _WEATHER_ROLLING)
 def weather_rolling_split(spark, sf):
-    """The same with every site cut into runs of days."""
+    """The same with every site cut into chunks."""
     rows = views.weather_filled(spark, sf).select("site_id", "timestamp", "air_temperature")
     return rounded(windows.add_weather_rolling(rows, limit=150))
 
@@ -220,7 +220,7 @@ def rolling_features(spark, sf):
 
 @register("rolling_features_split", sql(f"SELECT {_BASE}, {_ROLLING} FROM kept"))
 def rolling_features_split(spark, sf):
-    """The same with every building cut into runs of days with border rows."""
+    """The same with every building cut into chunks with border rows."""
     return rounded(windows.add_rolling_features(_readings(spark, sf), limit=20))
 
 
@@ -247,7 +247,7 @@ def expanding_features(spark, sf):
 
 @register("expanding_features_split", sql(f"SELECT {_BASE}, {_EXPANDING} FROM kept"))
 def expanding_features_split(spark, sf):
-    """The same with the moments of earlier runs of days carried forward."""
+    """The same with the moments of earlier chunks carried forward."""
     return rounded(windows.add_expanding_features(_readings(spark, sf), functions=("mean", "std", "min", "max"), limit=20))
 
 
@@ -338,12 +338,18 @@ def client_split_rows(spark, sf):
     return _client_rows(spark, sf).select("client", "timestamp", "l_orderkey", "l_linenumber", "is_train")
 
 
-def _client_rows(spark, sf):
+@register("client_split_rows_split", "WITH " + _CLIENT_SPLIT + "SELECT client, timestamp, l_orderkey, l_linenumber, is_train FROM marked")
+def client_split_rows_split(spark, sf):
+    """The same with every client numbered over range partitions."""
+    return _client_rows(spark, sf, limit=10).select("client", "timestamp", "l_orderkey", "l_linenumber", "is_train")
+
+
+def _client_rows(spark, sf, **options):
     rows = views.table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("client"), F.col("l_shipdate").alias("timestamp"), "l_orderkey", "l_linenumber",
         "l_quantity", "l_discount", "l_tax", "l_extendedprice",
     )
-    return splits.mark_client_split(rows, "client", ["timestamp", "l_orderkey", "l_linenumber"])
+    return splits.mark_client_split(rows, "client", ["timestamp", "l_orderkey", "l_linenumber"], **options)
 
 
 @register(

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import all_of, any_of
+from ..session import cut_lineage
 
 HOT_ROWS = 2_000_000
 
@@ -47,65 +48,43 @@ def split_hot(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> tupl
     return df.join(hot, on, "left_anti"), df.join(hot, on, "left_semi")
 
 
-def _day(time_col: str) -> Column:
-    return F.coalesce(F.to_date(F.col(time_col)), F.lit("0001-01-01").cast("date"))
+def row_positions(df: DataFrame, groups: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """0-based ``__pos`` of each row in its group and the group's ``__size``, for groups of any size.
 
-
-def day_counts(df: DataFrame, keys: Sequence[str], time_col: str = "timestamp") -> DataFrame:
-    """Rows per group and day with the running row positions [__from, __to) of that day in its group."""
-    by_day = Window.partitionBy(*keys).orderBy("__day")
-    return (
-        df.groupBy(*keys, _day(time_col).alias("__day"))
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__to", F.sum("__n").over(by_day))
-        .withColumn("__from", F.col("__to") - F.col("__n"))
+    Rows are range-partitioned by (group, order), which splits a large group over many tasks, and written to reliable
+    storage together with their partition number, so that counting and numbering see the same partitions. The offset of
+    a partition within a group follows from the counts; there are at most groups + partitions of them.
+    """
+    ranged = df.repartitionByRange(*groups, *order).withColumn("__part", F.spark_partition_id())
+    ranged = cut_lineage(ranged)
+    so_far = Window.partitionBy(*groups).orderBy("__part")
+    counts = ranged.groupBy(*groups, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = counts.select(
+        *_renamed(groups, "__map_"),
+        F.col("__part").alias("__map_part"),
+        (F.sum("__n").over(so_far) - F.col("__n")).alias("__from"),
+        F.sum("__n").over(Window.partitionBy(*groups)).alias("__size"),
     )
+    here = Window.partitionBy(*groups, "__part").orderBy(*order)
+    numbered = ranged.withColumn("__rank", F.row_number().over(here))
+    on = matches(groups, "__map_") & (F.col("__part") == F.col("__map_part"))
+    return numbered.join(offsets, on).select(*df.columns, (F.col("__from") + F.col("__rank") - 1).alias("__pos"), "__size")
 
 
-def _chunk_map(
-    df: DataFrame, keys: Sequence[str], time_col: str, back: int, forward: int, rows: int
+def chunk_rows(
+    df: DataFrame, groups: Sequence[str], order: Sequence[str], back: int = 0, forward: int = 0, rows: int = HOT_ROWS
 ) -> DataFrame:
-    """For every (group, day): the chunk it belongs to, and the chunks that also need it as border rows.
+    """Rows with ``__pos`` and the ``__chunk`` of ``rows`` consecutive positions they belong to.
 
-    A chunk is a run of days with about ``rows`` rows. A day is a border day of a later chunk if that chunk starts
-    fewer than ``back`` rows after the day's end, and of an earlier one likewise with ``forward``.
+    A row is copied to the later chunks that start fewer than ``back`` rows after it, and to the earlier ones that end
+    fewer than ``forward`` rows before it; such border copies have ``__own`` false.
     """
-    by_day = Window.partitionBy(*keys).orderBy("__day")
-    days = day_counts(df, keys, time_col).withColumn("__home", F.expr(f"__from div {rows}"))
-    none = F.array().cast("array<bigint>")
-    targets = [F.array("__home")]
-    if back > 0:
-        reach = Window.partitionBy(*keys).orderBy("__from").rangeBetween(0, back - 1)
-        days = days.withColumn("__near", F.collect_set("__home").over(reach))
-        days = days.withColumn("__later", F.lead("__near").over(by_day)).drop("__near")
-        targets.append(F.coalesce("__later", none))
-    if forward > 0:
-        reach = Window.partitionBy(*keys).orderBy("__to").rangeBetween(-(forward - 1), 0)
-        days = days.withColumn("__near", F.collect_set("__home").over(reach))
-        days = days.withColumn("__earlier", F.lag("__near").over(by_day)).drop("__near")
-        targets.append(F.coalesce("__earlier", none))
-    return days.select(
-        *_renamed(keys, "__map_"),
-        F.col("__day").alias("__map_day"),
-        "__home",
-        F.explode(F.array_distinct(F.concat(*targets))).alias("__chunk"),
+    placed = row_positions(df, groups, order)
+    chunks = F.expr(
+        f"sequence(greatest(__pos - {forward}, 0) div {rows}, least(__pos + {back}, __size - 1) div {rows}, 1)"
     )
-
-
-def chunk_rows(
-    df: DataFrame,
-    keys: Sequence[str],
-    time_col: str = "timestamp",
-    back: int = 0,
-    forward: int = 0,
-    rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Rows tagged with ``__chunk``; copies that only serve as another chunk's border have ``__own`` false."""
-    mapping = _chunk_map(df, keys, time_col, back, forward, rows)
-    tagged = df.withColumn("__day", _day(time_col))
-    on = matches(keys, "__map_") & (F.col("__day") == F.col("__map_day"))
-    return tagged.join(mapping, on).select(
-        *df.columns, "__chunk", (F.col("__chunk") == F.col("__home")).alias("__own")
+    return placed.select(*df.columns, "__pos", F.explode(chunks).alias("__chunk")).withColumn(
+        "__own", F.col("__chunk") == F.expr(f"__pos div {rows}")
     )
 
 
@@ -113,44 +92,25 @@ def over_groups(
     df: DataFrame,
     groups: Sequence[str],
     order: Sequence[str],
-    build: Callable[[DataFrame, WindowSpec, list[str]], DataFrame],
+    build: Callable[[DataFrame, list[str], list[str]], DataFrame],
     back: int = 0,
     forward: int = 0,
-    time_col: str = "timestamp",
     limit: int = HOT_ROWS,
     split: bool | None = None,
 ) -> DataFrame:
     """Apply row-framed window expressions per group.
 
-    ``build(frame, window, keys)`` adds the columns; its frames may look at most ``back`` rows behind and ``forward`` rows
-    ahead. ``keys`` are the window's partition columns. Ordinary groups use one window partition each; hot groups are cut into runs of days, each with enough border
-    rows for the frames, so the result is the same. ``order`` must start with ``time_col``.
+    ``build(frame, keys, order)`` adds the columns, over windows partitioned by ``keys`` and ordered by ``order``; its
+    frames may look at most ``back`` rows behind and ``forward`` rows ahead. Ordinary groups are one window partition
+    each; hot groups are cut into chunks of consecutive rows, each with the border rows that the frames need, so the
+    result is the same.
     """
     if not needs_split(df, groups, limit, split):
-        return build(df, Window.partitionBy(*groups).orderBy(*order), list(groups))
+        return build(df, list(groups), list(order))
     cold, hot = split_hot(df, groups, limit)
-    plain = build(cold, Window.partitionBy(*groups).orderBy(*order), list(groups))
-    chunks = chunk_rows(hot, groups, time_col, back, forward, limit)
-    cut = build(chunks, Window.partitionBy(*groups, "__chunk").orderBy(*order), [*groups, "__chunk"])
-    return plain.unionByName(cut.filter("__own").drop("__own", "__chunk"))
-
-
-def row_positions(
-    df: DataFrame, groups: Sequence[str], order: Sequence[str], time_col: str = "timestamp"
-) -> DataFrame:
-    """0-based ``__pos`` of each row in its group and the group's ``__size``.
-
-    The rows are shuffled once, by (group, day); the offset of a day comes from the small table of day counts.
-    """
-    whole = Window.partitionBy(*groups)
-    offsets = day_counts(df, groups, time_col).withColumn("__size", F.sum("__n").over(whole))
-    offsets = offsets.select(*_renamed(groups, "__map_"), F.col("__day").alias("__map_day"), "__from", "__size")
-    on = matches(groups, "__map_") & (F.col("__day") == F.col("__map_day"))
-    in_day = Window.partitionBy(*groups, "__day").orderBy(*order)
-    placed = df.withColumn("__day", _day(time_col)).join(offsets, on)
-    return placed.withColumn("__pos", F.col("__from") + F.row_number().over(in_day) - 1).select(
-        *df.columns, "__pos", "__size"
-    )
+    plain = build(cold, list(groups), list(order))
+    cut = build(chunk_rows(hot, groups, order, back, forward, limit), [*groups, "__chunk"], ["__pos"])
+    return plain.unionByName(cut.filter("__own").drop("__own", "__chunk", "__pos"))
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import row_positions
+from .skew import HOT_ROWS, needs_split, row_positions, split_hot
 
 
 def seeded_key(columns: Sequence[str], seed: int) -> Column:
@@ -15,29 +15,33 @@ def seeded_key(columns: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns], F.lit(str(seed))))
 
 
+def _bucket_of_rank(times: DataFrame, unit: str, rank: Column | None, share: float) -> DataFrame:
+    """One row: the ``unit`` that holds the wanted 0-based rank, and the ``rank`` within it."""
+    running = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = F.floor(F.lit(share) * F.sum("n").over(Window.partitionBy())) if rank is None else rank
+    before = F.col("to") - F.col("n")
+    return (
+        times.groupBy(F.date_trunc(unit, "t").alias("bucket"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumns({"to": F.sum("n").over(running), "at": wanted})
+        .filter((F.col("at") >= before) & (F.col("at") < F.col("to")))
+        .select("bucket", (F.col("at") - before).alias("rank"))
+    )
+
+
 def split_time(df: DataFrame, share: float = 0.8, time_col: str = "timestamp") -> DataFrame:
     """One row: the distinct timestamp at 0-based position floor(share * n).
 
-    Counts per day find the day of that position; only this day's timestamps are ranked.
+    Counts per day find the day of that position, counts per minute of this day the minute; only the timestamps of one
+    minute are ranked. The windows run over days, over the minutes of one day, and over one minute.
     """
     times = df.select(F.col(time_col).alias("t")).filter("t is not null").distinct()
-    running = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy()
-    days = (
-        times.groupBy(F.to_date("t").alias("day"))
-        .agg(F.count("*").alias("n"))
-        .withColumn("to", F.sum("n").over(running))
-        .withColumn("at", F.floor(F.lit(share) * F.sum("n").over(everything)))
-        .filter((F.col("at") >= F.col("to") - F.col("n")) & (F.col("at") < F.col("to")))
-        .select("day", (F.col("at") - F.col("to") + F.col("n") + 1).alias("rank"))
-    )
-    in_day = Window.partitionBy("day").orderBy("t")
-    ranked = (
-        times.withColumn("day", F.to_date("t"))
-        .join(F.broadcast(days), "day")
-        .withColumn("r", F.row_number().over(in_day))
-    )
-    return ranked.filter(F.col("r") == F.col("rank")).select(F.col("t").alias("split_timestamp"))
+    day = _bucket_of_rank(times, "day", None, share).select(F.struct("bucket", "rank")).scalar()
+    of_day = times.filter(F.date_trunc("day", "t") == day["bucket"])
+    minute = _bucket_of_rank(of_day, "minute", day["rank"], share).select(F.struct("bucket", "rank")).scalar()
+    of_minute = of_day.filter(F.date_trunc("minute", "t") == minute["bucket"])
+    ranked = of_minute.withColumn("r", F.row_number().over(Window.orderBy("t")) - 1)
+    return ranked.filter(F.col("r") == minute["rank"]).select(F.col("t").alias("split_timestamp"))
 
 
 def time_split(
@@ -49,11 +53,26 @@ def time_split(
 
 
 def mark_client_split(
-    df: DataFrame, client: str, order: Sequence[str], share: float = 0.8, name: str = "is_train"
+    df: DataFrame,
+    client: str,
+    order: Sequence[str],
+    share: float = 0.8,
+    name: str = "is_train",
+    limit: int = HOT_ROWS,
+    split: bool | None = None,
 ) -> DataFrame:
     """Per client, the first floor(share * n) rows in time order are training rows."""
-    placed = row_positions(df, [client], order, order[0])
-    return placed.select(*df.columns, (F.col("__pos") < F.floor(F.col("__size") * F.lit(share))).alias(name))
+
+    def mark(frame: DataFrame, position: Column, size: Column) -> DataFrame:
+        return frame.select(*df.columns, (position < F.floor(size * F.lit(share))).alias(name))
+
+    rows = Window.partitionBy(client)
+    number, size = F.row_number().over(rows.orderBy(*order)) - 1, F.count(F.lit(1)).over(rows)
+    if not needs_split(df, [client], limit, split):
+        return mark(df, number, size)
+    cold, hot = split_hot(df, [client], limit)
+    placed = row_positions(hot, [client], order)
+    return mark(cold, number, size).unionByName(mark(placed, F.col("__pos"), F.col("__size")))
 
 
 def seeded_sample(df: DataFrame, keys: Sequence[str], n: int = 10_000, seed: int = 42) -> DataFrame:

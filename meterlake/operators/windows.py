@@ -40,7 +40,7 @@ def rolling_columns(target: str, windows, w: WindowSpec) -> dict[str, Column]:
 
 
 def _add_long_rolling(
-    frame: DataFrame, w: WindowSpec, keys: list[str], order: Sequence[str], target: str, size: int, names: Sequence[str]
+    frame: DataFrame, keys: list[str], order: list[str], target: str, size: int, names: Sequence[str]
 ) -> DataFrame:
     """Rolling statistics whose cost per row does not grow with the window.
 
@@ -64,7 +64,7 @@ def _add_long_rolling(
     kept = frame.columns
     frame = frame.withColumn("__block", F.expr(f"(__row - 1) div {size}"))
     frame = frame.withColumn("__head", parts(head)).withColumn("__tail", parts(tail))
-    frame = frame.withColumn("__tail", F.lag("__tail", size).over(w))
+    frame = frame.withColumn("__tail", F.lag("__tail", size).over(Window.partitionBy(*keys).orderBy(*order)))
 
     zero = F.lit(0.0)
     a, b = (lambda f: F.col("__tail")[f]), (lambda f: F.col("__head")[f])
@@ -108,7 +108,8 @@ def add_temporal_features(
     short = [(size, names) for size, names in known if size < LONG_WINDOW]
     long = [(size, names) for size, names in known if size >= LONG_WINDOW and names]
 
-    def build(frame: DataFrame, w: WindowSpec, keys: list[str]) -> DataFrame:
+    def build(frame: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*order)
         added = {
             **lag_columns(target, lags, w),
             **rolling_columns(target, short, w),
@@ -119,12 +120,12 @@ def add_temporal_features(
             return frame.select("*", *names)
         frame = frame.select("*", *names, F.row_number().over(w).alias("__row"))
         for size, functions in long:
-            frame = _add_long_rolling(frame, w, keys, order, target, size, functions)
+            frame = _add_long_rolling(frame, keys, order, target, size, functions)
         return frame.drop("__row")
 
     if reach and expanding:
         split = needs_split(df, group_cols, limit, split)
-    out = over_groups(df, group_cols, order, build, reach, 0, order[0], limit, split) if reach else df
+    out = over_groups(df, group_cols, order, build, reach, 0, limit, split) if reach else df
     return add_expanding_features(out, target, expanding, group_cols, order, limit, split) if expanding else out
 
 
@@ -163,7 +164,7 @@ def add_expanding_features(
     cold, hot = split_hot(df, groups, limit)
     plain = cold.select("*", *expanded)
 
-    chunks = chunk_rows(hot, groups, order[0], rows=limit).drop("__own")
+    chunks = chunk_rows(hot, groups, order, rows=limit).drop("__own")
     x = F.col(target)
     totals = chunks.groupBy(*groups, "__chunk").agg(
         F.count(x).alias("__n"),
@@ -186,7 +187,7 @@ def add_expanding_features(
         F.min("__lo").over(before).alias("__plo"),
         F.max("__hi").over(before).alias("__phi"),
     )
-    inside = Window.partitionBy(*groups, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*groups, "__chunk").orderBy("__pos").rowsBetween(Window.unboundedPreceding, -1)
     local = chunks.select(
         "*",
         F.count(x).over(inside).alias("__ln"),
@@ -226,7 +227,8 @@ def fill_gaps(
         raise ValueError(f"unknown fill method {method!r}")
     columns = list(columns)
 
-    def build(frame: DataFrame, w: WindowSpec, keys: list[str]) -> DataFrame:
+    def build(frame: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*order)
         if method in ("forward", "both"):
             w_back = w.rowsBetween(-max_gap, 0)
             frame = frame.withColumns({c: F.last(c, ignorenulls=True).over(w_back) for c in columns})
@@ -235,7 +237,7 @@ def fill_gaps(
             frame = frame.withColumns({c: F.first(c, ignorenulls=True).over(w_ahead) for c in columns})
         return frame
 
-    filled = over_groups(df, group_cols, order, build, max_gap, max_gap, order[0], limit, split)
+    filled = over_groups(df, group_cols, order, build, max_gap, max_gap, limit, split)
     return filled.select(*df.columns)
 
 
@@ -254,10 +256,11 @@ def hourly_grid(
     groups = list(group_cols)
     t = F.col(time_col)
 
-    def build(frame: DataFrame, w: WindowSpec, keys: list[str]) -> DataFrame:
+    def build(frame: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*order)
         return frame.withColumn("__next", F.lead(time_col).over(w))
 
-    chained = over_groups(df.filter(t.isNotNull()), groups, [time_col], build, 0, 1, time_col, limit, split)
+    chained = over_groups(df.filter(t.isNotNull()), groups, [time_col], build, 0, 1, limit, split)
     gap = F.expr(f"sequence(`{time_col}` + interval 1 hour, __next - interval 1 hour, interval 1 hour)")
     added = F.when(F.col("__next") > t + F.expr("interval 1 hour"), gap)
     hours = F.concat(F.array(t), F.coalesce(added, F.array().cast("array<timestamp_ntz>")))
@@ -284,7 +287,8 @@ def add_weather_rolling(
     Runs on the weather table, before it is joined to the meters: after the join, n rows of a site are not n hours.
     """
 
-    def build(frame: DataFrame, w: WindowSpec, keys: list[str]) -> DataFrame:
+    def build(frame: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*order)
         means = {f"{column}_rolling_{n}h": F.avg(column).over(w.rowsBetween(1 - n, 0)) for n in windows}
         return frame.select("*", *[mean.alias(name) for name, mean in means.items()])
 

@@ -84,7 +84,7 @@ def test_lags_match_pandas(df, frame):
 
 
 def test_positions(df, frame):
-    out = row_positions(df, ["building_id"], ["timestamp"]).toPandas()
+    out = row_positions(df.repartition(9), ["building_id"], ["timestamp"]).toPandas()
     for _, part in out.sort_values("timestamp").groupby(out["building_id"].fillna("?")):
         assert part["__pos"].tolist() == list(range(len(part))) and set(part["__size"]) == {len(part)}
 
