@@ -693,6 +693,40 @@ def additive_metrics(spark, sf):
     return metrics.evaluate(AdditiveModel.load(spark, path).predict(test), "meter_reading", "prediction")
 
 
+@register(
+    "additive_one_feature",
+    """WITH v AS (SELECT l_discount, count(*) AS n, avg(l_extendedprice) AS m FROM lineitem GROUP BY 1),
+t AS (SELECT *, 0.001::double * sum(n) OVER () AS k FROM v),
+c AS (SELECT sum(n * k / (n + k) * m) / sum(n * k / (n + k)) AS mu FROM t)
+SELECT l_discount, """ + r("mu + n * (m - mu) / (n + k)", 3) + " AS prediction FROM t, c",
+)
+def additive_one_feature(spark, sf):
+    """With one feature of few values, the ridge fit of its bins has a closed form."""
+    rows = views.table(spark, sf, "lineitem").select("l_discount", F.col("l_extendedprice").alias("meter_reading"))
+    model = fit_additive(rows, ["l_discount"], bins=64, interactions=0, penalty=1e-3)
+    return rounded(model.predict(rows.select("l_discount").distinct()), 3)
+
+
+@register(
+    "boosted_stump",
+    """WITH s AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS code, count(*) AS n, sum(l_extendedprice) AS t
+  FROM lineitem GROUP BY 1),
+side AS (SELECT cut, code <= cut AS low, sum(n) AS n, sum(t) AS t FROM s, (SELECT unnest([0, 1]) AS cut) GROUP BY 1, 2),
+best AS (SELECT arg_max(cut, gain) AS cut FROM (SELECT cut, sum(t * t / n) AS gain FROM side GROUP BY 1))
+SELECT s.code::int AS code, """ + r("side.t / side.n", 3) + """ AS prediction FROM s, best JOIN side ON side.cut = best.cut
+WHERE side.low = (s.code <= best.cut)""",
+)
+def boosted_stump(spark, sf):
+    """One tree of depth one on a three-valued feature: the better cut and its two leaf means."""
+    flag = F.col("l_returnflag")
+    code = F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2)
+    rows = views.table(spark, sf, "lineitem").select(code.alias("code"), F.col("l_extendedprice").alias("meter_reading"))
+    model = boosted.fit_boosted(
+        rows, ["code"], validation_share=None, maxIter=1, maxDepth=1, subsamplingRate=1.0, featureSubsetStrategy="all"
+    )
+    return rounded(boosted.predict_boosted(model, rows.select("code").distinct(), ["code"]), 3)
+
+
 @register("additive_importances")
 def additive_importances(spark, sf):
     return _additive(spark, sf)[0].explain_global(spark)

@@ -47,8 +47,12 @@ def split_time(df: DataFrame, share: float = 0.8, time_col: str = "timestamp") -
 def time_split(
     df: DataFrame, share: float = 0.8, time_col: str = "timestamp"
 ) -> tuple[DataFrame, DataFrame]:
-    """(train, test): before the split timestamp, and from it on."""
-    at = split_time(df, share, time_col).scalar()
+    """(train, test): before the split timestamp, and from it on.
+
+    The timestamp is looked up first, so that both filters are plain comparisons that reach the scan.
+    """
+    found = split_time(df, share, time_col).first()
+    at = F.lit(None if found is None else found[0]).cast("timestamp_ntz")
     return df.filter(F.col(time_col) < at), df.filter(F.col(time_col) >= at)
 
 

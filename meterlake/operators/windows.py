@@ -102,6 +102,7 @@ def add_temporal_features(
     Positions stand for hours. ``align="time"`` first puts every group on a gap-free hourly grid, so that they do.
     """
     if align == "time":
+        split = grid_needs_split(df, group_cols, order[0], limit, split)
         df = hourly_grid(df, group_cols, order[0], limit, split)
     reach = max([0, *lags, *diffs, *[size for size, _ in rolling]])
     known = [(size, [f for f in names if f in _AGGREGATES]) for size, names in rolling]
@@ -241,6 +242,17 @@ def fill_gaps(
     return filled.select(*df.columns)
 
 
+def grid_needs_split(
+    df: DataFrame, group_cols: Sequence[str], time_col: str = "timestamp", limit: int = HOT_ROWS, split: bool | None = None
+) -> bool:
+    """Whether some group would have more than ``limit`` hours, from its first and last timestamp alone."""
+    if split is not None:
+        return split
+    seconds = F.unix_seconds(F.max(time_col).cast("timestamp")) - F.unix_seconds(F.min(time_col).cast("timestamp"))
+    hours = df.groupBy(*group_cols).agg((seconds / 3600 + 1).alias("__hours"))
+    return not hours.filter(F.col("__hours") > limit).isEmpty()
+
+
 def hourly_grid(
     df: DataFrame,
     group_cols: Sequence[str] = ("building_id",),

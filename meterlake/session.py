@@ -17,6 +17,8 @@ def build_session(name: str = "meterlake", cores: int | str = "*", partitions: i
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(partitions))
+        # Test tables are far below the advisory partition size; keep all cores busy after a shuffle.
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("METERLAKE_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")

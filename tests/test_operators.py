@@ -210,6 +210,20 @@ def test_peak_ties_take_the_smallest_hour(spark):
     assert (row["peak_hour"], row["low_hour"]) == (1, 0)
 
 
+def test_time_split_reaches_the_scan(spark, tmp_path):
+    hourly(spark, {"1": range(100)}).write.parquet(str(tmp_path / "t"))
+    train, test = splits.time_split(spark.read.parquet(str(tmp_path / "t")))
+    assert (train.count(), test.count()) == (80, 20)
+    assert "LessThan(timestamp,2024-01-04T08:00)" in train._jdf.queryExecution().executedPlan().toString()
+    empty = splits.time_split(hourly(spark, {"1": range(3)}).limit(0))
+    assert [part.count() for part in empty] == [0, 0]
+
+
+def test_time_split_within_a_minute(spark):
+    micro = timedelta(microseconds=10)
+    assert splits.split_time(hourly(spark, {"1": range(1000)}, micro)).first()[0] == T0 + 800 * micro
+
+
 @pytest.mark.parametrize("n", [10, 11])
 def test_time_split_position(spark, n):
     df = hourly(spark, {"1": range(n)})
