@@ -54,3 +54,8 @@ def pearson(a: Column, b: Column) -> Column:
     both = a.isNotNull() & b.isNotNull()
     x, y = F.when(both, a), F.when(both, b)
     return ratio(F.covar_pop(x, y), F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y)))
+
+
+def ntz_literal(value) -> Column:
+    """A zone-free timestamp literal; passed as text, since a Python datetime would be read in the driver's time zone."""
+    return F.lit(None if value is None else str(value)).cast("timestamp_ntz")

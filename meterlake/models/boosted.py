@@ -10,6 +10,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import ntz_literal
 from ..operators.splits import split_time
 from ..session import shared_dir
 from .tuning import tune_over_folds
@@ -49,7 +50,7 @@ def fit_boosted(
     rows = with_missing_marker(train.filter(F.col(target).isNotNull()), features)
     if validation_share:
         at = split_time(train, 1.0 - validation_share, time_col).first()[0]
-        rows = rows.withColumn("__validation", F.col(time_col) >= F.lit(at))
+        rows = rows.withColumn("__validation", F.col(time_col) >= ntz_literal(at))
         params = {"validationIndicatorCol": "__validation", **params}
     stages = [VectorAssembler(inputCols=list(features), outputCol="features"), default_trees(target, **params)]
     return Pipeline(stages=stages).fit(rows)

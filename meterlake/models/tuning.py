@@ -7,7 +7,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.splits import assign_folds
 from .metrics import evaluate
 
 
@@ -17,6 +16,7 @@ def tune_over_folds(
     grid: Sequence[dict],
     scored: Callable[[DataFrame, DataFrame, dict], DataFrame],
     target: str,
+    time_col: str = "timestamp",
 ) -> DataFrame:
     """(fold, grid_point, params, metrics) for every combination.
 
@@ -24,18 +24,15 @@ def tune_over_folds(
     Spark's own cross-validation, the driver loops over combinations and every fit is a distributed job; only one row of
     metrics per combination comes back.
     """
-    assigned = assign_folds(df, folds).persist()
-    try:
-        found, schema = [], None
-        for fold in sorted(row[0] for row in folds.select("fold").collect()):
-            part = assigned.filter(F.col("fold") == fold)
-            train, test = part.filter("role = 'train'"), part.filter("role = 'test'")
-            for i, params in enumerate(grid):
-                metrics = evaluate(scored(train, test, params), target, "prediction")
-                row = metrics.select(
-                    F.lit(fold).alias("fold"), F.lit(i).alias("grid_point"), F.lit(str(params)).alias("params"), "*"
-                )
-                found, schema = found + row.collect(), row.schema
-        return df.sparkSession.createDataFrame(found, schema)
-    finally:
-        assigned.unpersist()
+    month = F.year(time_col) * 12 + F.month(time_col) - 1
+    found, schema = [], None
+    for fold in folds.orderBy("fold").collect():
+        train = df.filter(month.between(fold["train_from"], fold["train_to"]))
+        test = df.filter(month.between(fold["test_from"], fold["test_to"]))
+        for i, params in enumerate(grid):
+            metrics = evaluate(scored(train, test, params), target, "prediction")
+            row = metrics.select(
+                F.lit(fold["fold"]).alias("fold"), F.lit(i).alias("grid_point"), F.lit(str(params)).alias("params"), "*"
+            )
+            found, schema = found + row.collect(), row.schema
+    return df.sparkSession.createDataFrame(found, schema)

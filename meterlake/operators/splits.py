@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import ntz_literal
 from .skew import HOT_ROWS, needs_split, row_positions, split_hot
 
 
@@ -52,7 +53,7 @@ def time_split(
     The timestamp is looked up first, so that both filters are plain comparisons that reach the scan.
     """
     found = split_time(df, share, time_col).first()
-    at = F.lit(None if found is None else found[0]).cast("timestamp_ntz")
+    at = ntz_literal(None if found is None else found[0])
     return df.filter(F.col(time_col) < at), df.filter(F.col(time_col) >= at)
 
 
@@ -80,9 +81,20 @@ def mark_client_split(
 
 
 def seeded_sample(df: DataFrame, keys: Sequence[str], n: int = 10_000, seed: int = 42) -> DataFrame:
-    """min(n, rows) rows without replacement, the same on every run. ``keys`` identify a row."""
-    ordered = df.withColumn("__key", seeded_key(keys, seed)).orderBy("__key", *keys)
-    return ordered.limit(n).drop("__key")
+    """min(n, rows) rows without replacement, the same on every run. ``keys`` identify a row.
+
+    The rows with the smallest keys are taken. Keys are evenly spread, so on a large table a bound somewhat above the n-th
+    one is set first, and raised until enough rows lie below it: only these are sorted, not n rows of every task.
+    """
+    keyed = df.withColumn("__key", seeded_key(keys, seed))
+    fraction = (n + 10 * n**0.5 + 100) / max(df.count(), 1)
+    while fraction < 1:
+        below = keyed.filter(F.col("__key") < format(int(fraction * 2**32), "08x"))
+        if below.count() >= n:
+            keyed = below
+            break
+        fraction *= 2
+    return keyed.orderBy("__key", *keys).limit(n).drop("__key")
 
 
 def held_out_sites(df: DataFrame, share: float = 0.2, seed: int = 42, column: str = "site_id") -> DataFrame:

@@ -242,6 +242,10 @@ def test_seeded_sample_is_stable(spark):
     first = values(splits.seeded_sample(df, ["timestamp"], 10))
     assert len(first) == 10 and first == values(splits.seeded_sample(df.repartition(7), ["timestamp"], 10))
     assert splits.seeded_sample(df, ["timestamp"], 1000).count() == 50
+    large = spark.range(20_000)
+    bounded = splits.seeded_sample(large, ["id"], 20)
+    plain = large.orderBy(splits.seeded_key(["id"], 42), "id").limit(20)
+    assert "__key" not in bounded.columns and bounded.collect() == plain.collect()
 
 
 def test_calendar(spark):

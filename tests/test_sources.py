@@ -80,6 +80,10 @@ def test_exports(spark, tmp_path):
     df = spark.range(20).selectExpr("string(id % 2) building_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, int(id)) timestamp", "double(id) actual")
     files.export_sample(df, str(tmp_path / "s"), 5)
     assert spark.read.option("header", True).csv(str(tmp_path / "s")).agg(F.max(F.col("actual").cast("double"))).first()[0] == 4.0
+    many = df.crossJoin(spark.range(50).select(F.col("id").alias("x")))
+    order = ["timestamp", "building_id", "x"]
+    for n in (1, 50, 120, 5000):
+        assert files.head(many, n, order).collect() == many.orderBy(*order).limit(n).collect()
     files.export_scored(df, str(tmp_path / "one"), "1")
     assert spark.read.option("header", True).csv(str(tmp_path / "one")).count() == 10
     files.export_scored(df, str(tmp_path / "all"))
