@@ -85,8 +85,9 @@ def scan_licenses(
     least = least.groupBy("number", "size", "j").agg(F.min(hashed).alias("m")).select("number", "size", "j", "m.value", "m.h")
     behind = [r["h"] for r in least.select("h").distinct().collect()]  # at most one for each template and band
 
-    worded = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("words"))
-    hashes = worded.select("id", shingles("words", n).alias("hashes"))
+    # Generators keep the arrays as columns; filters below would otherwise take their expressions into each lambda.
+    worded = docs.select(F.col(id_col).alias("id"), F.explode(F.array(words(F.col(text_col)))).alias("words"))
+    hashes = worded.where(F.size("words") >= n).select("id", F.explode(F.array(shingles("words", n))).alias("hashes"))
     hits = hashes.select("id", "hashes", F.filter(F.transform("hashes", lambda h, i: F.when(h.isin(behind), i)), lambda i: i.isNotNull()).alias("hits"))
 
     def windows(s: int) -> Column:

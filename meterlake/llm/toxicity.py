@@ -12,24 +12,35 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Letters that stand alone, apart by one mark or space each, are one gapped word.
-GAPPED = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[\s._*\-]{1,2}[^\W\d_](?![^\W\d_])){2,}")
+MARKS = ".,;:!?*#$%&|\"'()[]{}<>_-~^+=/\\@"
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*|[.!?]+")
 LONGEST, STRIDE = 24, 12
 
 
 def tokens(text: str) -> list[str]:
-    """Lower-case words of letters only. What lies within a word is taken out; long words are cut into overlapping ones."""
-    out, low = [], text.lower()
-    for m in GAPPED.finditer(low):
-        out.append("".join(filter(str.isalpha, m.group())))
-    for w in low.split():
-        out.append(w if w.isalpha() else "".join(filter(str.isalpha, w)))
-    return [x for w in out if w for x in ([w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w) - STRIDE, STRIDE)])]
+    """Lower-case words of letters only. What lies within a word is taken out; three or more letters that stand alone, one
+    after the other, are one gapped word; long words are cut into overlapping ones."""
+    out, run = [], []
+    for w in text.lower().split():
+        if not w.isalpha():
+            w = w.strip(MARKS)
+            if not w.isalpha():
+                w = "".join(filter(str.isalpha, w))
+        if len(w) == 1:
+            run.append(w)
+        elif run:
+            if len(run) > 2:
+                out.append("".join(run))
+            run = []
+        out.append(w)
+    if len(run) > 2:
+        out.append("".join(run))
+    return [x for w in out if len(w) > 1 for x in ((w,) if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w) - STRIDE, STRIDE)])]
 
 
 def codes(words: list[str]) -> np.ndarray:
-    """Code points, padded by 0 to a common width."""
+    """Code points between edge marks, padded by 0 to a common width: an insult's first and last letters tell it from a part of a word."""
+    words = [f"^{w}$" for w in words]
     width = max(map(len, words), default=1)
     return np.array([[*map(ord, w)] + [0] * (width - len(w)) for w in words], dtype=np.int32)
 
@@ -41,53 +52,89 @@ def subsequence_kernel(a: list[str], b: list[str], order: int = 3, decay: float
     """
     s, t = codes(a), codes(b)
     n, m = s.shape[1], t.shape[1]
+    far = np.subtract.outer(np.arange(m), np.arange(m))
+    gaps = np.where(far <= 0, decay ** (-far.astype(float)), 0.0).astype(np.float32)  # later letters of b gather earlier matches
     total = np.zeros((len(a), len(b)), dtype=np.float32)
     # inner[i][:, :, j]: pairs of subsequences of i letters, weighted from their starts up to here (K' of the recursion).
-    inner = [np.ones((len(a), len(b), m + 1), dtype=np.float32)] + [np.zeros((len(a), len(b), m + 1), dtype=np.float32) for _ in range(order - 1)]
+    inner = [np.ones((len(a), len(b), m), dtype=np.float32)] + [np.zeros((len(a), len(b), m), dtype=np.float32) for _ in range(order - 1)]
     for x in range(n):
-        same = ((s[:, x, None, None] == t[None]) & (s[:, x, None, None] > 0)).astype(np.float32)
-        total += decay**2 * (same * inner[order - 1][:, :, :m]).sum(axis=2)
+        same = ((s[:, x, None, None] == t[None]) & (s[:, x, None, None] > 0)).astype(np.float32) * np.float32(decay**2)
+        total += np.einsum("abm,abm->ab", same, inner[order - 1])
         for i in range(order - 1, 0, -1):
-            fresh = decay**2 * same * inner[i - 1][:, :, :m]
-            for j in range(1, m):  # gaps in the second word
-                fresh[:, :, j] += decay * fresh[:, :, j - 1]
-            inner[i][:, :, 1:] = decay * inner[i][:, :, 1:] + fresh
+            fresh = (same * inner[i - 1]) @ gaps
+            inner[i] *= np.float32(decay)
+            inner[i][:, :, 1:] += fresh[:, :, :-1]
     return total
 
 
-def self_kernel(words: list[str], order: int = 3, decay: float = 0.6) -> np.ndarray:
+def self_kernel(words: list[str]) -> np.ndarray:
     """K(w, w), at least a small number for words without so many letters."""
-    s = codes(words)
-    n = s.shape[1]
-    total, inner = np.zeros(len(words), np.float32), [np.ones((len(words), n + 1), np.float32)] + [np.zeros((len(words), n + 1), np.float32) for _ in range(order - 1)]
-    for x in range(n):
-        same = ((s[:, x, None] == s) & (s[:, x, None] > 0)).astype(np.float32)
-        total += decay**2 * (same * inner[order - 1][:, :n]).sum(axis=1)
-        for i in range(order - 1, 0, -1):
-            fresh = decay**2 * same * inner[i - 1][:, :n]
-            for j in range(1, n):
-                fresh[:, j] += decay * fresh[:, j - 1]
-            inner[i][:, 1:] = decay * inner[i][:, 1:] + fresh
-    return np.maximum(total, 1e-9)
-
-
-def common_letters(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Length of the longest common subsequence of each word with each landmark (of at most 62 letters), by bits."""
-    s = codes(words)
-    full = np.array([(1 << len(x)) - 1 for x in landmarks], dtype=np.uint64)
-    letters: dict[int, np.ndarray] = {}
-    for c in set("".join(landmarks)):
-        letters[ord(c)] = np.array([sum(1 << i for i, d in enumerate(x) if d == c) for x in landmarks], dtype=np.uint64)
-    alphabet = np.array(sorted(letters), dtype=np.int32)
-    masks = np.concatenate([np.zeros((1, len(landmarks)), np.uint64), np.array([letters[c] for c in alphabet.tolist()])])
-    at = np.searchsorted(alphabet, s)
-    at = np.where((at < len(alphabet)) & (alphabet[np.minimum(at, len(alphabet) - 1)] == s), at + 1, 0)
-    row = np.broadcast_to(full, (len(words), len(landmarks))).copy()
-    for x in range(s.shape[1]):
-        m = masks[at[:, x]]
-        u = row & m
-        row = ((row + u) | (row - u)) & full
-    return np.array([len(x) for x in landmarks]) - np.bitwise_count(row & full).astype(int)
+    found = [subsequence_kernel([w], [w])[0, 0] for w in words] if len(words) < 64 else None
+    if found is None:
+        s, decay, order = codes(words), 0.6, 3
+        m = s.shape[1]
+        far = np.subtract.outer(np.arange(m), np.arange(m))
+        gaps = np.where(far <= 0, decay ** (-far.astype(float)), 0.0).astype(np.float32)
+        total, inner = np.zeros(len(words), np.float32), [np.ones((len(words), m), np.float32)] + [np.zeros((len(words), m), np.float32) for _ in range(order - 1)]
+        for x in range(m):
+            same = ((s[:, x, None] == s) & (s[:, x, None] > 0)).astype(np.float32) * np.float32(decay**2)
+            total += (same * inner[order - 1]).sum(axis=1)
+            for i in range(order - 1, 0, -1):
+                fresh = (same * inner[i - 1]) @ gaps
+                inner[i] *= np.float32(decay)
+                inner[i][:, 1:] += fresh[:, :-1]
+        found = total
+    return np.maximum(np.asarray(found, dtype=np.float32), 1e-9)
+
+
+@dataclass(frozen=True)
+class Screen:
+    """Longest common subsequences with all landmarks at once, by the bits of a few 64-bit numbers, one bit apart."""
+
+    at: list[tuple[int, int, int]]
+    full: np.ndarray
+    alphabet: np.ndarray
+    masks: np.ndarray
+    need: np.ndarray
+
+    @classmethod
+    def of(cls, landmarks: list[str], share: float) -> Screen:
+        at, number, bit = [], 0, 0
+        landmarks = [f"^{x}$" for x in landmarks]
+        for x in landmarks:
+            if bit + len(x) + 1 > 64:
+                number, bit = number + 1, 0
+            at.append((number, bit, len(x)))
+            bit += len(x) + 1
+        full, masks = [0] * (number + 1), {}
+        for x, (k, b, size) in zip(landmarks, at):
+            full[k] |= ((1 << size) - 1) << b
+            for i, c in enumerate(x):
+                masks.setdefault(ord(c), [0] * (number + 1))[k] |= 1 << (b + i)
+        alphabet = sorted(masks)
+        rows = [[0] * (number + 1)] + [masks[c] for c in alphabet]
+        need = np.ceil(share * np.array([len(x) for x in landmarks]) - 1e-9).astype(int)
+        return cls(at, np.array(full, dtype=np.uint64), np.array(alphabet, dtype=np.int32), np.array(rows, dtype=np.uint64), need)
+
+    def lengths(self, words: list[str]) -> np.ndarray:
+        s = codes(words)
+        spot = np.minimum(np.searchsorted(self.alphabet, s), len(self.alphabet) - 1)
+        spot = np.where(self.alphabet[spot] == s, spot + 1, 0)
+        row = np.broadcast_to(self.full, (len(words), len(self.full))).copy()
+        for x in range(s.shape[1]):
+            u = row & self.masks[spot[:, x]]
+            row = ((row + u) | (row - u)) & self.full
+        parts = [(row[:, k] >> np.uint64(b)) & np.uint64((1 << size) - 1) for k, b, size in self.at]
+        return np.stack([size - np.bitwise_count(p).astype(int) for p, (_, _, size) in zip(parts, self.at)], axis=1)
+
+    def near(self, words: list[str]) -> np.ndarray:
+        """Which words have as many letters in common with some landmark as is needed."""
+        out = np.zeros(len(words), dtype=bool)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))  # few widths a block
+        for k in range(0, len(order), 20_000):
+            some = order[k : k + 20_000]
+            out[some] = (self.lengths([words[i] for i in some]) >= self.need).any(axis=1)
+        return out
 
 
 @dataclass(frozen=True)
@@ -99,8 +146,7 @@ class Machine:
     whiten: np.ndarray
     weights: np.ndarray
     bias: float
-    slope: float
-    offset: float
+    scaling: np.ndarray
     share: float
     norms: np.ndarray
 
@@ -109,21 +155,25 @@ class Machine:
         out = np.full(len(words), -1.0)
         if not words or not self.toxic:
             return out
-        insults = self.landmarks[: self.toxic]
-        need = np.ceil(self.share * np.array([len(x) for x in insults]))
-        for at in range(0, len(words), 20_000):
-            near = np.flatnonzero((common_letters(words[at : at + 20_000], insults) >= need).any(axis=1))
-            for k in range(0, len(near), 1000):
-                some = [words[at + i] for i in near[k : k + 1000]]
-                out[at + near[k : k + 1000]] = self.features(some) @ self.weights + self.bias
+        near = np.flatnonzero(Screen.of(self.landmarks[: self.toxic], self.share).near(words))
+        near = near[np.argsort([len(words[i]) for i in near], kind="stable")]
+        for k in range(0, len(near), 1000):
+            some = near[k : k + 1000]
+            out[some] = np.maximum(-1.0, self.features([words[i] for i in some]) @ self.weights + self.bias)
         return out
 
     def features(self, words: list[str]) -> np.ndarray:
         cosine = subsequence_kernel(words, self.landmarks) / np.sqrt(self_kernel(words)[:, None] * self.norms)
         return cosine @ self.whiten
 
-    def score(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
+    def score(self, top: np.ndarray) -> np.ndarray:
+        """From the margins of the worst word and of the next two distinct ones."""
+        z = np.stack([top[:, 0], top[:, 1:].mean(axis=1), np.ones(len(top))], axis=1) @ self.scaling
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def worst_three(margins: list[float]) -> list[float]:
+    return (sorted(margins, reverse=True)[:3] + [-1.0] * 3)[:3]
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 0.01, steps: int = 50) -> tuple[np.ndarray, float]:
@@ -141,74 +191,78 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: flo
     return w[:-1], float(w[-1])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
-    """Slope and offset of Platt's scaling, with his smoothed targets."""
+def logistic(x: np.ndarray, y: np.ndarray, steps: int = 100) -> np.ndarray:
+    """Weights of Platt's scaling, with his smoothed targets, the last one for the constant."""
     n1 = y.sum()
     t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (len(y) - n1 + 2))
-    z, w = np.stack([x, np.ones(len(x))], axis=1), np.zeros(2)
+    z = np.hstack([x, np.ones((len(x), 1))])
+    w, ridge = np.zeros(z.shape[1]), 1e-2
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z + 1e-4 * np.eye(2)
-        step = np.linalg.solve(h, z.T @ (t - p) - 1e-4 * w)
+        h = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, z.T @ (t - p) - ridge * w)
         w = w + step
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0]), float(w[1])
+    return w
 
 
-def fit(rows: list[tuple[str, int]], insults: int = 64, others: int = 64, share: float = 0.75, odds: float = 12.0) -> Machine:
-    """Learns from (text, 0 or 1).
+def cosines(a: list[str], b: list[str]) -> np.ndarray:
+    """Normalised kernel, in blocks of words of like length."""
+    norms, out = self_kernel(b), np.zeros((len(a), len(b)), dtype=np.float32)
+    order = sorted(range(len(a)), key=lambda i: len(a[i]))
+    for k in range(0, len(a), 1000):
+        some = order[k : k + 1000]
+        words = [a[i] for i in some]
+        out[some] = subsequence_kernel(words, b) / np.sqrt(self_kernel(words)[:, None] * norms)
+    return out
 
-    Words of sentences of toxic texts whose odds of standing in a toxic text are high are witnesses of toxicity. The
-    insult landmarks cover the toxic texts, most first; the others are the words of clean texts that come closest to them. The machine separates
-    witnesses from words of clean texts; a text's margin is that of its worst word, calibrated on all the rows.
+
+def fit(rows: list[tuple[str, int]], insults: int = 40, others: int = 40, share: float = 0.75, odds: float = 12.0) -> Machine:
+    """Learns from (text, 0 or 1); equal texts count once.
+
+    Words whose odds of standing in a toxic text are high are witnesses of toxicity. The insult landmarks are the
+    most frequent of them that are unlike each other; the other landmarks are the words of clean texts that come closest to
+    them. The machine separates witnesses from the words of clean texts that pass its screen; a text's score is
+    calibrated from its three worst words on all the rows.
     """
-    held = [(frozenset(tokens(t or "")), y) for t, y in rows]
+    held = list(dict.fromkeys((frozenset(tokens(t or "")), y) for t, y in rows))
     bad, good = [w for w, y in held if y], [w for w, y in held if not y]
     in_bad, in_good = Counter(x for w in bad for x in w), Counter(x for w in good for x in w)
 
     def ratio(x: str) -> float:
-        return ((in_bad[x] + 0.1) / (len(bad) + 1)) / ((in_good[x] + 0.5) / (len(good) + 1))
-
-    witness = {x for x in in_bad if 3 <= len(x) and in_bad[x] >= 2 and ratio(x) >= odds}
-    chosen: list[str] = []
-    waiting = [w & witness for w in bad]
-    while waiting and len(chosen) < insults:
-        tally = Counter(x for w in waiting for x in w)
-        if not tally:
-            break
-        best = max(tally, key=lambda x: (tally[x], in_bad[x], x))
-        chosen.append(best)
-        waiting = [w for w in waiting if best not in w]
-    rest = sorted(witness - set(chosen), key=lambda x: (-in_bad[x], x))
-    chosen += rest[: insults - len(chosen)]
-    if not chosen or not good:
-        return Machine([], 0, np.zeros((0, 0)), np.zeros(0), -1.0, 1.0, -3.0, share, np.zeros(0))
-    need = np.ceil(share * np.array([len(x) for x in chosen]))
-    clean = sorted(in_good, key=lambda x: (-in_good[x], x))
-    clean = [x for x in clean if x not in witness]
-    near = [x for k in range(0, len(clean), 20_000) for x, hit in zip(clean[k : k + 20_000], (common_letters(clean[k : k + 20_000], chosen) >= need).any(axis=1)) if hit]
-    norms = self_kernel(chosen)
-    close = np.concatenate([(subsequence_kernel(near[k : k + 500], chosen) / np.sqrt(self_kernel(near[k : k + 500])[:, None] * norms)).max(axis=1) for k in range(0, len(near), 500)]) if near else np.zeros(0)
+        return (in_bad[x] / (len(bad) + 1)) / ((in_good[x] + 0.5) / (len(good) + 1))
+
+    # A word in one text of hundreds is in a second by chance now and then.
+    least = 3 if len(bad) > 20 else 2
+    witness = sorted(x for x in in_bad if 3 <= len(x) <= LONGEST and in_bad[x] >= least and ratio(x) >= odds)
+    if not witness or not good:
+        return Machine([], 0, np.zeros((0, 0)), np.zeros(0), -1.0, np.array([0.0, 0.0, -3.0]), share, np.zeros(0))
+    number, chosen = {x: i for i, x in enumerate(witness)}, []
+    alike = cosines(witness, witness)
+    for x in sorted(witness, key=lambda x: (-in_bad[x], x)):
+        if len(chosen) < insults and (not chosen or alike[number[x], [number[c] for c in chosen]].max() < 0.6):
+            chosen.append(x)
+    clean = sorted(in_good.keys() - number.keys())
+    near = [clean[i] for i in np.flatnonzero(Screen.of(chosen, share).near(clean))]
+    close = cosines(near, chosen).max(axis=1) if near else np.zeros(0)
     hard = [near[i] for i in np.argsort(-close, kind="stable")]
     landmarks = chosen + hard[:others]
     norms = self_kernel(landmarks)
-    gram = subsequence_kernel(landmarks, landmarks) / np.sqrt(norms[:, None] * norms)
-    values, vectors = np.linalg.eigh(gram.astype(float) + 1e-6 * np.eye(len(landmarks)))
-    values = np.maximum(values, 1e-3)
-    machine = Machine(landmarks, len(chosen), vectors / np.sqrt(values) @ vectors.T, np.zeros(len(landmarks)), 0.0, 1.0, 0.0, share, norms)
-    positive, negative = sorted(witness), hard[:6000]
-    x = np.concatenate([machine.features((positive + negative)[k : k + 500]) for k in range(0, len(positive) + len(negative), 500)]).astype(float)
-    y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-    weight = np.array([float(in_bad[w]) for w in positive] + [1.0 + in_good[w] for w in negative])
-    weight[y > 0] *= weight.sum() / weight[y > 0].sum() / 2
-    weights, bias = squared_hinge(x, y, weight / weight.mean())
-    machine = Machine(landmarks, len(chosen), machine.whiten, weights, bias, 1.0, 0.0, share, norms)
-    words = sorted(set(in_bad) | set(in_good))
+    values, vectors = np.linalg.eigh(cosines(landmarks, landmarks).astype(float))
+    whiten = vectors / np.sqrt(np.maximum(values, 0.02)) @ vectors.T
+    negative = hard[:10_000] + hard[10_000:][:: max(1, len(hard) // 10_000)]
+    x = (cosines(witness + negative, landmarks) @ whiten).astype(float)
+    y = np.array([1.0] * len(witness) + [-1.0] * len(negative))
+    weight = np.array([float(in_bad[w]) for w in witness] + [1.0 + in_good[w] for w in negative])
+    weight[y > 0] *= weight[y < 0].sum() / weight[y > 0].sum() if negative else 1.0
+    weights, bias = squared_hinge(x, y, weight / weight.mean(), penalty=1e-3 * len(y))
+    machine = Machine(landmarks, len(chosen), whiten, weights, bias, np.zeros(3), share, norms)
+    words = sorted(in_bad.keys() | in_good.keys())
     margin = dict(zip(words, machine.margins(words)))
-    worst = np.array([max((margin[x] for x in w), default=-1.0) for w, _ in held])
-    slope, offset = logistic(worst, np.array([y for _, y in held], dtype=float))
-    return Machine(landmarks, len(chosen), machine.whiten, weights, bias, slope, offset, share, norms)
+    top = np.array([worst_three([margin[x] for x in w]) for w, _ in held])
+    scaling = logistic(np.stack([top[:, 0], top[:, 1:].mean(axis=1)], axis=1), np.array([y for _, y in held], dtype=float))
+    return Machine(landmarks, len(chosen), whiten, weights, bias, scaling, share, norms)
 
 
 def learn(
@@ -234,7 +288,7 @@ def learn(
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", min_score: float = 0.3) -> DataFrame:
     """One row for each document: id_col, score, predicted, worst (the word that decides), sentence (the first that holds it).
 
-    The whole text is scored by the worst of its words. Gapped words are joined and marks within words taken out first;
+    The whole text is scored by the worst three of its words. Gapped words are joined and marks within words taken out first;
     the kernel takes inserted letters. NULL or empty text: the score of a text without any such word. Repeated rows: each
     by itself. Work is by row, without a shuffle; the model is of at most 128 landmarks.
     """
@@ -250,7 +304,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
                 fresh = list(set().union(*sets))
             known.update(zip(fresh, machine.margins(fresh).tolist()))
             worst = [max(((known[x], x) for x in s), default=(-1.0, "")) for s in sets]
-            margins = np.array([m for m, _ in worst])
+            margins = np.array([worst_three([known[x] for x in s]) for s in sets])
             names = [x if m > -1.0 else None for m, x in worst]
             sentences = [next((q for q in SENTENCE.findall(t) if x in tokens(q)), None) if x and m > 0 else None for t, (m, x) in zip(texts, worst)]
             scores = machine.score(margins)
