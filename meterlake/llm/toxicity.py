@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -40,9 +40,8 @@ def tokens(text: str) -> list[str]:
 
 def codes(words: list[str]) -> np.ndarray:
     """Code points between edge marks, padded by 0 to a common width: an insult's first and last letters tell it from a part of a word."""
-    words = [f"^{w}$" for w in words]
-    width = max(map(len, words), default=1)
-    return np.array([[*map(ord, w)] + [0] * (width - len(w)) for w in words], dtype=np.int32)
+    marked = np.array([f"^{w}$" for w in words])
+    return marked.view(np.int32).reshape(len(words), -1)
 
 
 def subsequence_kernel(a: list[str], b: list[str], order: int = 3, decay: float = 0.6) -> np.ndarray:
@@ -61,7 +60,7 @@ def subsequence_kernel(a: list[str], b: list[str], order: int = 3, decay: float
         same = ((s[:, x, None, None] == t[None]) & (s[:, x, None, None] > 0)).astype(np.float32) * np.float32(decay**2)
         total += np.einsum("abm,abm->ab", same, inner[order - 1])
         for i in range(order - 1, 0, -1):
-            fresh = (same * inner[i - 1]) @ gaps
+            fresh = ((same * inner[i - 1]).reshape(-1, m) @ gaps).reshape(same.shape)
             inner[i] *= np.float32(decay)
             inner[i][:, :, 1:] += fresh[:, :, :-1]
     return total
@@ -149,6 +148,7 @@ class Machine:
     scaling: np.ndarray
     share: float
     norms: np.ndarray
+    odds: np.ndarray
 
     def margins(self, words: list[str]) -> np.ndarray:
         """Margin of each word; -1 for those with too little in common with any insult to be looked at closer."""
@@ -166,14 +166,25 @@ class Machine:
         cosine = subsequence_kernel(words, self.landmarks) / np.sqrt(self_kernel(words)[:, None] * self.norms)
         return cosine @ self.whiten
 
-    def score(self, top: np.ndarray) -> np.ndarray:
-        """From the margins of the worst word and of the next two distinct ones."""
-        z = np.stack([top[:, 0], top[:, 1:].mean(axis=1), np.ones(len(top))], axis=1) @ self.scaling
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
+    def nearest(self, words: list[str]) -> np.ndarray:
+        """The insult landmark most like each word."""
+        return cosines(words, self.landmarks[: self.toxic]).argmax(axis=1)
+
+    def evidence(self, texts: list[list[tuple[float, str]]]) -> np.ndarray:
+        """For each text's (margin, word) pairs: the worst margin, the mean of the next two, and the worst word's odds."""
+        tops = [sorted(((max(0.0, m), x) for m, x in words), reverse=True)[:3] for words in texts]
+        out = np.zeros((len(texts), 3))
+        for i, top in enumerate(tops):
+            out[i, 0] = top[0][0] if top else 0.0
+            out[i, 1] = sum(m for m, _ in top[1:]) / 2
+        hit = [i for i in range(len(texts)) if out[i, 0] > 0]
+        if hit:
+            out[hit, 2] = self.odds[self.nearest([tops[i][0][1] for i in hit])] * np.minimum(out[hit, 0], 1.0)
+        return out
 
-def worst_three(margins: list[float]) -> list[float]:
-    return (sorted(margins, reverse=True)[:3] + [-1.0] * 3)[:3]
+    def score(self, evidence: np.ndarray) -> np.ndarray:
+        z = np.hstack([evidence, np.ones((len(evidence), 1))]) @ self.scaling
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 0.01, steps: int = 50) -> tuple[np.ndarray, float]:
@@ -218,13 +229,13 @@ def cosines(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
-def fit(rows: list[tuple[str, int]], insults: int = 40, others: int = 40, share: float = 0.75, odds: float = 12.0) -> Machine:
+def fit(rows: list[tuple[str, int]], insults: int = 32, others: int = 32, share: float = 0.8, odds: float = 12.0) -> Machine:
     """Learns from (text, 0 or 1); equal texts count once.
 
     Words whose odds of standing in a toxic text are high are witnesses of toxicity. The insult landmarks are the
     most frequent of them that are unlike each other; the other landmarks are the words of clean texts that come closest to
     them. The machine separates witnesses from the words of clean texts that pass its screen; a text's score is
-    calibrated from its three worst words on all the rows.
+    calibrated on all the rows from its three worst words and from how often the landmark nearest to the worst is toxic.
     """
     held = list(dict.fromkeys((frozenset(tokens(t or "")), y) for t, y in rows))
     bad, good = [w for w, y in held if y], [w for w, y in held if not y]
@@ -237,7 +248,7 @@ def fit(rows: list[tuple[str, int]], insults: int = 40, others: int = 40, share:
     least = 3 if len(bad) > 20 else 2
     witness = sorted(x for x in in_bad if 3 <= len(x) <= LONGEST and in_bad[x] >= least and ratio(x) >= odds)
     if not witness or not good:
-        return Machine([], 0, np.zeros((0, 0)), np.zeros(0), -1.0, np.array([0.0, 0.0, -3.0]), share, np.zeros(0))
+        return Machine([], 0, np.zeros((0, 0)), np.zeros(0), -1.0, np.array([0.0, 0.0, 0.0, -3.0]), share, np.zeros(0), np.zeros(0))
     number, chosen = {x: i for i, x in enumerate(witness)}, []
     alike = cosines(witness, witness)
     for x in sorted(witness, key=lambda x: (-in_bad[x], x)):
@@ -252,17 +263,25 @@ def fit(rows: list[tuple[str, int]], insults: int = 40, others: int = 40, share:
     values, vectors = np.linalg.eigh(cosines(landmarks, landmarks).astype(float))
     whiten = vectors / np.sqrt(np.maximum(values, 0.02)) @ vectors.T
     negative = hard[:10_000] + hard[10_000:][:: max(1, len(hard) // 10_000)]
-    x = (cosines(witness + negative, landmarks) @ whiten).astype(float)
-    y = np.array([1.0] * len(witness) + [-1.0] * len(negative))
-    weight = np.array([float(in_bad[w]) for w in witness] + [1.0 + in_good[w] for w in negative])
+    # Insults with a letter doubled or put in are insults too.
+    spoilt = {v: in_bad[w] / len(w) for w in chosen for i in range(1, len(w)) for v in (w[:i] + w[i - 1 :], w[:i] + "x" + w[i:]) if v not in in_good}
+    positive = {**{w: float(in_bad[w]) for w in witness}, **{v: n for v, n in spoilt.items() if v not in number}}
+    x = (cosines([*positive, *negative], landmarks) @ whiten).astype(float)
+    y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
+    weight = np.array([*positive.values(), *(1.0 + in_good[w] for w in negative)])
     weight[y > 0] *= weight[y < 0].sum() / weight[y > 0].sum() if negative else 1.0
-    weights, bias = squared_hinge(x, y, weight / weight.mean(), penalty=1e-3 * len(y))
-    machine = Machine(landmarks, len(chosen), whiten, weights, bias, np.zeros(3), share, norms)
+    weights, bias = squared_hinge(x, y, weight / weight.mean(), penalty=1e-4 * len(y))
+    machine = Machine(landmarks, len(chosen), whiten, weights, bias, np.zeros(4), share, norms, np.zeros(len(chosen)))
     words = sorted(in_bad.keys() | in_good.keys())
     margin = dict(zip(words, machine.margins(words)))
-    top = np.array([worst_three([margin[x] for x in w]) for w, _ in held])
-    scaling = logistic(np.stack([top[:, 0], top[:, 1:].mean(axis=1)], axis=1), np.array([y for _, y in held], dtype=float))
-    return Machine(landmarks, len(chosen), whiten, weights, bias, scaling, share, norms)
+    # Of the texts whose worst word is nearest to a landmark, the log odds of being toxic.
+    labels, pairs = np.array([y for _, y in held], dtype=float), [[(margin[x], x) for x in w] for w, _ in held]
+    worst = [max(p, default=(-1.0, "")) for p in pairs]
+    hit = [i for i, (m, _) in enumerate(worst) if m > 0.3]
+    place = machine.nearest([worst[i][1] for i in hit]) if hit else np.zeros(0, dtype=int)
+    ones, all_ = np.bincount(place, labels[hit], len(chosen)), np.bincount(place, minlength=len(chosen))
+    machine = replace(machine, odds=np.log((ones + 0.5) / (all_ - ones + 0.5)))
+    return replace(machine, scaling=logistic(machine.evidence(pairs), labels))
 
 
 def learn(
@@ -304,10 +323,10 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
                 fresh = list(set().union(*sets))
             known.update(zip(fresh, machine.margins(fresh).tolist()))
             worst = [max(((known[x], x) for x in s), default=(-1.0, "")) for s in sets]
-            margins = np.array([worst_three([known[x] for x in s]) for s in sets])
+            evidence = machine.evidence([[(known[x], x) for x in s if known[x] > 0] for s in sets])
             names = [x if m > -1.0 else None for m, x in worst]
             sentences = [next((q for q in SENTENCE.findall(t) if x in tokens(q)), None) if x and m > 0 else None for t, (m, x) in zip(texts, worst)]
-            scores = machine.score(margins)
+            scores = machine.score(evidence)
             yield pd.DataFrame({"id": frame["id"], "score": scores, "predicted": (scores >= min_score).astype(np.int32), "worst": names, "sentence": sentences})
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
