@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, mix64
+from .common import components, cut_lineage, mix64
 
 #: Odd 64-bit values by byte, and the base of the rolling hash with its inverse modulo 2**64.
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -45,7 +45,7 @@ def shingles(text: str | None, n: int = 4) -> np.ndarray:
     return np.unique(mix64(hashes ^ mix64((ends - begins).astype(np.uint64))))
 
 
-def size_class(n: int, ratio: float = 1.5) -> int:
+def size_class(n: int, ratio: float) -> int:
     return int(np.log(max(n, 1)) / np.log(ratio) + 1e-9)
 
 
@@ -54,26 +54,25 @@ def differing(total: int, percent: int) -> int:
     return (100 - percent) * total // (100 + percent)
 
 
-def signatures(hashes: np.ndarray, percent: int, ratio: float = 1.5) -> np.ndarray:
-    """A key for each token group: linked sets share at least one.
+def signatures(hashes: np.ndarray, percent: int, ratio: float = 1.2) -> np.ndarray:
+    """A key for each of a set's heavier token groups: linked sets share at least one.
 
-    Sets meet in the size class of the larger; a set near the lower end of the next class has keys there too. Two
-    linked sets of class c differ in at most k elements, so of G = k + 1 + spare groups (by hash) at least 1 + spare agree.
-    A group's key hashes the tokens in it. Empty groups agree without telling anything: they get keys only where a set
-    has so many of them that it might agree with another in no other group.
+    Sets meet in the size class of the larger; a set whose partner may be of the next class has keys there too. Two
+    linked sets of a class differ in at most k elements, so of k + 1 + spare groups (by hash) at least 1 + spare agree.
+    The `spare` lightest groups, by size and number, get no key: an agreeing group has the same place in that order's
+    tail in both sets, so the heaviest agreeing one is among the k + 1 kept ones in both. A key hashes a group's tokens.
     """
     n, out = len(hashes), []
-    own = size_class(n, ratio)
-    for c in {own, size_class(-(-n * 100 // percent) + 1, ratio)}:
-        most = int(np.ceil(ratio ** (c + 1))) + 1
-        k = differing(2 * most, percent)
-        groups = k + 2 + k // 100
-        of = (hashes >> np.uint64(33)) % np.uint64(groups)
+    for c in {size_class(n, ratio), size_class(-(-n * 100 // percent) + 1, ratio)}:
+        k = differing(2 * (int(np.ceil(ratio ** (c + 1))) + 1), percent)
+        spare = k // 2
+        groups = k + 1 + spare
+        of = ((hashes >> np.uint64(33)) % np.uint64(groups)).astype(np.int64)
+        size = np.bincount(of, minlength=groups)
         sums = np.zeros(groups, dtype=np.uint64)
-        np.add.at(sums, of.astype(np.int64), mix64(hashes ^ np.uint64(c + 1)))
-        filled = np.bincount(of.astype(np.int64), minlength=groups) > 0
-        keys = mix64(sums ^ mix64(np.arange(groups, dtype=np.uint64) * np.uint64(4096) + np.uint64(c)))
-        out.append(keys if (~filled).sum() >= groups - k else keys[filled])
+        np.add.at(sums, of, mix64(hashes ^ np.uint64(c + 1)))
+        kept = np.lexsort((np.arange(groups), size))[spare:]
+        out.append(mix64(sums[kept] ^ mix64(kept.astype(np.uint64) * np.uint64(4096) + np.uint64(c))))
     return np.concatenate(out)
 
 
@@ -116,29 +115,32 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return common > 0 and 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def local_links(sets: list[np.ndarray], sides: np.ndarray, percent: int, groups: int = 64) -> list[tuple[int, int]]:
-    """Links that connect all linked sets of one region; with two sides, only links between sides are looked for.
+def connect(points: np.ndarray, percent: int, test=None) -> list[tuple[int, int]]:
+    """Pairs that connect all points whose bound allows a link and for which the test, if any, holds.
 
-    Sets join the tree's answers one by one; pairs already connected needn't be compared, so a thousand near copies
-    take about a thousand comparisons.
+    Points already connected needn't be tested, so a thousand near copies take about a thousand tests.
     """
-    # As many groups as keep unrelated sets of this size apart.
-    wide = int(np.clip(2 ** int(np.log2(max(1, np.mean([len(s) for s in sets]) // 8) + 1)), groups, 512))
-    points = np.array([count_vector(s, wide) for s in sets])
-    tree, links, two = CountTree(points), [], len(np.unique(sides)) > 1
-    label = np.arange(len(sets))
-    for i in range(len(sets)):
+    tree, links, label = CountTree(points), [], np.arange(len(points))
+    for i in range(len(points)):
         if (label == label[i]).all():
             break
         near = tree.search(points[i], percent)
-        near = near[(near > i) & (label[near] != label[i])]
-        for j in (near[sides[near] != sides[i]] if two else near).tolist():
-            if label[j] != label[i] and linked(sets[i], sets[j], percent):
+        for j in near[(near > i) & (label[near] != label[i])].tolist():
+            if label[j] != label[i] and (test is None or test(i, j)):
                 links.append((i, j))
                 label[label == label[j]] = label[i]
     return links
 
 
+def local_links(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that connect all linked sets of one region; with two sides, only links between sides are looked for."""
+    # As many groups as keep unrelated sets of this size apart.
+    groups = int(np.clip(2 ** int(np.log2(max(1, np.mean([len(s) for s in sets]) // 8) + 1)), 64, 512))
+    two = len(np.unique(sides)) > 1
+    points = np.array([count_vector(s, groups) for s in sets])
+    return connect(points, percent, lambda i, j: (not two or sides[i] != sides[j]) and linked(sets[i], sets[j], percent))
+
+
 def shingle_sizes(docs: DataFrame, n: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -147,8 +149,12 @@ def shingle_sizes(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInPandas(run, "id long, n_shingles long")
 
 
-def region_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(key, id): region keys of documents. A task sends each key once, with its smallest id; the others' edges to that id get keys of their own."""
+def region_rows(docs: DataFrame, n: int, percent: int, many: int) -> DataFrame:
+    """(key, id, star): region keys of documents.
+
+    A key that more than `many` documents of a task have is sent with its smallest id alone, marked as a star; the
+    others' edges to that id get keys of their own, so that no frequent key brings its documents together in one task.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, ids, held = [], [], 0
@@ -158,21 +164,27 @@ def region_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
             k, i = np.concatenate(keys), np.concatenate(ids)
             order = np.lexsort((i, k))
             k, i = k[order], i[order]
-            first = np.concatenate([[True], k[1:] != k[:-1]])
-            low = i[first][np.cumsum(first) - 1]
-            edges = np.unique(np.stack([i[~first], low[~first]], axis=1), axis=0)
+            begins = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            sizes = np.diff(np.append(begins, len(k)))
+            low, often = np.repeat(i[begins], sizes), np.repeat(sizes > many, sizes)
+            first = np.zeros(len(k), dtype=bool)
+            first[begins] = True
+            edges = np.unique(np.stack([i[often], low[often]], axis=1), axis=0)
             edges = edges[edges[:, 0] != edges[:, 1]]
-            keys, ids, held = [], [], 0
-            # An edge gets a key of its own, so that a frequent key's edges don't meet in one task.
             own = mix64(mix64(edges[:, 0].astype(np.uint64)) + edges[:, 1].astype(np.uint64))
-            return pd.DataFrame({"key": np.concatenate([k[first], own, own]).view(np.int64), "id": np.concatenate([i[first], edges[:, 0], edges[:, 1]])})
+            sent = ~often | first
+            keys, ids, held = [], [], 0
+            return pd.DataFrame({
+                "key": np.concatenate([k[sent], own, own]).view(np.int64), "id": np.concatenate([i[sent], edges[:, 0], edges[:, 1]]),
+                "star": np.concatenate([often[sent], np.ones(2 * len(edges), dtype=bool)]),
+            })
 
         for frame in frames:
             for key, text in zip(frame["id"], frame["text"]):
                 got = shingles(text, n)
                 if len(got):
-                    # Equal sets meet by their whole content; below that size nothing else can link.
-                    sums = np.array([np.bitwise_xor.reduce(mix64(got)) ^ mix64(np.uint64(len(got)))], dtype=np.uint64)
+                    # Equal sets meet by their whole content; small ones can't link otherwise.
+                    sums = np.array([np.bitwise_xor.reduce(mix64(got)) ^ mix64(np.array([len(got)], dtype=np.uint64))[0]], dtype=np.uint64)
                     mine = np.concatenate([sums, signatures(got, percent)]) if differing(2 * len(got) + 2, percent) else sums
                     keys.append(mine), ids.append(np.full(len(mine), key, dtype=np.int64))
                     held += len(mine)
@@ -181,7 +193,24 @@ def region_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInPandas(run, "key long, id long")
+    return docs.mapInPandas(run, "key long, id long, star boolean")
+
+
+def bounded_edges(rows: DataFrame, lists: DataFrame, n: int, percent: int, groups: int = 256) -> DataFrame:
+    """(a, b) edges that connect, within each list of ids, the documents whose count vectors allow a link."""
+
+    def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"id": frame["id"], "v": [count_vector(shingles(t, n), groups).astype("<i4").tobytes() for t in frame["text"]]})
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        ids = frame["id"].to_numpy()
+        links = connect(np.frombuffer(b"".join(frame["v"]), dtype="<i4").reshape(len(ids), groups), percent)
+        return pd.DataFrame({"a": ids[[x for x, _ in links]], "b": ids[[y for _, y in links]]}, dtype="int64")
+
+    members = lists.select(F.xxhash64("ids").alias("region"), F.explode("ids").alias("id"))
+    points = maybe_in(rows, members.select("id")).mapInPandas(vectors, "id long, v binary")
+    return members.join(points, "id").groupBy("region").applyInPandas(run, "a long, b long")
 
 
 def verified_links(members: DataFrame, n: int, percent: int, task_shingles: int) -> DataFrame:
@@ -203,6 +232,22 @@ def verified_links(members: DataFrame, n: int, percent: int, task_shingles: int)
     return placed.groupBy("region", "i", "j").applyInPandas(run, "a long, b long")
 
 
+def maybe_in(rows: DataFrame, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """Rows whose id may be among the ids, by a bitmap of fixed size, so that a join after it shuffles few texts."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(bits))
+    found = np.zeros(bits, dtype=bool)
+    for batch in ids.select((slot / 64).cast("long").alias("w"), slot.alias("s")).groupBy("w").agg(F.collect_set("s").alias("s")).toArrow().to_batches():
+        found[batch.column("s").flatten().to_numpy()] = True
+    held = rows.sparkSession.sparkContext.broadcast(np.packbits(found))
+
+    @F.pandas_udf("boolean")
+    def known(slots: pd.Series) -> pd.Series:
+        at = slots.to_numpy()
+        return pd.Series((held.value[at >> 3] >> (7 - (at & 7))) & 1 == 1)
+
+    return rows.where(known(slot))
+
+
 def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, task_shingles: int = 4_000_000
 ) -> DataFrame:
@@ -210,11 +255,11 @@ def near_groups(
 
     Two documents link when 100 * |intersection| >= percent * |union| of their distinct n-word shingles. No link is lost:
     1. Tokens are hashed into more groups than linked sets can differ in, so linked sets agree on a whole group; its
-       content is the key of a region, and documents that share a key are joined to the region's smallest id. A task
-       sends each key once, so a frequent one has at most a row for each task.
-    2. Joined regions are the blocks in which an R-tree over count vectors (tokens hashed into groups, one coordinate
-       each) bounds the overlap of pairs by summed coordinate minima. Pairs it leaves are verified on the sets.
-       Pairs already connected aren't compared. A block beyond `task_shingles` is cut into shards that meet two by two.
+       content is the key of a region. A task sends a frequent key once, and its documents' edges to the smallest id.
+    2. In each region the sets' count vectors (tokens hashed into groups, one coordinate each) are the points of an
+       R-tree, which bounds the overlap of pairs by summed coordinate minima. Documents that bounded pairs connect (or, in a
+       frequent region, all) form a block. In a block the same tree finds the pairs, which are verified on the sets;
+       pairs already connected aren't compared. A block beyond `task_shingles` is cut into shards that meet two by two.
     3. Components of the verified links.
     Texts, not sets, are shuffled, and only those of documents that met another. Shingles are 64-bit hashes.
 
@@ -222,11 +267,16 @@ def near_groups(
     one node. Empty table: no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = region_rows(rows, n, percent)
-    lowest = F.min("id").over(Window.partitionBy("key"))
-    met = found.withColumn("low", lowest).where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
-    regions = components(met)
-    members = rows.join(regions.withColumnRenamed("root", "region"), "id").withColumn("size", F.greatest(F.length("text") / 4, F.lit(400)))
+    region = Window.partitionBy("key")
+    found = region_rows(rows, n, percent, many=32)
+    met = found.select("key", "id", F.min("id").over(region).alias("low"), F.count("*").over(region).alias("n"), F.max("star").over(region).alias("star"))
+    met = cut_lineage(met.where("n > 1"))
+    stars = met.where("(star or n > 2000) and id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
+    lists = met.where("not star and n <= 2000").groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1)
+    lists = cut_lineage(lists.select("ids").distinct())
+    regions = components(cut_lineage(stars.unionByName(bounded_edges(rows, lists, n, percent))))
+    members = maybe_in(rows, regions).join(regions.withColumnRenamed("root", "region"), "id")
+    members = members.withColumn("size", F.greatest(F.length("text") / 4, F.lit(400)))
     roots = components(verified_links(members, n, percent, task_shingles))
     sizes = shingle_sizes(rows, n)
     return sizes.join(roots, "id", "left").select(
