@@ -748,7 +748,7 @@ def scored_models(spark, sf):
     """Actual, both predictions, time and building of the test rows."""
     train, test = _model_rows(spark, sf)
     trees = boosted.fit_boosted(train, _TREE_FEATURES, validation_share=None, maxIter=3)
-    additive = fit_additive(splits.seeded_sample(train, ["l_orderkey", "l_linenumber"]), _TREE_FEATURES, bins=16, interactions=2)
+    additive = fit_additive(train, _TREE_FEATURES, bins=16, interactions=2)
     scored = boosted.predict_boosted(trees, test, _TREE_FEATURES, "predicted_trees")
     return additive.predict(scored, "predicted_additive").withColumnRenamed("meter_reading", "actual").select(
         "building_id", "timestamp", "actual", "predicted_trees", "predicted_additive", *_TREE_FEATURES

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from ..functions.physical import building_age, log_area, tidy_category
 from ..session import cut_lineage
 from ..schemas import METER_CODES, has_columns, numeric_columns
 from .quantiles import grouped_stats
-from .skew import HOT_ROWS, first_per_key, needs_split
+from .skew import HOT_ROWS, first_per_key, fits, needs_split
 from .windows import fill_gaps
 
 VALUE = "meter_reading"
@@ -51,8 +52,18 @@ def drop_duplicates(df: DataFrame, keys: Sequence[str] | None = None, order: Seq
 
 
 def with_file_order(df: DataFrame, name: str = "ord") -> DataFrame:
-    """An ordinal that follows the scan order of the input files."""
-    return df if name in df.columns else df.withColumn(name, F.monotonically_increasing_id())
+    """An ordinal that follows the input files: path, start of the block, place in the block.
+
+    Spark packs blocks into partitions by size, so row ids alone follow no file order; they only order the rows of one
+    block here. Rows that come from no file are ordered by row id. Add filters first: they don't pass the ordinal.
+    """
+    if name in df.columns:
+        return df
+    place = F.monotonically_increasing_id().alias("place")
+    try:
+        return df.withColumn(name, F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), place))
+    except AnalysisException:
+        return df.withColumn(name, F.struct(place))
 
 
 def clean_readings(
@@ -68,7 +79,6 @@ def clean_readings(
     ``co_locate``, a subset of the keys, shuffles the rows by these columns only, so that later windows over them need no
     shuffle of their own. Only for columns without hot groups.
     """
-    df = with_file_order(df)
     if observation is not None:
         v = F.col(VALUE)
         df = df.observe(
@@ -82,6 +92,7 @@ def clean_readings(
         df = keep_non_negative(df)
     if remove_zeros:
         df = drop_zeros(df)
+    df = with_file_order(df)
     if co_locate:
         df = df.repartition(*co_locate)
     return drop_duplicates(df, keys)
@@ -136,12 +147,15 @@ def zero_shares(df: DataFrame, value: str = VALUE) -> DataFrame:
     return df.groupBy("building_id").agg(share(F.col(value) == 0).alias("zero_pct"))
 
 
-def exclude_buildings(df: DataFrame, excluded: DataFrame, salts: int = 64) -> DataFrame:
+def exclude_buildings(df: DataFrame, excluded: DataFrame, salts: int = 64, broadcast_rows: int = 500_000) -> DataFrame:
     """Rows of all other buildings.
 
-    Neither list has a known size, so no side is broadcast by force. The rows of a building are spread over ``salts``
-    tasks, with as many copies of each excluded id.
+    The list is stored once and its size checked: up to ``broadcast_rows`` ids are broadcast, and the readings are not
+    shuffled. Beyond, the rows of a building are spread over ``salts`` tasks, with as many copies of each excluded id.
     """
+    excluded = cut_lineage(excluded.select("building_id").distinct())
+    if fits(excluded, broadcast_rows):
+        return df.join(F.broadcast(excluded), "building_id", "left_anti").select(*df.columns)
     spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != "building_id"]), F.lit(salts))
     copies = excluded.select("building_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
     kept = df.withColumn("__salt", spread.cast("int")).join(copies, ["building_id", "__salt"], "left_anti")

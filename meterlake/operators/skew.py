@@ -141,7 +141,9 @@ def lookup_join(
     """
     if fits(right, broadcast_rows):
         return left.join(F.broadcast(right), list(keys), how)
-    spread = F.xxhash64(*[c for c, t in left.dtypes if c not in keys and not t.startswith("map")])
+    others = [c for c, t in left.dtypes if c not in keys and not t.startswith("map")]
+    # A left side of keys only has nothing else to tell its rows apart but their place. Any salt gives the same rows.
+    spread = F.xxhash64(*others) if others else F.xxhash64(F.monotonically_increasing_id())
     if salt_hot:
         hot = F.broadcast(hot_groups(left, keys, limit))
         on = matches(keys, "__hot_")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ntz_literal
+from ..session import cut_lineage
 from .skew import HOT_ROWS, needs_split, row_positions, split_hot
 
 
@@ -33,10 +34,10 @@ def _bucket_of_rank(times: DataFrame, unit: str, rank: Column | None, share: flo
 def split_time(df: DataFrame, share: float = 0.8, time_col: str = "timestamp") -> DataFrame:
     """One row: the distinct timestamp at 0-based position floor(share * n).
 
-    Counts per day find the day of that position, counts per minute of this day the minute; only the timestamps of one
+    The distinct timestamps are stored once. Counts per day find the day of that position, counts per minute of this day the minute; only the timestamps of one
     minute are ranked. The windows run over days, over the minutes of one day, and over one minute.
     """
-    times = df.select(F.col(time_col).alias("t")).filter("t is not null").distinct()
+    times = cut_lineage(df.select(F.col(time_col).alias("t")).filter("t is not null").distinct())
     day = _bucket_of_rank(times, "day", None, share).select(F.struct("bucket", "rank")).scalar()
     of_day = times.filter(F.date_trunc("day", "t") == day["bucket"])
     minute = _bucket_of_rank(of_day, "minute", day["rank"], share).select(F.struct("bucket", "rank")).scalar()

@@ -13,7 +13,6 @@ from ..operators.cleaning import (
     clean_weather,
     in_date_range,
     of_meter_type,
-    with_file_order,
 )
 from ..operators.features import add_building_features, add_weather_features, drop_warm_up, top_categories
 from ..operators.joins import merge_all
@@ -45,7 +44,8 @@ def prepare(
     The filters only touch key columns of the readings, so they are applied before the duplicate removal and the joins.
     Without hot buildings the readings are shuffled once, by building, for this and all later windows over buildings.
     """
-    wanted = of_meter_type(in_date_range(with_file_order(readings), start, end, end_inclusive_day), meter_type)
+    # The ordinal comes after the filters, which reach the scan then; it keeps the order of the remaining rows.
+    wanted = of_meter_type(in_date_range(readings, start, end, end_inclusive_day), meter_type)
     co_locate = () if needs_split(wanted, ["building_id"], split=split) else ("building_id",)
     kept = clean_readings(wanted, co_locate=co_locate)
     split_sites = needs_split(weather, ["site_id"])
@@ -58,7 +58,7 @@ def build_features(
     df: DataFrame,
     lags: Sequence[int] = STEP_LAGS,
     rolling=STEP_ROLLING,
-    group_cols: Sequence[str] = ("building_id",),
+    group_cols: Sequence[str] | None = None,
     top_uses: DataFrame | None = None,
     use_values: Sequence[str] | None = None,
     strict: bool = True,
@@ -66,8 +66,11 @@ def build_features(
 ) -> DataFrame:
     """Calendar, building and history columns; rows without history are dropped.
 
+    History is that of a building's meter where the table has a meter column, unless ``group_cols`` says otherwise.
     ``top_uses`` (value, count) ranks the categories; by default it is counted over the rows of ``df``.
     """
+    if group_cols is None:
+        group_cols = [c for c in ("building_id", "meter") if c in df.columns]
     top = top_categories(df, "primary_use") if top_uses is None else top_uses
     out = add_temporal_features(df, lags=lags, rolling=rolling, group_cols=group_cols, split=split)
     out = add_building_features(add_calendar_features(out), top, use_values, strict)

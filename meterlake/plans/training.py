@@ -11,6 +11,7 @@ from ..models.linear import fit_groups, predict_groups, round_summary, sample_cl
 from ..models.metrics import evaluate
 from ..operators.features import feature_columns
 from ..operators.splits import mark_client_split, seeded_sample, time_split
+from ..session import cut_lineage
 from ..sources.files import export_scored, write_parquet
 
 TARGET = "meter_reading"
@@ -22,15 +23,15 @@ def client_round_metrics(
     """Average validation RMSLE per round of the clients drawn in it, each with its own model."""
     rows = df.filter(F.col(TARGET).isNotNull()).na.fill(0.0, features)
     marked = mark_client_split(rows, client, ["timestamp", "building_id"])
-    models = fit_groups(marked.filter("is_train"), features, TARGET, client, penalty)
+    models = cut_lineage(fit_groups(marked.filter("is_train"), features, TARGET, client, penalty))
     scored = predict_groups(marked.filter("not is_train"), models, features, client)
     return round_summary(sample_clients(rows, client, rounds, fraction), evaluate(scored, TARGET, "prediction", [client]), client)
 
 
-def score_models(df: DataFrame, sample_rows: int | None = 10_000, keys=("building_id", "timestamp"), **trees) -> dict:
+def score_models(df: DataFrame, sample_rows: int | None = None, keys=("building_id", "timestamp"), **trees) -> dict:
     """Split by time, fit trees and the additive model, and score the test rows with both.
 
-    The additive model is trained on a seeded sample of ``sample_rows`` rows, or on all of them with None.
+    The additive model is trained on all rows, or on a seeded sample of ``sample_rows`` of them.
     """
     features = feature_columns(df)
     train, test = time_split(df)
