@@ -57,13 +57,13 @@ def differing(total: int, percent: int) -> int:
 def signatures(hashes: np.ndarray, percent: int, ratio: float = 1.2) -> np.ndarray:
     """A key for each of a set's heavier token groups: linked sets share at least one.
 
-    Sets meet in the size class of the larger; a set whose partner may be of the next class has keys there too. Two
+    Sets meet in the size class of the larger; a set whose partner may be of a later class has keys there too. Two
     linked sets of a class differ in at most k elements, so of k + 1 + spare groups (by hash) at least 1 + spare agree.
     The `spare` lightest groups, by size and number, get no key: an agreeing group has the same place in that order's
     tail in both sets, so the heaviest agreeing one is among the k + 1 kept ones in both. A key hashes a group's tokens.
     """
     n, out = len(hashes), []
-    for c in {size_class(n, ratio), size_class(-(-n * 100 // percent) + 1, ratio)}:
+    for c in range(size_class(n, ratio), size_class(n * 100 // percent, ratio) + 1):
         k = differing(2 * (int(np.ceil(ratio ** (c + 1))) + 1), percent)
         spare = k // 2
         groups = k + 1 + spare
@@ -188,29 +188,51 @@ def region_rows(docs: DataFrame, n: int, percent: int, many: int) -> DataFrame:
                     mine = np.concatenate([sums, signatures(got, percent)]) if differing(2 * len(got) + 2, percent) else sums
                     keys.append(mine), ids.append(np.full(len(mine), key, dtype=np.int64))
                     held += len(mine)
-            if held > 2_000_000:
-                yield flush()
+                    if held > 500_000:
+                        yield flush()
         if held:
             yield flush()
 
     return docs.mapInPandas(run, "key long, id long, star boolean")
 
 
-def bounded_edges(rows: DataFrame, lists: DataFrame, n: int, percent: int, groups: int = 256) -> DataFrame:
+def bounded_edges(rows: DataFrame, lists: DataFrame, n: int, percent: int, groups: int = 128) -> DataFrame:
     """(a, b) edges that connect, within each list of ids, the documents whose count vectors allow a link."""
 
     def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"id": frame["id"], "v": [count_vector(shingles(t, n), groups).astype("<i4").tobytes() for t in frame["text"]]})
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ids = frame["id"].to_numpy()
-        links = connect(np.frombuffer(b"".join(frame["v"]), dtype="<i4").reshape(len(ids), groups), percent)
-        return pd.DataFrame({"a": ids[[x for x, _ in links]], "b": ids[[y for _, y in links]]}, dtype="int64")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            if not len(frame):
+                continue
+            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            last = held["region"].iloc[-1]
+            ready, held = held[held["region"] != last], held[held["region"] == last]
+            yield edges(ready)
+        if held is not None:
+            yield edges(held)
+
+    def edges(frame: pd.DataFrame) -> pd.DataFrame:
+        regions, ids, out = frame["region"].to_numpy(), frame["id"].to_numpy(), []
+        points = np.frombuffer(b"".join(frame["v"]), dtype="<i4").reshape(len(ids), groups)
+        cuts = np.flatnonzero(np.diff(regions)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
+            if hi - lo > 2:
+                out += [(ids[lo + x], ids[lo + y]) for x, y in connect(points[lo:hi], percent)]
+            elif hi - lo == 2:
+                a, b = points[lo], points[lo + 1]
+                if (100 + percent) * np.minimum(a, b).sum() >= percent * (a.sum() + b.sum()):
+                    out.append((ids[lo], ids[lo + 1]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     members = lists.select(F.xxhash64("ids").alias("region"), F.explode("ids").alias("id"))
     points = maybe_in(rows, members.select("id")).mapInPandas(vectors, "id long, v binary")
-    return members.join(points, "id").groupBy("region").applyInPandas(run, "a long, b long")
+    # Lists have at most a few thousand ids; in order of region, a task holds one batch and one list.
+    ordered = members.join(points, "id").repartition("region").sortWithinPartitions("region")
+    return ordered.mapInPandas(run, "a long, b long")
 
 
 def verified_links(members: DataFrame, n: int, percent: int, task_shingles: int) -> DataFrame:

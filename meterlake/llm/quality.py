@@ -55,15 +55,19 @@ class Model:
         slot = (hashed % np.uint64(self.slots)).astype(np.int64)
         return slot, self.check[slot] == ((hashed >> np.uint64(32)).astype(np.uint32) | np.uint32(1))
 
+    def weight_before(self, lang: int, k: int) -> float:
+        """Weight of the lower order after the k codes 0 before a text."""
+        slot, found = self.lookup(np.array([lang << (BITS * ORDER)]), k)
+        return float(self.weight[slot][0]) if found[0] else 1.0
+
     def log_probs(self, text: str, lang: int) -> np.ndarray:
-        slot, found = self.lookup(np.array([lang << (BITS * ORDER)]), 0)
-        prob, weight = 1.0 / (1 << BITS), float(self.weight[slot][0]) if found[0] else 1.0
+        prob, weight = 1.0 / (1 << BITS), self.weight_before(lang, 0)
         for k, keys in enumerate(keys_of(text, lang), 1):
             slot, found = self.lookup(keys, k)
             if k == 1:
                 backed = np.full(len(keys), prob * weight)
             else:  # the context is the gram one shorter that ends a character earlier
-                backed = prob * np.concatenate([[1.0], weight[:-1]])
+                backed = prob * np.concatenate([[self.weight_before(lang, k - 1)], weight[:-1]])
             prob = np.where(found, self.prob[slot], backed)
             weight = np.where(found, self.weight[slot], 1.0)
         return np.log(prob)
@@ -137,8 +141,9 @@ def fit(texts: DataFrame, slots: int = 1 << 22) -> Model | None:
     rows = parts[0][2].select(F.lit(0).alias("k"), "key", F.lit(0).cast("long").alias("c"), F.lit(1.0).alias("p"), "w")
     for k, grams, _ in parts:
         after = parts[k][2] if k < ORDER else None
-        one = grams.join(after, "key", "left") if after is not None else grams.withColumn("w", F.lit(1.0))
-        one = one.select(F.lit(k).alias("k"), "key", "c", "p", F.coalesce("w", F.lit(1.0)).alias("w"))
+        one = grams.join(after, "key", "full") if after is not None else grams.withColumn("w", F.lit(1.0))
+        # The contexts before a text are no n-grams themselves.
+        one = one.select(F.lit(k).alias("k"), "key", F.coalesce("c", F.lit(0).cast("long")).alias("c"), F.coalesce("p", F.lit(1.0)).alias("p"), F.coalesce("w", F.lit(1.0)).alias("w"))
         rows = rows.unionByName(one)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
