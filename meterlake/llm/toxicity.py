@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -237,7 +238,8 @@ def fit(rows: list[tuple[str, int]], insults: int = 32, others: int = 32, share:
     them. The machine separates witnesses from the words of clean texts that pass its screen; a text's score is
     calibrated on all the rows from its three worst words and from how often the landmark nearest to the worst is toxic.
     """
-    held = list(dict.fromkeys((frozenset(tokens(t or "")), y) for t, y in rows))
+    # One string for a word of many texts keeps the driver's memory low.
+    held = list(dict.fromkeys((frozenset(map(sys.intern, tokens(t or ""))), y) for t, y in rows))
     bad, good = [w for w, y in held if y], [w for w, y in held if not y]
     in_bad, in_good = Counter(x for w in bad for x in w), Counter(x for w in good for x in w)
 
