@@ -297,7 +297,37 @@ def feature_table(spark, sf):
     )
     one_per_hour = first_per_key(cleaned, ["building_id", "timestamp"], ["ord"])
     uses = views.metadata_clean(spark, sf).groupBy("primary_use").count()
-    return rounded(build_features(one_per_hour, top_uses=uses, use_values=["machinery-0"], split=split))
+    # One series for each building here, whatever the meter of its first reading of an hour.
+    series = build_features(one_per_hour, group_cols=("building_id",), top_uses=uses, use_values=["machinery-0"], split=split)
+    return rounded(series)
+
+
+@register(
+    "feature_table_by_meter",
+    sql(""", base AS (SELECT k.*, m.primary_use FROM kept_meters k LEFT JOIN metadata_clean m ON m.building_id = k.building_id),
+top AS (SELECT primary_use FROM base WHERE primary_use IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, primary_use LIMIT 10),
+past AS (SELECT *, lag(meter_reading) OVER w AS l1,
+    avg(meter_reading) OVER (PARTITION BY building_id, meter ORDER BY timestamp ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS r2
+  FROM base WINDOW w AS (PARTITION BY building_id, meter ORDER BY timestamp))
+SELECT p.building_id, p.timestamp, p.meter, """ + r("p.meter_reading") + " AS meter_reading, " + r("l1") + " AS meter_reading_lag_1h, "
+        + r("r2") + """ AS meter_reading_rolling_2h_mean, coalesce(t.primary_use, 'other') AS primary_use_grouped,
+  1 AS dummies_set, (SELECT count(*) + 1 FROM top)::int AS dummy_columns
+FROM past p LEFT JOIN top t ON t.primary_use = p.primary_use
+WHERE p.meter_reading IS NOT NULL AND l1 IS NOT NULL AND r2 IS NOT NULL"""),
+)
+def feature_table_by_meter(spark, sf):
+    """All meters: history of each building's meter, the ten most frequent uses and `other`, and their dummy columns."""
+    uses = views.metadata_clean(spark, sf).select("building_id", "primary_use")
+    rows = joins.attach_metadata(views.kept_meters(spark, sf), uses)
+    out = build_features(rows, lags=(1,), rolling=((2, ("mean",)),), strict=False)
+    dummies = [c for c in out.columns if c.startswith("use_")]
+    total = sum((F.col(f"`{c}`") for c in dummies), F.lit(0))
+    return rounded(
+        out.select(
+            "building_id", "timestamp", "meter", "meter_reading", "meter_reading_lag_1h", "meter_reading_rolling_2h_mean",
+            "primary_use_grouped", total.alias("dummies_set"), F.lit(len(dummies)).alias("dummy_columns"),
+        )
+    )
 
 
 @register(
