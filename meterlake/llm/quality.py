@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,7 +99,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def fit(texts: DataFrame, slots: int = 1 << 22) -> Model | None:
+def fit(texts: DataFrame, slots: int = 1 << 20) -> Model | None:
     """Interpolated modified Kneser-Ney over all rows (lang, text), one model for each language.
 
     Counts of the longest n-grams and continuation counts of the shorter are summed by key in shards; n-grams, their
@@ -164,9 +165,8 @@ def fit(texts: DataFrame, slots: int = 1 << 22) -> Model | None:
     return Model(slots, check, prob, weight) if check.any() else None
 
 
-def perplexities(rows: DataFrame, model: Model | None) -> DataFrame:
+def perplexities(rows: DataFrame, held: Broadcast[Model | None]) -> DataFrame:
     """(id, lang, fresh, n, perplexity) of whole texts, in characters; NULL for no text or no model."""
-    held = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = held.value
@@ -187,7 +187,7 @@ def classify(
     quantile: float = 0.995,
     slack: float = 1.5,
     short: int = 60,
-    slots: int = 1 << 22,
+    slots: int = 1 << 20,
 ) -> DataFrame:
     """One row for each document: id_col, n_chars, perplexity, threshold, accepted.
 
@@ -208,7 +208,11 @@ def classify(
     )
     learned = rows.where("length(text) > 0 and not fresh").join(trusted, "id", "left_semi")
     model = fit(learned.select(F.col("number").alias("lang"), "text"), slots)
-    scored = cut_lineage(perplexities(rows, model))
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    scored = cut_lineage(perplexities(rows, held))
+    # The scores are in the shared folder now, so nothing asks for the model again.
+    held.destroy()
+    del model
     judged = scored.where(F.col("perplexity").isNotNull() & (F.col("n") >= short) & F.col("fresh")).join(trusted, "id", "left_semi")
     accuracy = 10_000
     limits = judged.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, accuracy).alias("limit"))
