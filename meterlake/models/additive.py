@@ -10,7 +10,8 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import combinations
+from functools import reduce
+from itertools import combinations, combinations_with_replacement
 
 import numpy as np
 import pandas as pd
@@ -18,9 +19,13 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .tuning import tune_over_folds
 
-MAX_BINS = 6000
+#: Cells of co-occurring bins that a task counts at a time (8 bytes each); more take further passes over the rows.
+PASS_CELLS = 8_000_000
+#: Up to so many bins the driver solves the whole system (their square times 8 bytes); beyond, the cluster multiplies.
+DENSE_BINS = 2_000
 
 
 @dataclass
@@ -130,51 +135,131 @@ def _offsets(sizes: Sequence[int]) -> list[int]:
     return [0, *np.cumsum(sizes).tolist()]
 
 
-def normal_sums(rows: DataFrame, target: str, terms: dict[str, tuple[Column, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Bin co-occurrence counts of all terms, and the target summed per bin.
+def normal_cells(rows: DataFrame, target: str, terms: dict[str, tuple[Column, int]]) -> DataFrame:
+    """(i, j, v): rows in which bins i <= j of all terms occur together, and under j = -1 the target summed per bin i.
 
-    These are the normal equations of the one-hot design. Each task counts with numpy, the cluster adds up the non-zero
-    cells, and the driver gets at most (number of bins) squared of them.
+    These are the normal equations of the one-hot design, as a table. Tasks count blocks of two terms with numpy, at most
+    PASS_CELLS cells in a pass (or one block), and the cluster adds up the non-zero cells.
     """
     sizes = [size for _, size in terms.values()]
-    at, total = _offsets(sizes), sum(sizes)
-    if total > MAX_BINS:
-        raise ValueError(f"{total} bins in all terms together; at most {MAX_BINS} are supported")
+    at = _offsets(sizes)
+    passes, held = [[]], 0
+    for i, j in combinations_with_replacement(range(len(sizes)), 2):
+        if passes[-1] and held + sizes[i] * sizes[j] > PASS_CELLS:
+            passes.append([])
+            held = 0
+        passes[-1].append((i, j))
+        held += sizes[i] * sizes[j]
     names = [f"t{i}" for i in range(len(sizes))]
     coded = rows.select(target, *[index.cast("int").alias(n) for n, (index, _) in zip(names, terms.values())])
 
+    def counted(blocks: list[tuple[int, int]]) -> DataFrame:
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            cells = {(i, j): np.zeros(sizes[i] * sizes[j]) for i, j in blocks}
+            sums = {i: np.zeros(sizes[i]) for i, j in blocks if i == j}
+            for batch in batches:
+                y, codes = batch[target].to_numpy(), [batch[n].to_numpy() for n in names]
+                for i, held in sums.items():
+                    held += np.bincount(codes[i], y, sizes[i])
+                for (i, j), held in cells.items():
+                    held += np.bincount(codes[i].astype(np.int64) * sizes[j] + codes[j], minlength=len(held))
+            for (i, j), held in cells.items():
+                used = np.flatnonzero(held)
+                yield pd.DataFrame({"i": at[i] + used // sizes[j], "j": at[j] + used % sizes[j], "v": held[used]})
+            for i, held in sums.items():
+                used = np.flatnonzero(held)
+                yield pd.DataFrame({"i": at[i] + used, "j": np.full(len(used), -1), "v": held[used]})
+
+        return coded.mapInPandas(partial, "i bigint, j bigint, v double")
+
+    parts = reduce(DataFrame.unionByName, map(counted, passes))
+    return parts.groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+def _bin_sums(cells: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, summed target) of each bin: two numbers a bin reach the driver."""
+    found = cells.filter("j = -1 or i = j").toPandas()
+    counts, sums = np.zeros(total), np.zeros(total)
+    for held, part in ((sums, found[found["j"] == -1]), (counts, found[found["j"] >= 0])):
+        held[part["i"].to_numpy()] = part["v"].to_numpy()
+    return counts, sums
+
+
+def _dense(cells: DataFrame, total: int) -> np.ndarray:
+    found = cells.filter("j >= 0").toPandas()
+    gram = np.zeros((total, total))
+    gram[found["i"].to_numpy(), found["j"].to_numpy()] = found["v"].to_numpy()
+    return gram + np.triu(gram, 1).T
+
+
+def normal_sums(rows: DataFrame, target: str, terms: dict[str, tuple[Column, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The same as arrays on the driver: (bins x bins counts, target summed per bin)."""
+    total = sum(size for _, size in terms.values())
+    cells = normal_cells(rows, target, terms).persist()
+    try:
+        return _dense(cells, total), _bin_sums(cells, total)[1]
+    finally:
+        cells.unpersist()
+
+
+def _times(cells: DataFrame, x: np.ndarray) -> np.ndarray:
+    """The symmetric matrix of cells times x; tasks add up, and a number for each bin reaches the driver."""
+
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gram, sums = np.zeros((total, total)), np.zeros(total)
+        y = np.zeros(len(x))
         for batch in batches:
-            y = batch[target].to_numpy()
-            codes = [batch[n].to_numpy() for n in names]
-            for i, size in enumerate(sizes):
-                sums[at[i] : at[i + 1]] += np.bincount(codes[i], y, size)
-                for j in range(i, len(sizes)):
-                    cells = np.bincount(codes[i] * sizes[j] + codes[j], minlength=size * sizes[j])
-                    gram[at[i] : at[i + 1], at[j] : at[j + 1]] += cells.reshape(size, sizes[j])
-        flat = np.concatenate([gram.ravel(), sums])
-        used = np.flatnonzero(flat)
-        yield pd.DataFrame({"pos": used, "v": flat[used]})
-
-    added = coded.mapInPandas(partial, "pos bigint, v double").groupBy("pos").agg(F.sum("v").alias("v")).toPandas()
-    flat = np.zeros(total * total + total)
-    flat[added["pos"].to_numpy()] = added["v"].to_numpy()
-    upper = flat[: total * total].reshape(total, total)
-    return upper + np.triu(upper, 1).T, flat[total * total :]
+            i, j, v = batch["i"].to_numpy(), batch["j"].to_numpy(), batch["v"].to_numpy()
+            y += np.bincount(i, v * x[j], len(x))
+            off = i != j
+            y += np.bincount(j[off], v[off] * x[i[off]], len(x))
+        used = np.flatnonzero(y)
+        yield pd.DataFrame({"i": used, "y": y[used]})
+
+    out = np.zeros(len(x))
+    added = cells.filter("j >= 0").mapInPandas(partial, "i bigint, y double").groupBy("i").agg(F.sum("y").alias("y")).toPandas()
+    out[added["i"].to_numpy()] = added["y"].to_numpy()
+    return out
+
+
+def conjugate_gradients(times, b: np.ndarray, diagonal: np.ndarray, tolerance: float = 1e-9, steps: int = 1000) -> np.ndarray:
+    """Solution of a symmetric positive system given by its product with a vector; raises where `steps` don't suffice."""
+    x, rest = np.zeros(len(b)), b.copy()
+    z = rest / diagonal
+    way, size = z, rest @ z
+    goal = tolerance * np.sqrt(size)
+    for _ in range(steps):
+        if np.sqrt(size) <= goal:
+            return x
+        after = times(way)
+        step = size / (way @ after)
+        x, rest = x + step * way, rest - step * after
+        z = rest / diagonal
+        size, before = rest @ z, size
+        way = z + size / before * way
+    raise RuntimeError(f"the fit did not settle in {steps} steps")
 
 
 def _fit_terms(rows: DataFrame, target: str, terms: dict[str, tuple[Column, int]], penalty: float):
     """Joint ridge fit of all one-hot terms: (intercept, contributions per term, rows per bin).
 
-    Each term is centred on the training rows; the intercept is not penalised.
+    Each term is centred on the training rows; the intercept is not penalised. Any number of bins is fitted: up to
+    DENSE_BINS the system is solved on the driver, beyond by conjugate gradients over the stored cells.
     """
-    gram, sums = normal_sums(rows, target, terms)
     at = _offsets([size for _, size in terms.values()])
-    counts = np.diag(gram)
+    cells = cut_lineage(normal_cells(rows, target, terms))
+    counts, sums = _bin_sums(cells, at[-1])
     n, y = counts[: at[1]].sum(), sums[: at[1]].sum()
-    system = np.block([[np.array([[n]]), counts[None, :]], [counts[:, None], gram + penalty * n * np.eye(len(gram))]])
-    solution = np.linalg.solve(system, np.concatenate([[y], sums]))
+    b = np.concatenate([[y], sums])
+    if at[-1] <= DENSE_BINS:
+        gram = _dense(cells, at[-1])
+        system = np.block([[np.array([[n]]), counts[None, :]], [counts[:, None], gram + penalty * n * np.eye(len(gram))]])
+        solution = np.linalg.solve(system, b)
+    else:
+        solution = conjugate_gradients(
+            lambda x: np.concatenate([[n * x[0] + counts @ x[1:]], counts * x[0] + _times(cells, x[1:]) + penalty * n * x[1:]]),
+            b,
+            np.concatenate([[n], counts + penalty * n]),
+        )
     intercept, shapes, weights = float(solution[0]), {}, {}
     for i, term in enumerate(terms):
         values, held = solution[1 + at[i] : 1 + at[i + 1]], counts[at[i] : at[i + 1]]

@@ -122,6 +122,17 @@ def test_additive_sums_match_brute_force(rows):
     assert set(pdf["__bin_c"].iloc[missing]) == {float(sizes[1] - 1)}
 
 
+def test_additive_beyond_the_dense_bound(rows, monkeypatch):
+    features = ["a", "b", "c"]
+    whole = additive.fit_additive(rows, features, bins=256, interactions=1)
+    monkeypatch.setattr(additive, "DENSE_BINS", 10)
+    monkeypatch.setattr(additive, "PASS_CELLS", 1000)
+    parts = additive.fit_additive(rows, features, bins=256, interactions=1)
+    assert parts.pairs == whole.pairs and parts.weights == whole.weights
+    for term, values in {**whole.shapes, **whole.pair_shapes}.items():
+        assert {**parts.shapes, **parts.pair_shapes}[term] == pytest.approx(values, abs=1e-5)
+
+
 def test_additive_with_constant_feature(rows):
     model = additive.fit_additive(rows.withColumn("k", F.lit(1.0)), ["a", "k"], interactions=0)
     assert model.predict(rows.withColumn("k", F.lit(1.0))).filter("prediction is null").count() == 0
