@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,13 +11,17 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, mix64
+from .common import cut_lineage
 
 ORDER = 4
 BITS = 9
 #: Characters from here on share the last 128 codes by their remainder.
 DIRECT = 384
 LANG_BITS = 10
+#: In a tagged key, from here on: the order of an n-gram, or ORDER + 1 and the length of a context.
+TAG = BITS * ORDER + LANG_BITS
+#: Characters that are scored at once.
+AT_ONCE = 1 << 20
 
 
 def codes_of(text: str) -> np.ndarray:
@@ -42,36 +46,82 @@ def lang_number(col: str) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(F.col(col).cast("string"), F.lit(""))), F.lit(1 << LANG_BITS))
 
 
+@dataclass(frozen=True)
+class Shard:
+    """Sorted tagged keys and their values: the probabilities of n-grams, and the weights of the lower order after contexts."""
+
+    tags: np.ndarray
+    values: np.ndarray
+
+    def find(self, keys: np.ndarray, code: int, missing: np.ndarray | float) -> np.ndarray:
+        tags = keys | (code << TAG)
+        at = np.minimum(np.searchsorted(self.tags, tags), len(self.tags) - 1)
+        return np.where(self.tags[at] == tags, self.values[at], missing)
+
+    def log_probs(self, grams: np.ndarray) -> np.ndarray:
+        """Of the last character of each of the longest n-grams, after the others."""
+        lang = grams >> (BITS * ORDER) << (BITS * ORDER)
+        prob: np.ndarray | float = 1.0 / (1 << BITS)
+        for k in range(1, ORDER + 1):
+            gram = grams & ((1 << (BITS * k)) - 1)
+            prob = self.find(lang | gram, k, prob * self.find(lang | (gram >> BITS), ORDER + k, 1.0))
+        return np.log(prob)
+
+
 @dataclass(frozen=True)
 class Model:
-    """An open table of fixed size: slot -> (check of the key, probability, weight of the lower order after it)."""
+    """All n-grams, in shards by language and last but one character, so that all an n-gram may back off to is in its shard."""
 
-    slots: int
-    check: np.ndarray
-    prob: np.ndarray
-    weight: np.ndarray
+    shards: list[Broadcast[Shard]]
 
-    def lookup(self, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        hashed = mix64(keys.astype(np.uint64) * np.uint64(8) + np.uint64(k))
-        slot = (hashed % np.uint64(self.slots)).astype(np.int64)
-        return slot, self.check[slot] == ((hashed >> np.uint64(32)).astype(np.uint32) | np.uint32(1))
+    def shard(self, number: int) -> Shard:
+        held = self.shards[number]
+        found = held.value
+        if len(self.shards) > 1 and vars(held).get("_path"):  # one at a time in memory; it is read again from its file
+            vars(held).pop("_value", None)
+        return found
 
-    def weight_before(self, lang: int, k: int) -> float:
-        """Weight of the lower order after the k codes 0 before a text."""
-        slot, found = self.lookup(np.array([lang << (BITS * ORDER)]), k)
-        return float(self.weight[slot][0]) if found[0] else 1.0
+    def log_probs_of(self, grams: np.ndarray) -> np.ndarray:
+        out = np.empty(len(grams))
+        place = shard_number(grams >> (BITS * ORDER), (grams >> BITS) & ((1 << BITS) - 1), len(self.shards))
+        for number in np.unique(place).tolist():
+            some = place == number
+            out[some] = self.shard(number).log_probs(grams[some])
+        return out
 
     def log_probs(self, text: str, lang: int) -> np.ndarray:
-        prob, weight = 1.0 / (1 << BITS), self.weight_before(lang, 0)
-        for k, keys in enumerate(keys_of(text, lang), 1):
-            slot, found = self.lookup(keys, k)
-            if k == 1:
-                backed = np.full(len(keys), prob * weight)
-            else:  # the context is the gram one shorter that ends a character earlier
-                backed = prob * np.concatenate([[self.weight_before(lang, k - 1)], weight[:-1]])
-            prob = np.where(found, self.prob[slot], backed)
-            weight = np.where(found, self.weight[slot], 1.0)
-        return np.log(prob)
+        return self.log_probs_of(keys_of(text, lang)[-1])
+
+    def log_sums(self, texts: Sequence[str | None], langs: Sequence[int]) -> np.ndarray:
+        """Sum of the log probabilities of each text's characters; distinct n-grams of many texts are looked up once."""
+        out, waiting, size = np.zeros(len(texts)), [], 0
+
+        def add() -> None:
+            grams, back = np.unique(np.concatenate([g for _, g in waiting]), return_inverse=True)
+            starts = np.cumsum([0] + [len(g) for _, g in waiting[:-1]])
+            np.add.at(out, [i for i, _ in waiting], np.add.reduceat(self.log_probs_of(grams)[back], starts))
+
+        for i, (text, lang) in enumerate(zip(texts, langs)):
+            grams = keys_of(text, lang)[-1] if text else np.zeros(0, dtype=np.int64)
+            for at in range(0, len(grams), AT_ONCE):
+                waiting.append((i, grams[at : at + AT_ONCE]))
+                size += len(waiting[-1][1])
+                if size >= AT_ONCE:
+                    add()
+                    waiting, size = [], 0
+        if waiting:
+            add()
+        return out
+
+    def destroy(self) -> None:
+        for held in self.shards:
+            held.destroy()
+
+
+def shard_number(lang, code, shards: int):
+    """Of numbers, arrays or columns."""
+    mixed = (lang * (1 << BITS) + code) * 2654435761
+    return F.pmod(F.shiftright(mixed, 16), F.lit(shards)) if isinstance(mixed, Column) else (mixed >> 16) % shards
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
@@ -99,13 +149,13 @@ def count_grams(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def fit(texts: DataFrame, slots: int = 1 << 20) -> Model | None:
+def fit(texts: DataFrame, shard_rows: int = 1 << 20) -> Model | None:
     """Interpolated modified Kneser-Ney over all rows (lang, text), one model for each language.
 
     Counts of the longest n-grams and continuation counts of the shorter are summed by key in shards; n-grams, their
     contexts and their shorter suffixes meet in joins on those keys. The discounts of each language and order come from its counts of counts,
-    with 0.5, 1 and 1.5 where those are too few. The model that goes out is a table of `slots` slots (12 bytes each),
-    whatever the input; a slot claimed by several n-grams holds the most frequent. No text: None.
+    with 0.5, 1 and 1.5 where those are too few. The model holds every n-gram and context (12 bytes each). It goes to the
+    shared folder and from there, a shard of about `shard_rows` rows at a time, to the tasks' disks. No text: None.
     """
     counts = cut_lineage(count_grams(texts))
     by_order = {ORDER: counts}
@@ -139,40 +189,33 @@ def fit(texts: DataFrame, slots: int = 1 << 20) -> Model | None:
         lower = cut_lineage(joined.select("key", "c", ((F.col("c") - F.col("d") + F.col("freed") * below) / F.col("total")).alias("p")))
         weights = contexts.select(F.col("context").alias("key"), (F.col("freed") / F.col("total")).alias("w"))
         parts.append((k, lower, weights))
-    rows = parts[0][2].select(F.lit(0).alias("k"), "key", F.lit(0).cast("long").alias("c"), F.lit(1.0).alias("p"), "w")
-    for k, grams, _ in parts:
-        after = parts[k][2] if k < ORDER else None
-        one = grams.join(after, "key", "full") if after is not None else grams.withColumn("w", F.lit(1.0))
-        # The contexts before a text are no n-grams themselves.
-        one = one.select(F.lit(k).alias("k"), "key", F.coalesce("c", F.lit(0).cast("long")).alias("c"), F.coalesce("p", F.lit(1.0)).alias("p"), F.coalesce("w", F.lit(1.0)).alias("w"))
-        rows = rows.unionByName(one)
-
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            hashed = mix64(f["key"].to_numpy().astype(np.uint64) * np.uint64(8) + f["k"].to_numpy().astype(np.uint64))
-            yield pd.DataFrame({
-                "slot": (hashed % np.uint64(slots)).astype(np.int64), "c": f["c"],
-                "check": ((hashed >> np.uint64(32)).astype(np.uint32) | np.uint32(1)).astype(np.int64), "p": f["p"], "w": f["w"],
-            })
-
-    slotted = rows.mapInPandas(place, "slot long, c long, check long, p double, w double")
-    best = slotted.groupBy("slot").agg(F.max(F.struct("c", "check", "p", "w")).alias("b")).select("slot", F.col("b.check").alias("check"), F.col("b.p").cast("float").alias("p"), F.col("b.w").cast("float").alias("w"))
-    check, prob, weight = np.zeros(slots, np.uint32), np.ones(slots, np.float32), np.ones(slots, np.float32)
-    # At most `slots` rows reach the driver, a part at a time.
-    for batch in best.toArrow().to_batches():
-        slot = batch.column("slot").to_numpy()
-        check[slot], prob[slot], weight[slot] = batch.column("check").to_numpy(), batch.column("p").to_numpy(), batch.column("w").to_numpy()
-    return Model(slots, check, prob, weight) if check.any() else None
-
-
-def perplexities(rows: DataFrame, held: Broadcast[Model | None]) -> DataFrame:
+    rows = None
+    for k, grams, weights in parts:
+        for code, length, found, value in ((k, k, grams, "p"), (ORDER + k, k - 1, weights, "w")):
+            # The character before the predicted one; single characters and the empty context are in all shards.
+            cell = F.shiftright("key", BITS * (code == k)).bitwiseAND(F.lit((1 << BITS) - 1)) if k > 1 else F.lit(None).cast("long")
+            one = found.select(F.shiftright("key", BITS * ORDER).alias("lang"), cell.alias("cell"), F.col("key").bitwiseOR(F.lit(code << TAG)).alias("tag"), F.col(value).cast("float").alias("value"))
+            rows = one if rows is None else rows.unionByName(one)
+    rows = cut_lineage(rows)
+    shards = -(-rows.count() // shard_rows)
+    out = []
+    for number in range(shards):
+        mine = rows.where(F.col("cell").isNull() | (shard_number(F.col("lang"), F.col("cell"), shards) == number)).select("tag", "value").toArrow()
+        tags, values = mine.column("tag").to_numpy(), mine.column("value").to_numpy()
+        order = np.argsort(tags)
+        out.append(texts.sparkSession.sparkContext.broadcast(Shard(tags[order], values[order])))
+    return Model(out) if out else None
+
+
+def perplexities(rows: DataFrame, model: Model | None) -> DataFrame:
     """(id, lang, fresh, n, perplexity) of whole texts, in characters; NULL for no text or no model."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = held.value
         for frame in frames:
-            found = [float(np.exp(-model.log_probs(t, n).mean())) if t and model else None for t, n in zip(frame["text"], frame["number"])]
-            yield pd.DataFrame({"id": frame["id"], "lang": frame["lang"], "fresh": frame["fresh"], "n": [len(t) if t else 0 for t in frame["text"]], "perplexity": pd.array(found, dtype="Float64")})
+            sizes = [len(t) if t else 0 for t in frame["text"]]
+            sums = model.log_sums(list(frame["text"]), frame["number"].tolist()) if model else None
+            found = [float(np.exp(-sums[i] / n)) if n and model else None for i, n in enumerate(sizes)]
+            yield pd.DataFrame({"id": frame["id"], "lang": frame["lang"], "fresh": frame["fresh"], "n": sizes, "perplexity": pd.array(found, dtype="Float64")})
 
     return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, lang string, fresh boolean, n long, perplexity double")
 
@@ -187,7 +230,7 @@ def classify(
     quantile: float = 0.995,
     slack: float = 1.5,
     short: int = 60,
-    slots: int = 1 << 20,
+    shard_rows: int = 1 << 20,
 ) -> DataFrame:
     """One row for each document: id_col, n_chars, perplexity, threshold, accepted.
 
@@ -207,12 +250,10 @@ def classify(
         F.col(text_col).alias("text"), (F.pmod(F.xxhash64(text_col), F.lit(5)) == 0).alias("fresh"),
     )
     learned = rows.where("length(text) > 0 and not fresh").join(trusted, "id", "left_semi")
-    model = fit(learned.select(F.col("number").alias("lang"), "text"), slots)
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    scored = cut_lineage(perplexities(rows, held))
-    # The scores are in the shared folder now, so nothing asks for the model again.
-    held.destroy()
-    del model
+    model = fit(learned.select(F.col("number").alias("lang"), "text"), shard_rows)
+    scored = cut_lineage(perplexities(rows, model))
+    if model:  # the scores are in the shared folder now
+        model.destroy()
     judged = scored.where(F.col("perplexity").isNotNull() & (F.col("n") >= short) & F.col("fresh")).join(trusted, "id", "left_semi")
     accuracy = 10_000
     limits = judged.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, accuracy).alias("limit"))

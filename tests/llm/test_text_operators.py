@@ -309,6 +309,22 @@ def test_quality_model_against_formulas(spark):
     assert np.allclose(model.log_probs(probe, 5), want, atol=1e-4)
 
 
+def test_quality_model_loses_no_gram(spark):
+    # About 300,000 n-grams and contexts of random characters, in one shard and in many.
+    pick = random.Random(11)
+    texts = ["".join(pick.choices([chr(c) for c in range(32, 380)], k=1500)) for _ in range(60)]
+    rows = spark.createDataFrame([(5, t) for t in texts], "lang int, text string")
+    prob = slow_kneser_ney(texts, quality.ORDER)
+    codes = [0, 0, 0, *quality.codes_of(texts[7]).tolist()]
+    want = [np.log(prob(tuple(codes[i - 3 : i + 1]))) for i in range(3, len(codes))]
+    for shard_rows in (1 << 20, 20_000):
+        model = quality.fit(rows, shard_rows)
+        assert (len(model.shards) > 8) == (shard_rows == 20_000)
+        assert np.allclose(model.log_probs(texts[7], 5), want, atol=1e-4)
+        got = spark.createDataFrame([(1, "", 5, True, texts[7])], "id long, lang string, number long, fresh boolean, text string")
+        assert quality.perplexities(got, model).first().perplexity == pytest.approx(np.exp(-np.mean(want)), rel=1e-4)
+
+
 def test_quality_decisions(docs_of, spark):
     rows = [*EDGE] + [(100 + k, prose(k, 80)) for k in range(60)] + [(900, "#$% ZQX!! " * 60), (901, prose(901, 70))]
     labels = spark.createDataFrame([(100 + k, 1) for k in range(60)] + [(900, 0), (None, 1)], "doc_id long, quality int")
