@@ -220,6 +220,19 @@ def test_language_on_held_out(spark, sf):
     assert sum(r.lang_pred == r.lang for r in got) / len(got) > 0.95
 
 
+def test_language_of_very_long_texts(docs_of, spark, sf):
+    docs = spark.read.parquet(f"{sf}/../sf0.1/documents.parquet")
+    dictionaries = language.learn_dictionaries(docs)
+    rows = []
+    for i, lang in enumerate(["en", "de", "fr", "es"]):
+        text = "\n".join(r.text for r in docs.where(F.col("lang") == lang).orderBy("doc_id").limit(2000).select("text").collect() if r.text)
+        rows += [(10 * i, text[:20_000], lang), (10 * i + 1, (text * (3_000_000 // len(text) + 1))[:3_000_000], lang)]
+    got = {r.doc_id: r for r in language.identify(docs_of(*rows), dictionaries).collect()}
+    for key, _, lang in rows:
+        assert got[key].lang_pred == lang and got[key].accepted
+    assert all(got[10 * i + 1].margin > 0.5 * got[10 * i].margin for i in range(4))
+
+
 def test_language_edges(docs_of):
     rows = [*EDGE, (8, "123 !!")]
     known = language.learn_dictionaries(docs_of(*rows, (9, "der die das und", "de")))
