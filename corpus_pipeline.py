@@ -26,8 +26,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; unlinked documents stay."""
-    return kept(docs, jaccard.near_groups(docs).where("doc_id = component_id"))
+    """Of each group of linked documents the one with the smallest id; unlinked documents stay.
+
+    Linked: a Jaccard similarity of at least 0.8 on shingles of five words.
+    """
+    return kept(docs, jaccard.near_groups(docs, n=5, percent=80).where("doc_id = component_id"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,3 +42,14 @@ def test_stages_drop_what_they_should(spark, sf, tmp_path):
     assert 10**6 not in unique and 10**6 + 1 not in clean and clean <= unique <= language <= quality
     pieces = corpus_pipeline.STAGES[-1][1](spark, rows, sf).collect()
     assert {r.doc_id for r in pieces} == clean
+
+
+def test_near_duplicate_stage_takes_five_words_and_four_fifths(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    words = [f"word{i}" for i in range(460)]
+    above, below = list(words), list(words)
+    above[20:460:44] = [f"new{i}" for i in range(10)]  # 406 of 506 five-word shingles: 0.802; four words: 0.839
+    below[20:460:38] = [f"old{i}" for i in range(12)]  # 396 of 516: 0.767
+    rows = [(i, " ".join(w), "en", "x", 1) for i, w in enumerate([words, above, below])]
+    kept = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, docs.select("doc_id", "text", "lang", "source", "n_chars").schema), sf)
+    assert {r.doc_id for r in kept.collect()} == {0, 2}
