@@ -1,17 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -45,43 +44,48 @@ def item_chunks(benchmark: DataFrame, item_col: str, text_col: str, chunk: int)
             yield r["item"], w[at : at + chunk]
 
 
-def find_seeds(docs: DataFrame, chunks: list[tuple[object, list[str]]], n: int, item_kind: str) -> DataFrame:
-    """Rows (id, item, seeds, words, passage) of stretches of documents that share n-grams with chunks of items."""
+def align(docs: DataFrame, chunks: list[tuple[object, list[str]]], n: int, min_score: float, kinds: dict[str, str]) -> DataFrame:
+    """Rows (id, item, score, passage) of stretches of documents that share n-grams with chunks of items, from `min_score` on."""
     vocabulary: dict[str, int] = {}
     grams: dict[tuple[int, ...], list[tuple[int, int]]] = {}
     for c, (_, w) in enumerate(chunks):
         ids = [vocabulary.setdefault(x, len(vocabulary) + 1) for x in w]
         for p in range(len(ids) - n + 1):
             grams.setdefault(tuple(ids[p : p + n]), []).append((c, p))
-    names = {g: i for i, g in enumerate(grams)}
-    held = docs.sparkSession.sparkContext.broadcast((vocabulary, grams, names, chunks))
+    bags = [Counter(w) for _, w in chunks]
+    held = docs.sparkSession.sparkContext.broadcast((vocabulary, grams, bags, chunks))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, grams, names, chunks = held.value
+        vocabulary, grams, bags, chunks = held.value
         get = vocabulary.get
         for frame in frames:
-            out = []
+            out, scored = [], {}
             for key, text in zip(frame["id"], frame["text"]):
                 w = words(text)
                 if len(w) < n:
                     continue
                 ids = np.fromiter((get(x, 0) for x in w), dtype=np.int64, count=len(w))
                 known = np.concatenate([[0], np.cumsum(ids > 0)])
-                found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+                found: dict[tuple[int, int], list[int]] = {}
                 for p in np.flatnonzero(known[n:] - known[:-n] == n).tolist():
                     gram = tuple(ids[p : p + n].tolist())
                     for c, q in grams.get(gram, ()):
                         size = len(chunks[c][1])
-                        found.setdefault((c, (p - q) // size), []).append((p - q, names[gram]))
+                        found.setdefault((c, (p - q) // size), []).append(p - q)
                 for (c, _), hits in found.items():
                     item, body = chunks[c]
                     slack = len(body) // 4 + 2
-                    lo, hi = min(h[0] for h in hits) - slack, max(h[0] for h in hits) + len(body) + slack
-                    out.append((key, item, sorted({h[1] for h in hits}), body, w[max(0, lo) : hi]))
-            yield pd.DataFrame(out, columns=["id", "item", "seeds", "words", "passage"])
+                    passage = tuple(w[max(0, min(hits) - slack) : max(hits) + len(body) + slack])
+                    # No alignment scores more than the words in common, in any order, would.
+                    if (bags[c] & Counter(passage)).total() < min_score * len(body):
+                        continue
+                    if (c, passage) not in scored:
+                        scored[c, passage] = smith_waterman(body, list(passage))
+                    if scored[c, passage] >= min_score:
+                        out.append((key, item, scored[c, passage], " ".join(passage)))
+            yield pd.DataFrame(out, columns=["id", "item", "score", "passage"])
 
-    kind = dict(docs.dtypes)["id"]
-    return docs.mapInPandas(run, f"id {kind}, item {item_kind}, seeds array<long>, words array<string>, passage array<string>")
+    return docs.mapInPandas(run, f"id {kinds['id']}, item {kinds['item']}, score double, passage string")
 
 
 def contaminated(
@@ -98,14 +102,12 @@ def contaminated(
 ) -> DataFrame:
     """Pairs (id_col, item_col, score, passage) of documents and the benchmark items they hold a copy of.
 
-    Lower-case words of letters and digits. Documents and items meet on word n-grams. Seeds are the rare ones: an n-gram
-    whose count over all documents is the smallest of it and a neighbour in an item (or which has no neighbour that
-    occurs); so every shared run of n + 1 words has a seed. Passages around seeds are aligned to the item word by word
-    and scored as a part of the item's own score; a pair counts from `min_score` on, with its best passage.
+    Lower-case words of letters and digits. Documents and items meet on word n-grams, each of which is a seed, however
+    many documents hold it, so that a copy is found whatever the others hold. Passages around seeds are aligned to the item
+    word by word and scored as a part of the item's own score; a pair counts from `min_score` on, with its best passage.
 
     The items are taken in blocks of `block` stretches of at most `chunk` words, the only thing that is broadcast; each
-    block is one pass over the documents. Stretches that met a seed go to a table in the shared folder, so counting and
-    aligning don't read documents again. Work is by stretch: copies in many documents need no group.
+    block is one pass over the documents. Work is by stretch: copies in many documents need no group.
 
     NULL or empty texts and items, and items of under n words: in no pair. Repeated rows: pairs once for each id. Empty
     tables: no rows.
@@ -124,38 +126,3 @@ def contaminated(
         pairs = pairs.unionByName(more)
     best = pairs.groupBy("id", "item").agg(F.max(F.struct("score", "passage")).alias("best"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "best.score", "best.passage")
-
-
-def align(rows: DataFrame, chunks: list[tuple[object, list[str]]], n: int, min_score: float, kinds: dict[str, str]) -> DataFrame:
-    hits = stored(find_seeds(rows, chunks, n, kinds["item"]), "benchmark-seeds")
-    # How many documents hold each n-gram, over all documents; then the rarer of any two neighbours in a stretch of an item.
-    counts = hits.select("id", F.explode("seeds").alias("seed")).distinct().groupBy("seed").agg(F.count("*").alias("docs"))
-    numbers: dict[tuple[str, ...], int] = {}
-    places = []
-    for c, (_, w) in enumerate(chunks):
-        for p in range(len(w) - n + 1):
-            places.append((c, p, numbers.setdefault(tuple(w[p : p + n]), len(numbers))))
-    spark = rows.sparkSession
-    of_items = spark.createDataFrame(pd.DataFrame(places, columns=["c", "p", "seed"], dtype="int64"), "c long, p long, seed long")
-    order = Window.partitionBy("c").orderBy("p")
-    far = F.lit((1 << 63) - 1)
-    around = of_items.join(counts, "seed").select(
-        "seed", "docs", *[F.when(f(F.col("p")).over(order) == F.col("p") + d, f(F.col("docs")).over(order)).alias(k) for k, f, d in (("b", F.lag, -1), ("a", F.lead, 1))]
-    )
-    rare = around.where((F.col("docs") <= F.coalesce("b", far)) | (F.col("docs") <= F.coalesce("a", far))).select("seed").distinct()
-    kept = hits.withColumn("row", F.xxhash64("id", "item", "seeds"))
-    seeded = kept.select("row", F.explode("seeds").alias("seed")).join(rare, "seed").select("row").distinct()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            scores, known = [], {}
-            for body, passage in zip(frame["words"], frame["passage"]):
-                body, passage = tuple(body), tuple(passage)
-                if (body, passage) not in known:
-                    known[body, passage] = smith_waterman(list(body), list(passage))
-                scores.append(known[body, passage])
-            out = pd.DataFrame({"id": frame["id"], "item": frame["item"], "score": scores, "passage": [" ".join(p) for p in frame["passage"]]})
-            yield out[out["score"] >= min_score]
-
-    ready = kept.join(seeded, "row", "left_semi").select("id", "item", "words", "passage")
-    return ready.mapInPandas(run, f"id {kinds['id']}, item {kinds['item']}, score double, passage string")

@@ -129,6 +129,17 @@ def test_decontamination_against_items(docs_of, spark):
     assert decontamination.contaminated(docs_of(*rows), bench.limit(0)).count() == 0
 
 
+def test_edited_copies_are_found_beside_whole_copies(docs_of, spark):
+    item = "amber basket copper dragon engine falcon gravel hammer island jacket kettle ladder magnet needle orange pepper"
+    edited = item.split()
+    edited[0] = edited[5] = edited[10] = edited[15] = "changed"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for copies in (0, 1, 20):
+        rows = [(1, prose(1, 30) + " " + " ".join(edited) + " " + prose(2, 30))] + [(10 + k, prose(k, 20) + " " + item) for k in range(copies)]
+        got = {r.doc_id: r.score for r in decontamination.contaminated(docs_of(*rows), bench).collect()}
+        assert set(got) == {k for k, _ in rows} and 0.6 < got[1] < 0.7
+
+
 def test_smith_waterman_against_cells():
     def slow(a, b):
         h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
