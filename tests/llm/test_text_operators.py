@@ -290,6 +290,20 @@ def test_chat_perspectives(spark):
     assert ann.text[begin:end] == "hi<|im_end|>" and ann.n_masked == end - begin and ann.n_turns == 4
 
 
+def test_chat_parts_show_every_participant(spark):
+    # "eve" speaks in the first part only, "bob" in the last; the second conversation has no id and a part of narrators only.
+    rows = [(1, 0, "system", "S"), (1, 1, "eve", "first"), (1, 3, "ann", "hi"), (1, 5, "ann", "two"), (1, 9, "system", "still"), (1, 13, "bob", "last"), (1, 14, "ann", "end")]
+    rows += [(None, 0, "ann", "a"), (None, 6, "system", "b")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    got = chat.perspectives(turns, turns_per_part=4).collect()
+    assert {(r.conv_id, r.part, r.speaker) for r in got} == {(1, p, s) for p in range(4) for s in ("eve", "ann", "bob")} | {(None, 0, "ann"), (None, 1, "ann")}
+    whole = {(r.conv_id, r.speaker): r for r in chat.perspectives(turns).collect()}
+    for key, one in whole.items():
+        mine = sorted((r for r in got if (r.conv_id, r.speaker) == key), key=lambda r: r.part)
+        assert "".join(r.text for r in mine) == one.text and ",".join(r.mask for r in mine if r.mask) == one.mask
+        assert sum(r.n_turns for r in mine) == one.n_turns and sum(r.n_masked for r in mine) == one.n_masked
+
+
 def slow_kneser_ney(texts, order):
     """Probability of a character after a context, from the published formulas, with plain dictionaries."""
     from collections import Counter, defaultdict
