@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterlake.session import cut_lineage, scratch_path
@@ -62,6 +62,30 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Each row's position in the order, from 0. Ranges of rows are numbered in parallel, from sums over the ranges."""
+    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = ranged.groupBy("_range").agg(F.count("*").alias("_rows")).select("_range", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_begin"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.join(begins, "_range").withColumn(name, place + F.col("_begin")).drop("_range", "_begin")
+
+
+def bitmap(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Which of `bits` (a power of two) low hash values occur, as bits of uint64 words: at most `bits` / 64 rows are collected."""
+    slot = F.col(column).bitwiseAND(F.lit(bits - 1))
+    words = hashes.select(F.shiftrightunsigned(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("b"))
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(max(1, bits // 64), dtype=np.int64)
+    out[found.column("w").to_numpy()] = found.column("b").to_numpy()
+    return out.view(np.uint64)
+
+
+def in_bitmap(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes & np.uint64(64 * len(words) - 1)
+    return (words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64 on uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
