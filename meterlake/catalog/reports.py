@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.cleaning import cleaning_counts, handle_outliers
 from ..operators.joins import merge_all
-from ..operators.quantiles import exact_quantiles
+from ..operators.quantiles import exact_quantiles, grouped_stats
 from ..operators.splits import time_split
 from ..reports import building, meter, quality, temporal
 from ..sources.files import as_json
@@ -455,12 +455,26 @@ def quality_checks(spark, sf):
     ) + " FROM lineitem GROUP BY 1",
 )
 def exact_quantiles_split(spark, sf):
-    """Interpolated quantiles located by sketch, cell counts and ranks."""
+    """Interpolated quantiles by radix selection."""
     rows = views.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice")
     wanted = {"p01": 0.01, "p50": 0.5, "p90": 0.9, "p999": 0.999}
     return rounded(exact_quantiles(rows, ["flag"], "l_extendedprice", wanted, limit=1000), 4)
 
 
+@register(
+    "tied_quantiles_split",
+    "SELECT l_linestatus AS mode, count(*) AS n, " + r("avg(l_discount)") + " AS mean, " + ", ".join(
+        r(f"quantile_cont(l_discount - 0.05, {p})", 6) + f" AS {n}" for n, p in (("p05", 0.05), ("p25", 0.25), ("p50", 0.5), ("p75", 0.75))
+    ) + " FROM lineitem GROUP BY 1",
+)
+def tied_quantiles_split(spark, sf):
+    """Quantiles of eleven values on both sides of zero, each shared by a large part of a group, beside other aggregates."""
+    rows = views.table(spark, sf, "lineitem").select(F.col("l_linestatus").alias("mode"), "l_discount", (F.col("l_discount") - 0.05).alias("shifted"))
+    wanted = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75}
+    out = grouped_stats(rows, ["mode"], [F.count("*").alias("n"), F.avg("l_discount").alias("mean")], "shifted", wanted, limit=1000)
+    return rounded(out, 6)
+
+
 @register("report_as_json", sql("""SELECT '{"building_id":"' || building_id || '","n":' || n || ',"known":' || known || ',"top":' ||
   coalesce(top::varchar, 'null') || '}' AS json FROM (SELECT building_id, count(*) AS n, count(meter_reading) > 0 AS known,
   max(ord) FILTER (WHERE meter = 'purchase') AS top FROM readings GROUP BY 1)"""))

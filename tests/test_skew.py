@@ -89,10 +89,9 @@ def test_positions(df, frame):
         assert part["__pos"].tolist() == list(range(len(part))) and set(part["__size"]) == {len(part)}
 
 
-@pytest.mark.parametrize("cells", [4, 4096])
-def test_quantiles(df, frame, cells):
+def test_quantiles(df, frame):
     probs = {"lo": 0.0, "a": 0.01, "q1": 0.25, "m": 0.5, "q3": 0.75, "b": 0.99, "hi": 1.0}
-    out = grouped_stats(df, ["building_id"], [F.count("meter_reading").alias("n")], "meter_reading", probs, LIMIT, cells=cells)
+    out = grouped_stats(df, ["building_id"], [F.count("meter_reading").alias("n")], "meter_reading", probs, LIMIT)
     found = out.toPandas().set_index(out.toPandas()["building_id"].fillna("?"))
     for name, part in frame.groupby(frame["building_id"].fillna("?")):
         known = part["meter_reading"].dropna()
