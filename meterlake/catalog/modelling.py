@@ -664,6 +664,22 @@ def ridge_over_folds(spark, sf):
     return rounded(linear.tune_ridge(rows, ["l_quantity"], "l_extendedprice", folds), 3)
 
 
+@register(
+    "day_effects",
+    """WITH m AS (SELECT l_linestatus AS client, day(l_shipdate) AS day, avg(l_extendedprice) AS m FROM lineitem GROUP BY 1, 2)
+SELECT client, m.day::int AS day, """ + r("m.m - base.m", 3) + " AS effect FROM m JOIN m base USING (client) WHERE base.day = 1 AND m.day > 1",
+)
+def day_effects(spark, sf):
+    """Thirty 0/1 columns in one model per client: a day's slope is the distance of its mean from the first day's."""
+    days = list(range(2, 32))
+    rows = views.table(spark, sf, "lineitem").select(
+        F.col("l_linestatus").alias("client"), "l_extendedprice", *[(F.dayofmonth("l_shipdate") == d).cast("double").alias(f"day_{d}") for d in days]
+    )
+    models = linear.fit_groups(rows, [f"day_{d}" for d in days], "l_extendedprice", "client")
+    slopes = models.select("client", F.posexplode(F.slice("coefficients", 2, len(days))).alias("at", "effect"))
+    return rounded(slopes.select("client", (F.col("at") + 2).alias("day"), "effect"), 3)
+
+
 # --- trained models --------------------------------------------------------------------------------------------------
 
 _TREE_FEATURES = ["l_quantity", "l_discount", "l_tax", "month", "dayofweek"]

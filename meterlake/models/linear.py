@@ -1,12 +1,14 @@
-"""Ridge regression from sums: whole table, per client, per fold.
+"""Ridge regression from co-moments: whole table, per client, per fold.
 
-A group's least-squares problem is fully described by its row count and the sums of products of its columns. Those sums
-are computed per input batch with numpy and added up on the cluster, so no group's rows ever meet in one task.
+A group's least-squares problem is fully described by its row count, the means of its columns and their centred cross
+products. Those are computed per input batch with numpy and merged on the cluster, so no group's rows ever meet in one
+task, and columns far from zero (years, square feet) lose no digits as they would in raw sums of products.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -17,9 +19,9 @@ from ..operators.skew import lookup_join
 from ..operators.splits import seeded_key
 from ..session import cut_lineage
 
-# Up to this many products per group, the sums are plain Spark aggregates; beyond it numpy adds them up per task.
-_JVM_PRODUCTS = 120
 _FLUSH_GROUPS = 4096
+_BUCKETS = 64
+_MOMENTS = "key string, n long, mean array<double>, c array<double>"
 
 
 def standardise(df: DataFrame, features: Sequence[str], moments: DataFrame | None = None) -> DataFrame:
@@ -41,57 +43,99 @@ def feature_moments(df: DataFrame, features: Sequence[str]) -> DataFrame:
     )
 
 
-def gram_sums(df: DataFrame, features: Sequence[str], target: str, key: str) -> DataFrame:
-    """(key, g): the upper triangle, row by row, of the sum of z zᵀ with z = (1, features..., target).
+def co_moments(df: DataFrame, features: Sequence[str], target: str, key: str) -> DataFrame:
+    """(key, n, mean, c): rows, means of (features..., target) and the upper triangle of their centred cross products.
 
-    Rows with a NULL are left out. Either way only partial sums are shuffled.
+    Rows with a NULL are left out. Each input batch is centred on its own means; batches, tasks and at last buckets of
+    tasks are merged in turn (see _combine), each merge holding one matrix per key of its rows. Only matrices are shuffled.
     """
     names = [*features, target]
     complete = df.select(F.col(key).cast("string").alias("key"), *[F.col(c).cast("double").alias(c) for c in names])
     complete = complete.na.drop("any")
-    size = len(names) + 1
-    if size * (size + 1) // 2 <= _JVM_PRODUCTS:
-        z = [F.lit(1.0), *[F.col(c) for c in names]]
-        products = [F.sum(z[i] * z[j]) for i in range(size) for j in range(i, size)]
-        return complete.groupBy("key").agg(F.array(*products).alias("g"))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[_Moments] = []
         for batch in batches:
-            z = [np.ones(len(batch)), *[batch[c].to_numpy() for c in names]]
-            groups, code = np.unique(batch["key"].to_numpy(dtype=object), return_inverse=True)
-            sums = [
-                np.bincount(code, z[i] * z[j], len(groups)) for i in range(size) for j in range(i, size)
-            ]
-            held.append((groups, np.column_stack(sums)))
-            if sum(len(g) for g, _ in held) > _FLUSH_GROUPS:
-                held = [_merge(held)]
-                if len(held[0][0]) > _FLUSH_GROUPS // 2:
+            if not len(batch):
+                continue
+            x = batch[names].to_numpy(dtype=float)
+            rows = _Moments(batch["key"].to_numpy(dtype=object), np.ones(len(x)), x, None)
+            held.append(_combine([rows]))
+            if sum(len(m.keys) for m in held) > _FLUSH_GROUPS:
+                held = [_combine(held)]
+                if len(held[0].keys) > _FLUSH_GROUPS // 2:
                     yield _frame(held.pop())
         if held:
-            yield _frame(_merge(held))
+            yield _frame(_combine(held))
 
-    parts = complete.mapInPandas(partial, "key string, g array<double>")
-    return _matrices(parts.select("key", F.posexplode("g").alias("pos", "s")))
+    parts = complete.mapInPandas(partial, _MOMENTS)
+    return merged_moments(parts.withColumn("bucket", F.spark_partition_id() % _BUCKETS), "key", "bucket")
 
 
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Add up the rows of equal keys."""
-    groups, code = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
-    total = np.zeros((len(groups), parts[0][1].shape[1]))
-    np.add.at(total, code, np.concatenate([m for _, m in parts]))
-    return groups, total
-
-
-def _frame(part: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
-    return pd.DataFrame({"key": part[0], "g": list(part[1])})
+def merged_moments(parts: DataFrame, key: str, bucket: str | None = None) -> DataFrame:
+    """Partial moments (key, n, mean, c) merged into one row per key, first within each bucket of a key if there are any.
 
+    Rows come in the order of the key, so a task holds one batch and the key at its end.
+    """
 
-def _matrices(cells: DataFrame) -> DataFrame:
-    """(key, g) from (key, pos, s): summed per position, then one array of fixed size per key."""
-    summed = cells.groupBy("key", "pos").agg(F.sum("s").alias("s"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "s")))
-    return summed.groupBy("key").agg(F.transform(ordered, lambda c: c["s"]).alias("g"))
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for frame in frames:
+            if len(frame):
+                now = _combine([m for m in (last, _moments(frame)) if m is not None])
+                at = np.flatnonzero(now.keys == frame["key"].iloc[-1])[0]
+                ready = np.arange(len(now.keys)) != at
+                last = now.take([at])
+                if ready.any():
+                    yield _frame(now.take(ready))
+        if last is not None:
+            yield _frame(last)
+
+    rows = parts.withColumn("key", F.col(key).cast("string"))
+    for by in (["key", bucket], ["key"]) if bucket else (["key"],):
+        kept = rows.select("key", "n", "mean", "c", *([bucket] if bucket in by else []))
+        rows = kept.repartition(*by).sortWithinPartitions(*by).select("key", "n", "mean", "c").mapInPandas(fold, _MOMENTS)
+    return rows
+
+
+class _Moments(NamedTuple):
+    """Co-moments of several keys; c is None for single rows."""
+
+    keys: np.ndarray
+    n: np.ndarray
+    mean: np.ndarray
+    c: np.ndarray | None
+
+    def take(self, at) -> _Moments:
+        return _Moments(self.keys[at], self.n[at], self.mean[at], self.c[at])
+
+
+def _combine(parts: Sequence[_Moments]) -> _Moments:
+    """One entry per key. The parts' cross products are about their own means, so each adds n d dᵀ, with d the distance of
+    its mean from the common one: no large sums cancel, wherever the columns lie."""
+    keys, code = np.unique(np.concatenate([m.keys for m in parts]), return_inverse=True)
+    n_part, mean_part = np.concatenate([m.n for m in parts]), np.concatenate([m.mean for m in parts])
+    n = np.bincount(code, n_part, len(keys))
+    size = mean_part.shape[1]
+    # About the first part's mean of each key, so that far-off means lose nothing either.
+    base = np.zeros((len(keys), size))
+    base[code[::-1]] = mean_part[::-1]
+    away = mean_part - base[code]
+    shift = np.column_stack([np.bincount(code, n_part * away[:, i], len(keys)) for i in range(size)]) / n[:, None]
+    d = away - shift[code]
+    c = np.column_stack([np.bincount(code, n_part * d[:, i] * d[:, j], len(keys)) for i in range(size) for j in range(i, size)])
+    own = [m.c for m in parts if m.c is not None]
+    if own:
+        np.add.at(c, code, np.concatenate(own))
+    return _Moments(keys, n, base + shift, c)
+
+
+def _frame(m: _Moments) -> pd.DataFrame:
+    return pd.DataFrame({"key": m.keys, "n": m.n.astype(np.int64), "mean": list(m.mean), "c": list(m.c)})
+
+
+def _moments(frame: pd.DataFrame) -> _Moments:
+    return _Moments(frame["key"].to_numpy(dtype=object), frame["n"].to_numpy(dtype=float), np.stack(frame["mean"]), np.stack(frame["c"]))
 
 
 def _square(triangle: np.ndarray) -> np.ndarray:
@@ -102,13 +146,24 @@ def _square(triangle: np.ndarray) -> np.ndarray:
     return m + np.triu(m, 1).T
 
 
-def _solve(triangle: np.ndarray, penalty: float) -> np.ndarray:
-    """Ridge solution for one set of sums; the intercept is not penalised."""
+def _solve(mean: np.ndarray, triangle: np.ndarray, penalty: float) -> np.ndarray:
+    """Ridge solution of one set of co-moments, the intercept (not penalised) first.
+
+    Columns are scaled to equal size for solving; a column that doesn't vary gets 0.
+    """
     m = _square(triangle)
     a, b = m[:-1, :-1].copy(), m[:-1, -1]
-    inner = np.arange(1, len(a))
-    a[inner, inner] += penalty
-    return np.linalg.lstsq(a, b, rcond=None)[0]
+    a[np.diag_indices_from(a)] += penalty
+    scale = np.sqrt(np.diag(a))
+    scale = np.divide(1.0, scale, out=np.zeros_like(scale), where=scale > 0)
+    slopes = scale * np.linalg.lstsq(a * np.outer(scale, scale), b * scale, rcond=None)[0]
+    return np.concatenate([[mean[-1] - mean[:-1] @ slopes], slopes])
+
+
+def _squared_error(n: float, mean: np.ndarray, triangle: np.ndarray, coefficients: np.ndarray) -> float:
+    """Sum of squared residuals of a solution over the rows that the co-moments stand for."""
+    z = np.append(-coefficients[1:], 1.0)
+    return max(float(z @ _square(triangle) @ z + n * (mean @ z - coefficients[0]) ** 2), 0.0)
 
 
 def fit_groups(
@@ -117,15 +172,11 @@ def fit_groups(
     """One local model per client: (client, n, coefficients), coefficients[0] being the intercept."""
 
     @F.pandas_udf("array<double>")
-    def solve(g: pd.Series) -> pd.Series:
-        return g.map(lambda flat: _solve(np.asarray(flat), penalty))
-
-    fitted = gram_sums(df, features, target, client)
-    return fitted.select(
-        F.col("key").alias(client),
-        F.get("g", F.lit(0)).cast("bigint").alias("n"),
-        solve("g").alias("coefficients"),
-    )
+    def solve(mean: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([_solve(m, x, penalty) for m, x in zip(mean, c)])
+
+    fitted = co_moments(df, features, target, client)
+    return fitted.select(F.col("key").alias(client), "n", solve("mean", "c").alias("coefficients"))
 
 
 def linear_prediction(features: Sequence[str], coefficients: Column) -> Column:
@@ -216,35 +267,32 @@ def tune_ridge(
 ) -> DataFrame:
     """(fold, alpha, train_rows, test_rows, rmse) for the whole grid from one pass over the rows.
 
-    Sums per month are added up to each fold's train and test sums; the squared error of a solution follows from the test
-    sums alone.
+    Co-moments per month are merged into each fold's train and test ones; the squared error of a solution follows from the
+    test ones alone.
     """
     month = F.year(time_col) * 12 + F.month(time_col) - 1
-    monthly = gram_sums(df.withColumn("__month", month), features, target, "__month")
+    monthly = co_moments(df.withColumn("__month", month), features, target, "__month")
     monthly = cut_lineage(monthly.withColumn("month", F.col("key").cast("int")).drop("key"))
 
     def of(role: str) -> DataFrame:
         ranges = folds.select("fold", f"{role}_from", f"{role}_to")
         inside = F.col("month").between(F.col(f"{role}_from"), F.col(f"{role}_to"))
-        cells = monthly.join(F.broadcast(ranges), inside).select(F.col("fold").alias("key"), F.posexplode("g").alias("pos", "s"))
-        return _matrices(cells).select(F.col("key").alias("fold"), F.col("g").alias(role))
+        whole = merged_moments(monthly.join(F.broadcast(ranges), inside), "fold")
+        return whole.select(F.col("key").cast("int").alias("fold"), F.struct("n", "mean", "c").alias(role))
 
     pairs = of("train").join(of("test"), "fold")
     pairs = pairs.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
 
     @F.pandas_udf("double")
-    def test_sse(train: pd.Series, test: pd.Series, alpha: pd.Series) -> pd.Series:
-        def one(g, t, a):
-            z = np.append(-_solve(np.asarray(g), a), 1.0)
-            return max(float(z @ _square(np.asarray(t)) @ z), 0.0)
-
-        return pd.Series([one(g, t, a) for g, t, a in zip(train, test, alpha)])
+    def test_sse(mean: pd.Series, c: pd.Series, n: pd.Series, test_mean: pd.Series, test_c: pd.Series, alpha: pd.Series) -> pd.Series:
+        fits = (_solve(m, x, a) for m, x, a in zip(mean, c, alpha))
+        return pd.Series([_squared_error(k, m, x, w) for k, m, x, w in zip(n, test_mean, test_c, fits)])
 
-    rows = F.get("test", F.lit(0))
+    rows = F.col("test.n")
     return pairs.select(
         "fold",
         "alpha",
-        F.get("train", F.lit(0)).cast("bigint").alias("train_rows"),
-        rows.cast("bigint").alias("test_rows"),
-        F.sqrt(test_sse("train", "test", "alpha") / rows).alias("rmse"),
+        F.col("train.n").alias("train_rows"),
+        rows.alias("test_rows"),
+        F.sqrt(test_sse("train.mean", "train.c", "test.n", "test.mean", "test.c", "alpha") / rows).alias("rmse"),
     )

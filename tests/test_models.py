@@ -33,9 +33,7 @@ def brute(rows, features):
     return np.linalg.lstsq(x, pdf["meter_reading"].to_numpy(), rcond=None)[0], len(pdf)
 
 
-@pytest.mark.parametrize("products", [120, 0])
-def test_group_fits_match_numpy(rows, products, monkeypatch):
-    monkeypatch.setattr(linear, "_JVM_PRODUCTS", products)
+def test_group_fits_match_numpy(rows):
     fitted = {r["client"]: r for r in linear.fit_groups(rows, ["a", "b", "c"], "meter_reading", "client").collect()}
     assert len(fitted) == 5
     for client, row in fitted.items():
@@ -44,15 +42,48 @@ def test_group_fits_match_numpy(rows, products, monkeypatch):
         assert row["n"] == n
 
 
-def test_partial_sums_are_merged_and_flushed(rows, monkeypatch):
-    monkeypatch.setattr(linear, "_JVM_PRODUCTS", 0)
+def test_partial_moments_are_merged_and_flushed(rows, monkeypatch):
     many = rows.withColumn("client", (F.col("id") % 700).cast("string")).repartition(2)
-    want = {r["key"]: r["g"] for r in linear.gram_sums(many, ["a"], "meter_reading", "client").collect()}
-    monkeypatch.setattr(linear, "_FLUSH_GROUPS", 16)
-    found = {r["key"]: r["g"] for r in linear.gram_sums(many, ["a"], "meter_reading", "client").collect()}
-    assert want.keys() == found.keys() and len(want) == 700
-    for key in want:
-        np.testing.assert_allclose(found[key], want[key])
+    names = ["a", "b", "meter_reading"]
+    want = {k: g[names].to_numpy() for k, g in many.select("client", *names).toPandas().groupby("client")}
+    for groups in (4096, 16):
+        monkeypatch.setattr(linear, "_FLUSH_GROUPS", groups)
+        found = {r["key"]: r for r in linear.co_moments(many, ["a", "b"], "meter_reading", "client").collect()}
+        assert want.keys() == found.keys() and len(want) == 700
+        for key, x in want.items():
+            centred = x - x.mean(axis=0)
+            np.testing.assert_allclose(found[key]["mean"], x.mean(axis=0))
+            np.testing.assert_allclose(found[key]["c"], (centred.T @ centred)[np.triu_indices(3)], atol=1e-9)
+            assert found[key]["n"] == len(x)
+
+
+def test_twenty_features_far_from_zero_match_a_qr_solution(spark):
+    """Years near 2016, square feet and 0/1 columns: raw sums of products would lose eight and more digits here."""
+    pick = np.random.default_rng(11)
+    n = 5000
+    x = np.column_stack([
+        2016 + pick.integers(0, 2, n), 1950 + pick.integers(0, 70, n), *(1e5 * (1 + 1e-3 * pick.random((4, n)))),
+        *(pick.random((8, n)) < 0.3), *(1e7 + pick.normal(size=(3, n))), *pick.normal(size=(3, n)),
+    ]).astype(float)
+    y = x @ pick.normal(size=20) + 1e6 + pick.normal(size=n)
+    names = [f"x{i}" for i in range(20)]
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame(np.column_stack([x, y]), columns=[*names, "y"])).repartition(13).withColumn("k", F.lit("all"))
+    row = linear.fit_groups(df, names, "y", "k").first()
+    centre = x.mean(axis=0)
+    q, r = np.linalg.qr(x - centre)
+    slopes = np.linalg.solve(r, q.T @ (y - y.mean()))
+    np.testing.assert_allclose(row["coefficients"][1:], slopes, rtol=1e-8)
+    np.testing.assert_allclose(row["coefficients"][0], y.mean() - centre @ slopes, rtol=1e-8)
+
+
+def test_columns_that_do_not_vary_get_no_slope(spark):
+    df = spark.createDataFrame([("k", 5.0, float(i), 3.0 * i + 2) for i in range(10)], "k string, a double, b double, y double")
+    np.testing.assert_allclose(linear.fit_groups(df, ["a", "b"], "y", "k").first()["coefficients"], [2, 0, 3], atol=1e-9)
+    one = linear.fit_groups(df.limit(1), ["a", "b"], "y", "k").first()
+    assert one["n"] == 1 and one["coefficients"][1:] == [0, 0]
+    assert linear.fit_groups(df.limit(0), ["a", "b"], "y", "k").count() == 0
 
 
 def test_unseen_client_has_no_prediction(rows):
