@@ -697,7 +697,7 @@ def _model_rows(spark, sf):
 def boosted_tree_metrics(spark, sf):
     """Trees with early stopping on the newest training hours; saved, loaded, and scored on the test rows."""
     train, test = _model_rows(spark, sf)
-    model = boosted.fit_boosted(train, _TREE_FEATURES, maxIter=10)
+    model = boosted.fit_boosted(train, _TREE_FEATURES)
     path = scratch_path(spark, "trees")
     boosted.save_model(model, path)
     scored = boosted.predict_boosted(boosted.load_model(path), test, _TREE_FEATURES)
@@ -707,7 +707,7 @@ def boosted_tree_metrics(spark, sf):
 @register("tree_importances")
 def tree_importances(spark, sf):
     train, _ = _model_rows(spark, sf)
-    return boosted.importances(boosted.fit_boosted(train, _TREE_FEATURES, validation_share=None, maxIter=5), spark)
+    return boosted.importances(boosted.fit_boosted(train, _TREE_FEATURES), spark)
 
 
 @register("tree_grid_over_folds")
@@ -773,6 +773,67 @@ def boosted_stump(spark, sf):
     return rounded(boosted.predict_boosted(model, rows.select("code").distinct(), ["code"]), 3)
 
 
+def _stump_stages(last: int) -> str:
+    """Stumps on two features of three values each, by their nine cells: best cut, leaf means, and the held-out error of each stage."""
+    out = """WITH cut AS (SELECT t FROM (SELECT t, row_number() OVER (ORDER BY t) AS rn, count(*) OVER () AS n
+  FROM (SELECT DISTINCT l_shipdate AS t FROM lineitem)) WHERE rn = floor(0.9 * n) + 1),
+s AS (SELECT l_linenumber % 3 AS line, floor(l_quantity / 17) AS size, l_extendedprice AS y, l_shipdate >= t AS held FROM lineitem, cut),
+p0 AS (SELECT line, size, count(*) FILTER (NOT held) AS n, coalesce(sum(y) FILTER (NOT held), 0) AS t, count(*) FILTER (held) AS hn,
+  coalesce(sum(y) FILTER (held), 0) AS ht, coalesce(sum(y * y) FILTER (held), 0) AS hq, 0.0::double AS p FROM s GROUP BY 1, 2)"""
+    for i in range(1, last + 1):
+        out += f""",
+o{i} AS (SELECT feature, pos, sum(n) AS n, sum(n) FILTER (low) AS nl, sum(r) FILTER (low) AS rl, sum(n) FILTER (NOT low) AS nr, sum(r) FILTER (NOT low) AS rr
+  FROM (SELECT feature, pos, n, t - n * p AS r, CASE feature WHEN 'line' THEN line ELSE size END <= pos AS low
+        FROM p{i - 1}, (SELECT unnest(['line', 'size']) AS feature), (SELECT unnest([0, 1]) AS pos)) GROUP BY 1, 2),
+b{i} AS (SELECT *, rl * rl / nl + rr * rr / nr - (rl + rr) * (rl + rr) / n AS gain FROM o{i} ORDER BY gain DESC, feature, pos LIMIT 1),
+p{i} AS (SELECT line, size, c.n, t, hn, ht, hq,
+  p + CASE WHEN CASE feature WHEN 'line' THEN line ELSE size END <= pos THEN rl / nl ELSE rr / nr END AS p FROM p{i - 1} c, b{i})"""
+    return out
+
+
+_STAGES = 4
+
+
+def _stumps(spark, sf):
+    rows = views.table(spark, sf, "lineitem").select(
+        F.col("l_shipdate").alias("timestamp"), (F.col("l_linenumber") % 3).alias("line"), F.floor(F.col("l_quantity") / 17).alias("size"),
+        F.col("l_extendedprice").alias("meter_reading"),
+    )
+    train, held = splits.time_split(rows, 0.9)
+    model = boosted.fit_boosted(
+        train, ["line", "size"], validation_share=None, maxIter=_STAGES, maxDepth=1, stepSize=0.5, subsamplingRate=1.0, featureSubsetStrategy="all"
+    )
+    return model, held
+
+
+@register(
+    "boosted_stages",
+    _stump_stages(_STAGES) + ", e AS (" + " UNION ALL ".join(
+        f"SELECT {i} AS stage, sum(hq - 2 * p * ht + hn * p * p) / sum(hn) AS mse FROM p{i}" for i in range(1, _STAGES + 1)
+    ) + """) SELECT stage::int AS stage, """ + r("sqrt(mse)", 3) + " AS rmse, stage <= (SELECT arg_min(stage, mse) FROM e) AS kept FROM e",
+)
+def boosted_stages(spark, sf):
+    """Held-out error after each of four stumps, and the stages that stay."""
+    model, held = _stumps(spark, sf)
+    errors = boosted.stage_errors(model, held)
+    best = boosted.best_stage(errors)
+    found = [(i, float(e), i <= best) for i, e in enumerate(errors, 1)]
+    return rounded(spark.createDataFrame(found, "stage int, mse double, kept boolean").select("stage", F.sqrt("mse").alias("rmse"), "kept"), 3)
+
+
+@register(
+    "boosted_gains",
+    _stump_stages(_STAGES) + ", g AS (" + " UNION ALL ".join(f"SELECT feature, gain FROM b{i}" for i in range(1, _STAGES + 1))
+    + ") SELECT f.feature, " + r("coalesce(sum(gain), 0) / 1e6", 2) + """ AS importance, count(gain) AS splits
+FROM (SELECT unnest(['line', 'size']) AS feature) f LEFT JOIN g USING (feature) GROUP BY 1""",
+)
+def boosted_gains(spark, sf):
+    """Gain by feature of the same stumps, in millions of squared error."""
+    model, _ = _stumps(spark, sf)
+    found = boosted.importances(model, spark)
+    return rounded(found.select("feature", (F.col("importance") / 1e6).alias("importance"), "splits"), 2)
+
+
 @register("additive_importances")
 def additive_importances(spark, sf):
     return _additive(spark, sf)[0].explain_global(spark)
@@ -793,7 +854,7 @@ def additive_contributions(spark, sf):
 def scored_models(spark, sf):
     """Actual, both predictions, time and building of the test rows."""
     train, test = _model_rows(spark, sf)
-    trees = boosted.fit_boosted(train, _TREE_FEATURES, validation_share=None, maxIter=3)
+    trees = boosted.fit_boosted(train, _TREE_FEATURES)
     additive = fit_additive(train, _TREE_FEATURES, bins=16, interactions=2)
     scored = boosted.predict_boosted(trees, test, _TREE_FEATURES, "predicted_trees")
     return additive.predict(scored, "predicted_additive").withColumnRenamed("meter_reading", "actual").select(

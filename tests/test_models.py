@@ -177,4 +177,35 @@ def test_boosted_trees(spark, rows, tmp_path):
     assert scored.columns == [*test.columns, "prediction"] and scored.filter("c is null").count() > 0
     assert evaluate(scored, "meter_reading", "prediction").first()["r2"] > 0.9
     ranked = boosted.importances(model, spark).collect()
-    assert ranked[0]["feature"] == "a" and sum(r["importance"] for r in ranked) == pytest.approx(1.0)
+    assert ranked[0]["feature"] == "a" and ranked[0]["importance"] > ranked[-1]["importance"] > 0
+    assert sum(r["splits"] for r in ranked) == boosted.node_table(model, spark).count()
+
+
+def test_best_stage_waits_for_its_patience():
+    errors = [9.0, 8.0, 8.5, 8.4, 8.3, 1.0, 2.0]
+    assert [boosted.best_stage(errors, p) for p in (1, 3, 4, 50)] == [2, 2, 6, 6]
+    assert boosted.best_stage([1.0]) == 1 and boosted.best_stage([2.0, 2.0, 2.0]) == 1
+
+
+def test_trees_are_cut_back_to_the_best_stage(spark, rows, tmp_path):
+    """The newest rows turn around, so that every further tree hurts there."""
+    turned = rows.withColumn("meter_reading", F.when(F.col("id") >= 5400, -F.col("a")).otherwise(F.col("a") + F.col("b"))).filter("id < 6000")
+    model = boosted.fit_boosted(turned, ["a", "b"], maxIter=12, maxDepth=2, stepSize=0.5, patience=4)
+    every = boosted.fit_boosted(turned.filter("id < 5400"), ["a", "b"], validation_share=None, maxIter=12, maxDepth=2, stepSize=0.5)
+    held = turned.filter("id >= 5400")
+    errors = boosted.stage_errors(every, boosted.with_missing_marker(held, ["a", "b"]))
+    kept = boosted.best_stage(errors, 4)
+    assert model.stages[-1].getNumTrees == kept < 12
+    boosted.save_model(model, str(tmp_path / "cut"))
+    scored = boosted.predict_boosted(boosted.load_model(str(tmp_path / "cut")), held, ["a", "b"])
+    assert scored.agg(F.avg(F.pow(F.col("prediction") - F.col("meter_reading"), 2))).first()[0] == pytest.approx(errors[kept - 1])
+    assert set(boosted.node_table(model, spark).agg(F.max("tree")).first()) <= {kept - 1, *range(kept)}
+
+
+def test_gains_of_one_stump_are_its_loss_of_squared_error(spark):
+    df = spark.createDataFrame([(float(i % 2), float(i % 5), 10.0 * (i % 2) + i % 3) for i in range(60)], "a double, b double, meter_reading double")
+    model = boosted.fit_boosted(df, ["a", "b"], validation_share=None, maxIter=1, maxDepth=1, subsamplingRate=1.0, featureSubsetStrategy="all")
+    got = {r["feature"]: (r["importance"], r["splits"]) for r in boosted.importances(model, spark).collect()}
+    y = np.array([10.0 * (i % 2) + i % 3 for i in range(60)])
+    loss = ((y - y.mean()) ** 2).sum() - sum(((y[k::2] - y[k::2].mean()) ** 2).sum() for k in (0, 1))
+    assert got["a"] == (pytest.approx(loss), 1) and got["b"] == (0.0, 0)
