@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +87,33 @@ def in_bitmap(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
+def maybe_among(ids: DataFrame, most_bits: int = 1 << 27) -> Column:
+    """Whether the row's `id` may be among the ids: a bitmap of 16 bits an id, of at most 16 MB, looked up without a shuffle."""
+    hashes = cut_lineage(ids.select(F.xxhash64("id").alias("h")))
+    bits = min(max(1 << 16, 1 << (16 * hashes.count()).bit_length()), most_bits)
+    held = ids.sparkSession.sparkContext.broadcast(bitmap(hashes, "h", bits))
+
+    @F.pandas_udf("boolean")
+    def known(h: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(held.value, h.to_numpy().view(np.uint64)))
+
+    return known(F.xxhash64("id"))
+
+
+def rows_among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose `id` is among the ids, as a semi-join that shuffles hardly any row beyond its id.
+
+    A bitmap lets all wanted rows and a few others through. A join of ids alone finds those others, and a second bitmap, of
+    them, tells which rows are surely wanted; only rows that both bitmaps know go through the exact join.
+    """
+    ids = cut_lineage(ids.select("id").distinct())
+    may = maybe_among(ids)
+    others = rows.select("id").where(may).distinct().join(ids, "id", "left_anti")
+    doubt = maybe_among(others)
+    passed = rows.where(may)
+    return passed.where(~doubt).unionByName(passed.where(doubt).join(ids, "id", "left_semi"))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64 on uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

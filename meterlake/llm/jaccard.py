@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut_lineage, mix64
+from meterlake.operators.skew import lookup_join
+
+from .common import components, cut_lineage, maybe_among, mix64, stored
 
 #: Odd 64-bit values by byte, and the base of the rolling hash with its inverse modulo 2**64.
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -115,12 +117,16 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return common > 0 and 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def connect(points: np.ndarray, percent: int, test=None) -> list[tuple[int, int]]:
+def connect(points: np.ndarray, percent: int, test=None, label: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs that connect all points whose bound allows a link and for which the test, if any, holds.
 
-    Points already connected needn't be tested, so a thousand near copies take about a thousand tests.
+    Points already connected (from the start those of equal labels) needn't be tested, so a thousand near copies take about
+    a thousand tests.
     """
-    tree, links, label = CountTree(points), [], np.arange(len(points))
+    label = np.arange(len(points)) if label is None else label
+    if (label == label[0]).all():
+        return []
+    tree, links = CountTree(points), []
     for i in range(len(points)):
         if (label == label[i]).all():
             break
@@ -132,6 +138,47 @@ def connect(points: np.ndarray, percent: int, test=None) -> list[tuple[int, int]
     return links
 
 
+class Forest:
+    """Union-find over ids: which are connected so far."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent, at = self.parent, x
+        while (up := parent.get(at, at)) != at:
+            at = up
+        while x != at:
+            parent[x], x = at, parent.get(x, x)
+        return at
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether this edge connects what was apart."""
+        a, b = self.root(a), self.root(b)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def forest_of(edges: np.ndarray, forest: Forest) -> np.ndarray:
+    """Of the (a, b) edges, by ascending b, those that connect what the forest hasn't yet."""
+    edges = edges[np.lexsort((edges[:, 0], edges[:, 1]))]
+    return edges[[forest.join(a, b) for a, b in edges.tolist()]] if len(edges) else edges
+
+
+def fewer_edges(edges: DataFrame) -> DataFrame:
+    """(a, b) edges with the same components: of each task's edges at most one for each document."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forest = Forest()
+        for frame in frames:
+            if len(frame):
+                yield pd.DataFrame(forest_of(frame[["a", "b"]].to_numpy(), forest), columns=["a", "b"])
+            if len(forest.parent) > 1_000_000:
+                forest = Forest()
+
+    return edges.mapInPandas(run, "a long, b long").distinct()
+
+
 def local_links(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that connect all linked sets of one region; with two sides, only links between sides are looked for."""
     # As many groups as keep unrelated sets of this size apart.
@@ -141,12 +188,21 @@ def local_links(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list
     return connect(points, percent, lambda i, j: (not two or sides[i] != sides[j]) and linked(sets[i], sets[j], percent))
 
 
-def shingle_sizes(docs: DataFrame, n: int) -> DataFrame:
+def shingle_sets(rows: DataFrame, n: int) -> DataFrame:
+    """(id, n_shingles, digest): equal sets have equal digests; NULL for an empty one."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"id": frame["id"], "n_shingles": [len(shingles(t, n)) for t in frame["text"]]})
+            sets = [shingles(t, n) for t in frame["text"]]
+            digests = [whole_key(s) if len(s) else None for s in sets]
+            yield pd.DataFrame({"id": frame["id"], "n_shingles": [len(s) for s in sets], "digest": pd.array(digests, dtype="Int64")})
+
+    return rows.mapInPandas(run, "id long, n_shingles long, digest long")
 
-    return docs.mapInPandas(run, "id long, n_shingles long")
+
+def whole_key(got: np.ndarray) -> int:
+    key = np.bitwise_xor.reduce(mix64(got)) ^ mix64(np.array([len(got)], dtype=np.uint64))[0]
+    return int(key.view(np.int64))
 
 
 def region_rows(docs: DataFrame, n: int, percent: int, many: int) -> DataFrame:
@@ -170,7 +226,7 @@ def region_rows(docs: DataFrame, n: int, percent: int, many: int) -> DataFrame:
             first = np.zeros(len(k), dtype=bool)
             first[begins] = True
             edges = np.unique(np.stack([i[often], low[often]], axis=1), axis=0)
-            edges = edges[edges[:, 0] != edges[:, 1]]
+            edges = forest_of(edges[edges[:, 0] != edges[:, 1]], Forest())
             own = mix64(mix64(edges[:, 0].astype(np.uint64)) + edges[:, 1].astype(np.uint64))
             sent = ~often | first
             keys, ids, held = [], [], 0
@@ -182,10 +238,9 @@ def region_rows(docs: DataFrame, n: int, percent: int, many: int) -> DataFrame:
         for frame in frames:
             for key, text in zip(frame["id"], frame["text"]):
                 got = shingles(text, n)
-                if len(got):
-                    # Equal sets meet by their whole content; small ones can't link otherwise.
-                    sums = np.array([np.bitwise_xor.reduce(mix64(got)) ^ mix64(np.array([len(got)], dtype=np.uint64))[0]], dtype=np.uint64)
-                    mine = np.concatenate([sums, signatures(got, percent)]) if differing(2 * len(got) + 2, percent) else sums
+                # Equal sets have one representative; small unequal ones can't link.
+                if len(got) and differing(2 * len(got) + 2, percent):
+                    mine = signatures(got, percent)
                     keys.append(mine), ids.append(np.full(len(mine), key, dtype=np.int64))
                     held += len(mine)
                     if held > 500_000:
@@ -197,41 +252,46 @@ def region_rows(docs: DataFrame, n: int, percent: int, many: int) -> DataFrame:
 
 
 def bounded_edges(rows: DataFrame, lists: DataFrame, n: int, percent: int, groups: int = 128) -> DataFrame:
-    """(a, b) edges that connect, within each list of ids, the documents whose count vectors allow a link."""
+    """(a, b) edges that connect, within each list of ids, the documents whose count vectors allow a link.
+
+    The lists of a near-copy group mostly repeat each other. Those of one smallest id meet in a task, which sends only the
+    edges that connect what its earlier edges haven't: at most one for each document.
+    """
 
     def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"id": frame["id"], "v": [count_vector(shingles(t, n), groups).astype("<i4").tobytes() for t in frame["text"]]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held, forest = None, Forest()
         for frame in frames:
             if not len(frame):
                 continue
             held = frame if held is None else pd.concat([held, frame], ignore_index=True)
             last = held["region"].iloc[-1]
             ready, held = held[held["region"] != last], held[held["region"] == last]
-            yield edges(ready)
+            if len(ready):
+                yield edges(ready, forest)
+            if len(forest.parent) > 1_000_000:  # what is forgotten is sent again at worst
+                forest = Forest()
         if held is not None:
-            yield edges(held)
+            yield edges(held, forest)
 
-    def edges(frame: pd.DataFrame) -> pd.DataFrame:
-        regions, ids, out = frame["region"].to_numpy(), frame["id"].to_numpy(), []
+    def edges(frame: pd.DataFrame, forest: Forest) -> pd.DataFrame:
+        regions, ids, out = frame["region"].to_numpy(), frame["id"].tolist(), []
         points = np.frombuffer(b"".join(frame["v"]), dtype="<i4").reshape(len(ids), groups)
         cuts = np.flatnonzero(np.diff(regions)) + 1
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
-            if hi - lo > 2:
-                out += [(ids[lo + x], ids[lo + y]) for x, y in connect(points[lo:hi], percent)]
-            elif hi - lo == 2:
-                a, b = points[lo], points[lo + 1]
-                if (100 + percent) * np.minimum(a, b).sum() >= percent * (a.sum() + b.sum()):
-                    out.append((ids[lo], ids[lo + 1]))
+            roots = np.array([forest.root(x) for x in ids[lo:hi]])
+            pairs = ((ids[lo + x], ids[lo + y]) for x, y in connect(points[lo:hi], percent, label=roots))
+            out += [pair for pair in pairs if forest.join(*pair)]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    members = lists.select(F.xxhash64("ids").alias("region"), F.explode("ids").alias("id"))
-    points = maybe_in(rows, members.select("id")).mapInPandas(vectors, "id long, v binary")
+    # A document has a bounded number of keys, so the lists with one smallest id are few.
+    members = lists.select(F.xxhash64("ids").alias("region"), F.get("ids", F.lit(0)).alias("low"), F.explode("ids").alias("id"))
+    points = rows.where(maybe_among(members.select("id").distinct())).mapInPandas(vectors, "id long, v binary")
     # Lists have at most a few thousand ids; in order of region, a task holds one batch and one list.
-    ordered = members.join(points, "id").repartition("region").sortWithinPartitions("region")
+    ordered = members.join(points, "id").repartition("low").sortWithinPartitions("low", "region")
     return ordered.mapInPandas(run, "a long, b long")
 
 
@@ -254,28 +314,13 @@ def verified_links(members: DataFrame, n: int, percent: int, task_shingles: int)
     return placed.groupBy("region", "i", "j").applyInPandas(run, "a long, b long")
 
 
-def maybe_in(rows: DataFrame, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
-    """Rows whose id may be among the ids, by a bitmap of fixed size, so that a join after it shuffles few texts."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(bits))
-    found = np.zeros(bits, dtype=bool)
-    for batch in ids.select((slot / 64).cast("long").alias("w"), slot.alias("s")).groupBy("w").agg(F.collect_set("s").alias("s")).toArrow().to_batches():
-        found[batch.column("s").flatten().to_numpy()] = True
-    held = rows.sparkSession.sparkContext.broadcast(np.packbits(found))
-
-    @F.pandas_udf("boolean")
-    def known(slots: pd.Series) -> pd.Series:
-        at = slots.to_numpy()
-        return pd.Series((held.value[at >> 3] >> (7 - (at & 7))) & 1 == 1)
-
-    return rows.where(known(slot))
-
-
 def near_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, task_shingles: int = 4_000_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, task_shingles: int = 2_000_000
 ) -> DataFrame:
     """One row for each document: id_col, n_shingles, component_id (smallest id reachable by links).
 
     Two documents link when 100 * |intersection| >= percent * |union| of their distinct n-word shingles. No link is lost:
+    0. Documents of equal sets are one node, their smallest id; only its text goes on.
     1. Tokens are hashed into more groups than linked sets can differ in, so linked sets agree on a whole group; its
        content is the key of a region. A task sends a frequent key once, and its documents' edges to the smallest id.
     2. In each region the sets' count vectors (tokens hashed into groups, one coordinate each) are the points of an
@@ -286,21 +331,32 @@ def near_groups(
     Texts, not sets, are shuffled, and only those of documents that met another. Shingles are 64-bit hashes.
 
     ids must be integers. NULL or empty text: 0 shingles, its own component. Repeated rows: one row for each; equal ids are
-    one node. Empty table: no rows.
+    one node, also with different texts. A NULL id links with nothing and has a NULL component. Empty table: no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    nameless = shingle_sets(whole.where("id is null").withColumn("id", F.lit(0).cast("long")), n)
+    whole = whole.where("id is not null")
+    sets = stored(shingle_sets(whole, n), "jaccard-sets")
+    first = cut_lineage(sets.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep")))
+    belongs = cut_lineage(lookup_join(sets.where("digest is not null").select("id", "digest"), first, ["digest"]).select("id", "rep").distinct())
+    # Rows of one id with different texts are one node.
+    twice = belongs.groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b < most").select("id", "b")
+    same = belongs.join(twice, "id").select(F.col("rep").alias("a"), "b").where("a <> b")
+    rows = whole.where(maybe_among(first.select(F.col("rep").alias("id"))))
+
     region = Window.partitionBy("key")
     found = region_rows(rows, n, percent, many=32)
     met = found.select("key", "id", F.min("id").over(region).alias("low"), F.count("*").over(region).alias("n"), F.max("star").over(region).alias("star"))
     met = cut_lineage(met.where("n > 1"))
-    stars = met.where("(star or n > 2000) and id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
+    stars = met.where("(star or n > 2000) and id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
     lists = met.where("not star and n <= 2000").groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1)
     lists = cut_lineage(lists.select("ids").distinct())
-    regions = components(cut_lineage(stars.unionByName(bounded_edges(rows, lists, n, percent))))
-    members = maybe_in(rows, regions).join(regions.withColumnRenamed("root", "region"), "id")
+    regions = components(cut_lineage(fewer_edges(stars.unionByName(bounded_edges(rows, lists, n, percent)))))
+    members = rows.where(maybe_among(regions.select("id"))).join(regions.withColumnRenamed("root", "region"), "id")
     members = members.withColumn("size", F.greatest(F.length("text") / 4, F.lit(400)))
-    roots = components(verified_links(members, n, percent, task_shingles))
-    sizes = shingle_sizes(rows, n)
-    return sizes.join(roots, "id", "left").select(
-        F.col("id").alias(id_col), "n_shingles", F.coalesce("root", "id").alias("component_id")
-    )
+    roots = components(fewer_edges(verified_links(members, n, percent, task_shingles).unionByName(same)))
+    placed = belongs.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
+    placed = placed.groupBy("id").agg(F.min(F.coalesce("root", "rep")).alias("root"))
+    found = sets.join(placed, "id", "left").select("id", "n_shingles", F.coalesce("root", "id").alias("component_id"))
+    found = found.unionByName(nameless.select(F.lit(None).cast("long").alias("id"), "n_shingles", F.lit(None).cast("long").alias("component_id")))
+    return found.withColumnRenamed("id", id_col)

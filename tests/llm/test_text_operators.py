@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meterlake.llm import chat, decontamination, jaccard, language, licenses, merkle, packing, quality, tokens, toxicity
+from meterlake.llm import chat, common, decontamination, jaccard, language, licenses, merkle, packing, quality, tokens, toxicity
 
 WORDS = "river stone garden window letter summer winter bridge copper silver market candle forest island harbor".split()
 
@@ -378,3 +378,51 @@ def test_held_out_rule(docs_of):
 
     got = {r.doc_id: r.h for r in docs_of(*EDGE).select("doc_id", is_held_out().alias("h")).collect()}
     assert got == {k: zlib.crc32(str(k).encode()) % 4 == 2 for k, _ in EDGE}
+
+
+def copies_of_one(seed, count, words=300, edits=8):
+    pick = random.Random(seed)
+    base = [pick.choice(WORDS) + str(pick.randint(0, 9999)) for _ in range(words)]
+    for i in range(count):
+        mine = list(base)
+        for at in pick.sample(range(words), edits):
+            mine[at] = f"edit{i}x{at}"
+        yield " ".join(mine)
+
+
+def test_near_copies_send_about_one_edge_each(docs_of, monkeypatch):
+    texts = list(copies_of_one(1, 500, edits=2))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[3]) for i in range(50)]
+    sent = []
+    real = jaccard.components
+
+    def counted(edges, *args):
+        sent.append(edges.count())
+        return real(edges, *args)
+
+    monkeypatch.setattr(jaccard, "components", counted)
+    got = {r.doc_id: r.component_id for r in jaccard.near_groups(docs_of(*rows), n=5, percent=80).collect()}
+    assert set(got.values()) == {0} and len(got) == 550
+    assert max(sent) <= 4 * 500, sent  # four tasks
+
+
+def test_near_groups_of_repeated_and_null_ids(docs_of):
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(5, a), (5, b), (9, a), (3, b), (None, a), (7, ""), (5, None), (2**53 + 1, a)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_groups(docs_of(*rows)).collect()), key=str)
+    sizes = {a: len(jaccard.shingles(a)), b: len(jaccard.shingles(b))}
+    want = [(k, sizes.get(t, 0), None if k is None else 7 if k == 7 else 3) for k, t in rows]
+    assert got == sorted(want, key=str)
+
+
+def test_rows_among_is_a_semi_join(spark):
+    rows = spark.range(5000).withColumn("text", F.lit("x")).unionByName(spark.range(100).withColumn("text", F.lit("y")))
+    ids = spark.range(0, 9000, 3).unionByName(spark.range(0, 9, 3))
+    got = common.rows_among(rows, ids)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.where("id % 3 = 0").collect()))
+    assert common.rows_among(rows, ids.limit(0)).count() == 0 and common.rows_among(rows.limit(0), ids).count() == 0
+
+
+def test_full_bitmaps_only_cost_time(spark):
+    rows = spark.range(3000).withColumn("text", F.lit("x"))
+    assert rows.where(common.maybe_among(spark.range(2000), most_bits=64)).count() >= 2000
