@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -214,20 +216,26 @@ def frequent_slots(parts: DataFrame, threshold: int) -> DataFrame:
 
 
 def exact_counts(rows: DataFrame, slots: np.ndarray, partitions: int, longest: int, chunk: int, most: int = 200_000) -> DataFrame:
-    """(lang, phrase, f): occurrences of every phrase whose key is among the slots; phrase NULL: all words of the language."""
+    """(lang, phrase, f): occurrences of every phrase whose key is among the slots; phrase NULL: all words of the language.
+
+    A task's counts go out by hash partition, as (p, counts) of packed lists; a partition has about as many phrases as its
+    summary had counters, and sums them in one dictionary.
+    """
     held = rows.sparkSession.sparkContext.broadcast(slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, names = {}, {}
 
         def emit() -> pa.RecordBatch:
-            out = [pa.array([names[h][0] for h in counts]), pa.array([names[h][1] for h in counts], pa.string()), pa.array(list(counts.values()), pa.int64())]
-            return pa.RecordBatch.from_arrays(out, ["lang", "phrase", "f"])
+            hashes = np.fromiter(counts, dtype=np.uint64, count=len(counts))
+            p = (dealt(hashes, partitions) >> np.uint64(32)).astype(np.int64)
+            order, hashes = np.argsort(p, kind="stable"), hashes.tolist()
+            cuts = np.flatnonzero(np.diff(p[order], prepend=-1))
+            groups = [[(*names[hashes[i]], counts[hashes[i]]) for i in part] for part in np.split(order, cuts[1:])]
+            blobs = [zstandard.ZstdCompressor(level=1).compress(pickle.dumps(list(zip(*sorted(g))))) for g in groups]
+            return pa.RecordBatch.from_arrays([pa.array(p[order][cuts]), pa.array(blobs, pa.binary())], ["p", "counts"])
 
         for words, langs in read_words(batches, longest, chunk):
-            for x, n in zip(langs, words.words.tolist()):
-                names[x] = (x, None)
-                counts[x] = counts.get(x, 0) + n
             for n, (first, hashes) in enumerate(zip(words.first, words.hashes), 1):
                 keys = dealt(hashes, partitions)
                 for probe in _PROBES:
@@ -238,14 +246,34 @@ def exact_counts(rows: DataFrame, slots: np.ndarray, partitions: int, longest: i
                     if h not in counts:
                         counts[h], names[h] = 0, (langs[words.lang[i]], words.phrase(i, n))
                     counts[h] += c
+            for x, n in zip(langs, words.words.tolist()):
+                # No phrase is empty: it stands for the words of the language.
+                key = xxhash.xxh3_64_intdigest(b"\0" + x.encode("utf-8", "surrogatepass"))
+                names[key] = (x, "")
+                counts[key] = counts.get(key, 0) + n
             if len(counts) > most:
                 yield emit()
                 counts, names = {}, {}
         if counts:
             yield emit()
 
-    found = rows.mapInArrow(run, "lang string, phrase string, f long")
-    return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, sums = None, Counter()
+
+        def close() -> pd.DataFrame:
+            return pd.DataFrame([(lang, phrase or None, f) for (lang, phrase), f in sums.items()], columns=["lang", "phrase", "f"])
+
+        for frame in frames:
+            for p, blob in zip(frame["p"], frame["counts"]):
+                if p != at:
+                    yield close()
+                    at, sums = p, Counter()
+                for lang, phrase, f in zip(*pickle.loads(zstandard.ZstdDecompressor().decompress(blob))):
+                    sums[lang, phrase] += f
+        yield close()
+
+    found = rows.mapInArrow(run, "p long, counts binary")
+    return found.repartition("p").sortWithinPartitions("p").mapInPandas(merge, "lang string, phrase string, f long")
 
 
 def mine(
