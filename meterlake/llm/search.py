@@ -83,9 +83,13 @@ def postings(docs: DataFrame, id_col: str, text_col: str, wanted: np.ndarray) ->
 
 
 class Shard:
-    """Documents of one flush: rows by document, posting lists by term, and each list's blocks, made when first asked for."""
+    """Documents of one flush: rows by document, posting lists by term, and each list's blocks, made when first asked for.
 
-    def __init__(self, ids, begins, cols, impacts, weight, block_docs: int):
+    Summaries of about `held_entries` coordinates are kept; beyond, they are dropped and made again when asked for.
+    """
+
+    def __init__(self, ids, begins, cols, impacts, weight, block_docs: int, held_entries: int = 4_000_000):
+        self.held, self.held_entries = 0, held_entries
         self.ids, self.begins, self.cols, self.impacts, self.weight, self.block_docs = ids, begins, cols, impacts, weight, block_docs
         self.of = np.repeat(np.arange(len(ids)), np.diff(begins))
         order = np.argsort(cols, kind="stable")
@@ -147,6 +151,9 @@ class Shard:
                 coords.append(((kept >> 20) & 0xFFFFF).astype(np.int32))
                 maxima.append((kept & 0xFFFFF).astype(np.int32))
             summary = np.concatenate([[0], np.cumsum(counts)[:-1]])
+            if self.held > self.held_entries:
+                self.blocks, self.held = {}, 0
+            self.held += sum(map(len, coords))
             self.blocks[term] = docs, np.append(begins, len(docs)), summary, np.concatenate(coords), np.concatenate(maxima)
         return self.blocks[term]
 
@@ -243,12 +250,18 @@ def search_block(rows: DataFrame, queries: pa.Table, n_docs: int, n_terms: int,
             m = np.array([50 + 50 * n * n_docs // n_terms for n in batch.column(1).to_pylist()], dtype=np.int64)
             impacts = 1_000_000_000 * tf // (1000 * tf + 20 * m[of])
             sizes = np.bincount(of, minlength=len(sizes))
-            ids, some = batch.column(0).fill_null(_LAST).to_numpy(), sizes > 0
-            parts.append((ids[some], sizes[some], cols, impacts))
-            waiting += len(cols)
-            if waiting > shard_postings:
-                flush()
-                parts, waiting = [], 0
+            ids, some = batch.column(0).fill_null(_LAST).to_numpy(), np.flatnonzero(sizes)
+            ends = np.cumsum(sizes[some])
+            lo = 0
+            while lo < len(some):
+                begin = ends[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, begin + shard_postings - waiting, side="right")))
+                parts.append((ids[some[lo:hi]], sizes[some[lo:hi]], cols[begin : ends[hi - 1]], impacts[begin : ends[hi - 1]]))
+                waiting += int(ends[hi - 1] - begin)
+                lo = hi
+                if waiting >= shard_postings or lo < len(some):
+                    flush()
+                    parts, waiting = [], 0
         if waiting:
             flush()
         for name, mine in zip(names.tolist(), best):
@@ -267,7 +280,7 @@ def search(
     item_text_col: str = "text",
     k: int = 50,
     block_terms: int = 200_000,
-    shard_postings: int = 2_000_000,
+    shard_postings: int = 400_000,
     block_docs: int = 64,
 ) -> DataFrame:
     """Each item's `k` best documents with a score above 0: item_id, rank (from 1), doc_id, score.
