@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, rows_among
 
 ORDER = 4
 BITS = 9
@@ -244,12 +244,12 @@ def classify(
     Repeated ids or labels: a document is trusted if any of its labels is 1. No trusted text: no model, NULL perplexity,
     accepted unless the text is empty. Empty table: no rows.
     """
-    trusted = labels.where(F.col(trusted_col) == 1).select(F.col(id_col).alias("id")).distinct()
+    trusted = labels.where(F.col(trusted_col) == 1).select(F.col(id_col).cast(dict(docs.dtypes)[id_col]).alias("id")).distinct()
     rows = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), lang_number(lang_col).alias("number"),
         F.col(text_col).alias("text"), (F.pmod(F.xxhash64(text_col), F.lit(5)) == 0).alias("fresh"),
     )
-    learned = rows.where("length(text) > 0 and not fresh").join(trusted, "id", "left_semi")
+    learned = rows_among(rows.where("length(text) > 0 and not fresh"), trusted)
     model = fit(learned.select(F.col("number").alias("lang"), "text"), shard_rows)
     scored = cut_lineage(perplexities(rows, model))
     if model:  # the scores are in the shared folder now
