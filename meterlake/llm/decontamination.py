@@ -36,27 +36,19 @@ def smith_waterman(item: list[str], passage: list[str], match: int = 2, mismatch
     return best / (match * len(a))
 
 
-def item_chunks(benchmark: DataFrame, item_col: str, text_col: str, chunk: int) -> Iterator[tuple[object, list[str]]]:
-    """Items as stretches of at most `chunk` words, each starting half a stretch after the one before."""
-    for r in benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).toLocalIterator():
-        w = words(r["text"])
-        for at in range(0, max(1, len(w) - chunk // 2), chunk // 2):
-            yield r["item"], w[at : at + chunk]
-
-
-def align(docs: DataFrame, chunks: list[tuple[object, list[str]]], n: int, min_score: float, kinds: dict[str, str]) -> DataFrame:
-    """Rows (id, item, score, passage) of stretches of documents that share n-grams with chunks of items, from `min_score` on."""
+def align(docs: DataFrame, items: list[tuple[object, list[str]]], n: int, min_score: float, kinds: dict[str, str]) -> DataFrame:
+    """Rows (id, item, score, passage) of stretches of documents that share n-grams with items, from `min_score` on."""
     vocabulary: dict[str, int] = {}
     grams: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-    for c, (_, w) in enumerate(chunks):
+    for c, (_, w) in enumerate(items):
         ids = [vocabulary.setdefault(x, len(vocabulary) + 1) for x in w]
         for p in range(len(ids) - n + 1):
             grams.setdefault(tuple(ids[p : p + n]), []).append((c, p))
-    bags = [Counter(w) for _, w in chunks]
-    held = docs.sparkSession.sparkContext.broadcast((vocabulary, grams, bags, chunks))
+    bags = [Counter(w) for _, w in items]
+    held = docs.sparkSession.sparkContext.broadcast((vocabulary, grams, bags, items))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, grams, bags, chunks = held.value
+        vocabulary, grams, bags, items = held.value
         get = vocabulary.get
         for frame in frames:
             out, scored = [], {}
@@ -66,16 +58,20 @@ def align(docs: DataFrame, chunks: list[tuple[object, list[str]]], n: int, min_s
                     continue
                 ids = np.fromiter((get(x, 0) for x in w), dtype=np.int64, count=len(w))
                 known = np.concatenate([[0], np.cumsum(ids > 0)])
-                found: dict[tuple[int, int], list[int]] = {}
+                found: dict[tuple[int, int], tuple[int, int]] = {}
                 for p in np.flatnonzero(known[n:] - known[:-n] == n).tolist():
                     gram = tuple(ids[p : p + n].tolist())
                     for c, q in grams.get(gram, ()):
-                        size = len(chunks[c][1])
-                        found.setdefault((c, (p - q) // size), []).append(p - q)
-                for (c, _), hits in found.items():
-                    item, body = chunks[c]
+                        place = c, (p - q) // len(items[c][1])
+                        low, high = found.get(place, (p - q, p - q))
+                        found[place] = min(low, p - q), max(high, p - q)
+                for (c, _), (low, high) in found.items():
+                    item, body = items[c]
                     slack = len(body) // 4 + 2
-                    passage = tuple(w[max(0, min(hits) - slack) : max(hits) + len(body) + slack])
+                    begin, end = max(0, low - slack), min(len(w), high + len(body) + slack)
+                    if known[end] - known[begin] < min_score * len(body):
+                        continue
+                    passage = tuple(w[begin:end])
                     # No alignment scores more than the words in common, in any order, would.
                     if (bags[c] & Counter(passage)).total() < min_score * len(body):
                         continue
@@ -97,8 +93,7 @@ def contaminated(
     item_text_col: str = "text",
     n: int = 4,
     min_score: float = 0.5,
-    chunk: int = 128,
-    block: int = 20_000,
+    block_words: int = 1_000_000,
 ) -> DataFrame:
     """Pairs (id_col, item_col, score, passage) of documents and the benchmark items they hold a copy of.
 
@@ -106,20 +101,21 @@ def contaminated(
     many documents hold it, so that a copy is found whatever the others hold. Passages around seeds are aligned to the item
     word by word and scored as a part of the item's own score; a pair counts from `min_score` on, with its best passage.
 
-    The items are taken in blocks of `block` stretches of at most `chunk` words, the only thing that is broadcast; each
-    block is one pass over the documents. Work is by stretch: copies in many documents need no group.
+    The items are taken in blocks of at most `block_words` words and one more item, the only thing that is broadcast; each
+    block is one pass over the documents. Work is by document: copies in many documents need no group.
 
     NULL or empty texts and items, and items of under n words: in no pair. Repeated rows: pairs once for each id. Empty
     tables: no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kinds = {"id": dict(rows.dtypes)["id"], "item": dict(benchmark.select(F.col(item_col).alias("item")).dtypes)["item"]}
-    found, waiting = [], []
-    for one in item_chunks(benchmark, item_col, item_text_col, chunk):
-        waiting.append(one)
-        if len(waiting) == block:
+    found, waiting, size = [], [], 0
+    for r in benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).toLocalIterator():
+        waiting.append((r["item"], words(r["text"])))
+        size += len(waiting[-1][1])
+        if size >= block_words:
             found.append(align(rows, waiting, n, min_score, kinds))
-            waiting = []
+            waiting, size = [], 0
     found.append(align(rows, waiting, n, min_score, kinds))
     pairs = found[0]
     for more in found[1:]:
