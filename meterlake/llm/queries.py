@@ -104,13 +104,13 @@ from p
 _CHAT = """
 with t as (select distinct conv_id, turn::bigint as turn, coalesce(role, 'unknown') as role, coalesce(text, '') as content from conversations),
 k as (select *, coalesce(floor(turn / 512)::bigint, 0) as part, coalesce(turn, -4611686018427387904) as place from t),
-s as (select distinct conv_id, part, role as speaker from k where role <> 'system'),
-r as (select s.conv_id, s.part, s.speaker, k.place, k.role, k.content, k.role = s.speaker as own,
+s as (select distinct conv_id, role as speaker from k where role <> 'system'),
+r as (select k.conv_id, k.part, s.speaker, k.place, k.role, k.content, k.role = s.speaker as own,
              '<|im_start|>' || case when k.role = s.speaker then 'assistant' when k.role = 'system' then k.role
                                     else 'user name=' || k.role end || chr(10) as head
-      from s join k on k.conv_id is not distinct from s.conv_id and k.part = s.part),
+      from s join k on k.conv_id is not distinct from s.conv_id),
 l as (select *, head || content || '<|im_end|>' || chr(10) as line from r),
-o as (select *, sum(length(line)) over (partition by conv_id, part, speaker order by place, role, content rows unbounded preceding) as upto from l)
+o as (select *, sum(length(line)) over (partition by conv_id, speaker order by part, place, role, content rows unbounded preceding) as upto from l)
 select conv_id, part, speaker, string_agg(line, '' order by place, role, content) as text,
        coalesce(string_agg((upto - length(line) + length(head))::bigint || ':' || (upto - 1)::bigint, ',' order by place, role, content) filter (own), '') as mask,
        count(*) as n_turns, sum(case when own then length(line) - length(head) - 1 else 0 end)::bigint as n_masked
