@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, rows_among
 
 ORDER = 4
-BITS = 9
-#: Characters from here on share the last 128 codes by their remainder.
-DIRECT = 384
+BITS = 12
+#: Characters below DIRECT have a code of their own, others are spelled with two of the last DIGITS codes.
+DIGITS = 1056
+DIRECT = (1 << BITS) - 1 - DIGITS
 LANG_BITS = 10
 #: In a tagged key, from here on: the order of an n-gram, or ORDER + 1 and the length of a context.
 TAG = BITS * ORDER + LANG_BITS
@@ -25,13 +26,18 @@ AT_ONCE = 1 << 20
 
 
 def codes_of(text: str) -> np.ndarray:
-    """Code of each character, 1 to 511: itself below DIRECT, else one of the last 128."""
+    """Codes of the characters, from 1: one for each below DIRECT, else two, so that no two texts have equal codes."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-    return np.where(points < DIRECT, np.maximum(points, 1), DIRECT + points % 128)
+    spelled = points >= DIRECT
+    if not spelled.any():
+        return points + 1
+    codes = np.repeat(np.where(spelled, 1 + DIRECT + points // DIGITS, points + 1), 1 + spelled)
+    codes[(np.cumsum(1 + spelled) - 1)[spelled]] = 1 + DIRECT + points[spelled] % DIGITS
+    return codes
 
 
 def keys_of(text: str, lang: int) -> list[np.ndarray]:
-    """For k = 1..ORDER, the key of the k characters that end at each character; code 0 stands before the text."""
+    """For k = 1..ORDER, the key of the k codes that end at each code; code 0 stands before the text."""
     codes = codes_of(text)
     padded = np.concatenate([np.zeros(ORDER - 1, dtype=np.int64), codes])
     out, key = [], np.zeros(len(codes), dtype=np.int64)
@@ -42,7 +48,7 @@ def keys_of(text: str, lang: int) -> list[np.ndarray]:
 
 
 def lang_number(col: str) -> Column:
-    """Ten bits of a hash of the language; NULL is a language of its own."""
+    """Ten bits of a hash of the language; NULL is a language of its own. Languages of one number share a model."""
     return F.pmod(F.xxhash64(F.coalesce(F.col(col).cast("string"), F.lit(""))), F.lit(1 << LANG_BITS))
 
 
@@ -240,6 +246,9 @@ def classify(
     little. A language without such held-out text takes the threshold of all languages. A document is accepted up to
     its threshold.
 
+    Characters from code point 3,039 on (most scripts of Asia, emoji) are two codes each, so n-grams span fewer of them; none
+    share a code. Perplexity is by character. Languages whose hashes agree in ten bits share a model, not a threshold.
+
     NULL or empty text: NULL perplexity, not accepted. NULL language: a language of its own.
     Repeated ids or labels: a document is trusted if any of its labels is 1. No trusted text: no model, NULL perplexity,
     accepted unless the text is empty. Empty table: no rows.

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meterlake.llm import chat, common, decontamination, jaccard, language, licenses, merkle, packing, quality, tokens, toxicity
+from meterlake.llm import chat, common, decontamination, jaccard, language, licenses, merkle, packing, quality, queries, tokens, toxicity
 
 WORDS = "river stone garden window letter summer winter bridge copper silver market candle forest island harbor".split()
 
@@ -124,7 +124,7 @@ def test_decontamination_against_items(docs_of, spark):
     bench = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (4, prose(9, 300))], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(docs_of(*rows), bench).collect()}
     assert set(got) == {(10, 1), (11, 1)} and got[10, 1] == 1.0 and 0.8 < got[11, 1] < 1
-    blocks = decontamination.contaminated(docs_of(*rows), bench, block=1).collect()
+    blocks = decontamination.contaminated(docs_of(*rows), bench, block_words=1).collect()
     assert {(r.doc_id, r.item_id): r.score for r in blocks} == got
     assert decontamination.contaminated(docs_of(*rows), bench.limit(0)).count() == 0
 
@@ -140,6 +140,26 @@ def test_edited_copies_are_found_beside_whole_copies(docs_of, spark):
         assert set(got) == {k for k, _ in rows} and 0.6 < got[1] < 0.7
 
 
+def test_decontamination_scores_by_the_whole_item(docs_of, spark):
+    # Forty copied words are too few of any of these items, a hundred and more enough of the first two, whatever their length.
+    pick = random.Random(5)
+    items = [[f"w{pick.randrange(10_000)}" for _ in range(n)] for n in (128, 129, 300, 1000)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    rows = []
+    for k, w in enumerate(items):
+        for j, part in enumerate((40, 100, 128, len(w))):
+            edited = [x if i % 9 else "changed" for i, x in enumerate(w[:part])]
+            rows += [(100 * k + 10 * j, prose(k, 60) + " " + " ".join(w[:part]) + " " + prose(j, 60)), (100 * k + 10 * j + 1, " ".join(edited))]
+    want = {}
+    for key, text in rows:
+        for k, w in enumerate(items):
+            score = decontamination.smith_waterman(w, decontamination.words(text))
+            if score >= 0.5:
+                want[key, k] = score
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(docs_of(*rows), bench).collect()}
+    assert got == want and {k for _, k in want} == {0, 1, 2, 3} and not any(key % 100 < 10 for key, _ in want)
+
+
 def test_smith_waterman_against_cells():
     def slow(a, b):
         h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
@@ -304,6 +324,18 @@ def test_chat_parts_show_every_participant(spark):
         assert sum(r.n_turns for r in mine) == one.n_turns and sum(r.n_masked for r in mine) == one.n_masked
 
 
+def test_chat_sql_on_long_conversations(spark):
+    import duckdb
+
+    rows = [(1, k, "system" if k % 400 == 0 else f"p{k % 3 if k < 600 else 3}", f"turn {k}" if k % 7 else None) for k in range(1300)]
+    rows += [(2, None, "ann", "no number"), (2, 700, "bob", "late"), (2, -3, None, "early"), (None, 600, "ann", "x"), (None, 1, "bob", "")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    got = chat.perspectives(turns)
+    conversations = turns.toArrow()  # noqa: F841
+    want = duckdb.sql(queries.ORACLES["op9_chat_perspectives"]).fetchall()
+    assert len(want) > 12 and {tuple(r) for r in got.collect()} == set(want)
+
+
 def slow_kneser_ney(texts, order):
     """Probability of a character after a context, from the published formulas, with plain dictionaries."""
     from collections import Counter, defaultdict
@@ -326,7 +358,7 @@ def slow_kneser_ney(texts, order):
     def prob(gram):
         k = len(gram)
         if not k:
-            return 1 / 512
+            return 1 / 2**quality.BITS
         seen = contexts[k].get(gram[:-1])
         if not seen:
             return prob(gram[1:])
@@ -363,6 +395,25 @@ def test_quality_model_loses_no_gram(spark):
         assert quality.perplexities(got, model).first().perplexity == pytest.approx(np.exp(-np.mean(want)), rel=1e-4)
 
 
+def test_quality_of_scripts_beyond_latin(spark):
+    # Cyrillic, Chinese and emoji: no two characters share codes, and probabilities follow the formulas.
+    codes = quality.codes_of("".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])))
+    own, spelled = codes[: quality.DIRECT], codes[quality.DIRECT :].reshape(-1, 2)
+    assert np.array_equal(own, np.arange(1, quality.DIRECT + 1)) and spelled.min() > quality.DIRECT and spelled.max() < 1 << quality.BITS
+    assert len(np.unique(spelled[:, 0] * 4096 + spelled[:, 1])) == len(spelled) == 0x110000 - 0x800 - quality.DIRECT
+    pick = random.Random(12)
+    alphabet = [chr(c) for c in [*range(0x430, 0x450), *range(0x4E00, 0x4E00 + 400), 0x1F600, 0x10FFFF]]
+    texts = ["".join(pick.choices(alphabet, k=300)) + "a \x00\x01" for _ in range(20)]
+    model = quality.fit(spark.createDataFrame([(7, t) for t in texts], "lang int, text string"), shard_rows=10_000)
+    prob = slow_kneser_ney(texts, quality.ORDER)
+    probe = texts[3][:80] + "新しい ё"
+    codes = [0, 0, 0, *quality.codes_of(probe).tolist()]
+    want = [np.log(prob(tuple(codes[i - 3 : i + 1]))) for i in range(3, len(codes))]
+    assert len(want) > len(probe) and np.allclose(model.log_probs(probe, 7), want, atol=1e-4)
+    got = spark.createDataFrame([(1, "", 7, True, probe)], "id long, lang string, number long, fresh boolean, text string")
+    assert quality.perplexities(got, model).first().perplexity == pytest.approx(np.exp(-np.sum(want) / len(probe)), rel=1e-3)
+
+
 def test_quality_decisions(docs_of, spark):
     rows = [*EDGE] + [(100 + k, prose(k, 80)) for k in range(60)] + [(900, "#$% ZQX!! " * 60), (901, prose(901, 70))]
     labels = spark.createDataFrame([(100 + k, 1) for k in range(60)] + [(900, 0), (None, 1)], "doc_id long, quality int")
