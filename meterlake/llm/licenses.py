@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Short public notices.
+#: Public notices, and whole bodies of short licenses.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
@@ -18,6 +18,31 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-2-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+        following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+        following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE
+        COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES
+        OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
+        that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS
+        ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR
+        BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR
+        PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+        PERFORMANCE OF THIS SOFTWARE."""),
+    ("Unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+        compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+        non-commercial, and by any means."""),
+    ("GPL-2.0", """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as
+        published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."""),
+    ("LGPL-2.1", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+        License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."""),
+    ("AGPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public
+        License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
 )
 
 
@@ -66,7 +91,8 @@ def scan_licenses(
     For templates of s words the text is cut into windows of 2 s words, each starting s words after the last, so that a copy lies
     within one. A window's MinHash bands are compared to the template's by a join on (band, value); `bands_for` sets their number so that a
     window of enough content is missed with a chance of at most `miss`. A retrieved window counts when it holds at least `containment` of the
-    template's shingles; the best window, and the first of equals, is returned.
+    template's shingles; the best window, and the first of equals, is returned, from its first to its last word in a shingle of the template.
+    Templates that share most shingles (notices of one family) are all returned; the highest containment fits best.
 
     A band can only collide where the window holds the shingle behind the template's value, so signatures are computed for
     windows with one of those alone; the result is that of all windows. All by row before the join: no group grows
@@ -103,8 +129,11 @@ def scan_licenses(
     judged = met.join(table.select("number", "license", "template"), "number")
     share = F.size(F.array_intersect("window", "template")) / F.size("template")
     found = judged.withColumn("containment", share).where(F.col("containment") >= containment)
-    best = found.groupBy("id", "number", "license").agg(F.max(F.struct("containment", (-F.col("begin")).alias("back"), "size")).alias("b"))
+    shared = F.filter(F.transform("window", lambda h, i: F.when(F.array_contains("template", h), i)), lambda i: i.isNotNull())
+    placed = found.select("id", "number", "license", "containment", "begin", F.explode(F.array(shared)).alias("at"))
+    bounds = F.struct("containment", (-F.col("begin")).alias("back"), F.array_min("at").alias("first"), F.array_max("at").alias("last"))
+    best = placed.groupBy("id", "number", "license").agg(F.max(bounds).alias("b"))
     return best.select(
         F.col("id").alias(id_col), F.col("number").alias("template"), "license", "b.containment",
-        (-F.col("b.back")).cast("long").alias("begin"), (2 * F.col("b.size") - F.col("b.back")).cast("long").alias("end"),
+        (F.col("b.first") - F.col("b.back")).cast("long").alias("begin"), (F.col("b.last") - F.col("b.back") + n).cast("long").alias("end"),
     )

@@ -183,6 +183,37 @@ def test_licenses_against_containment(docs_of):
         licenses.scan_licenses(docs_of(*rows), templates=[("X", "two words")])
 
 
+def test_whole_licenses_against_brute_force(docs_of):
+    # Whole bodies and notices, edited or not, at places of long texts; every template held against every window of every text.
+    import re
+
+    split = lambda text: re.findall(r"[^\W_]+", (text or "").lower())
+    cut = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    pick, rows = random.Random(8), [*EDGE, (8, licenses.TEMPLATES[2][1])]
+    for k, (_, body) in enumerate(licenses.TEMPLATES):
+        for j, edits in enumerate((0, 1, 4)):
+            w = body.split()
+            for at in pick.sample(range(len(w)), min(edits, len(w) // 4)):
+                w[at] = pick.choice(["changed", "", w[at] + " added"])
+            rows.append((100 + 10 * k + j, prose(k, 100 + 37 * k) + "\n" + " ".join(w) + "\n" + prose(j, 90)))
+    rows += [(900, rows[-1][1] + " " + rows[-4][1]), (900, rows[-1][1] + " " + rows[-4][1])]
+    want = {}
+    for key, text in rows:
+        hashes = cut(split(text))
+        for t, (_, body) in enumerate(licenses.TEMPLATES):
+            s, template = len(split(body)), set(cut(split(body)))
+            for begin in range(0, max(1, len(hashes)), s):
+                window = hashes[begin : begin + 2 * s - 4]
+                share = len(template & set(window)) / len(template)
+                if share >= 0.8 and share > want.get((key, t), (0,))[0]:
+                    at = [begin + i for i, x in enumerate(window) if x in template]
+                    want[key, t] = share, at[0], at[-1] + 5
+    got = {(r.doc_id, r.template): (r.containment, r.begin, r.end) for r in licenses.scan_licenses(docs_of(*rows)).collect()}
+    assert got == want and got[8, 2] == (1.0, 0, 8) and {t for _, t in want} == set(range(len(licenses.TEMPLATES)))
+    assert any(1 > share >= 0.8 and t == 10 for (_, t), (share, *_) in want.items())
+    assert licenses.scan_licenses(docs_of(*rows).limit(0)).count() == 0
+
+
 def brute_components(rows, percent=85):
     sets, root = {}, {}
     for key, text in rows:
