@@ -8,6 +8,7 @@ from ..operators.cleaning import cleaning_counts, handle_outliers
 from ..operators.joins import merge_all
 from ..operators.quantiles import exact_quantiles, grouped_stats
 from ..operators.splits import time_split
+from ..operators.windows import gap_intervals
 from ..reports import building, meter, quality, temporal
 from ..sources.files import as_json
 from . import views
@@ -398,6 +399,38 @@ def missing_timestamps(spark, sf):
     return quality.missing_timestamps(views.kept(spark, sf))
 
 
+_GAPS = """missing AS (SELECT building_id, timestamp FROM grid EXCEPT SELECT building_id, timestamp FROM kept),
+gaps AS (SELECT building_id, min(timestamp) AS gap_start, max(timestamp) AS gap_end, count(*) AS missing_steps FROM (
+  SELECT *, timestamp - to_hours(row_number() OVER (PARTITION BY building_id ORDER BY timestamp)) AS island FROM missing)
+  GROUP BY building_id, island) """
+
+
+@register("reading_gap_intervals", views.CTE.rstrip() + ", " + _GAPS + "SELECT * FROM gaps")
+def reading_gap_intervals(spark, sf):
+    return gap_intervals(views.kept(spark, sf))
+
+
+@register("reading_gap_intervals_split", views.CTE.rstrip() + ", " + _GAPS + "SELECT * FROM gaps")
+def reading_gap_intervals_split(spark, sf):
+    """The same by the path for groups too large for one task (buildings of over 100 rows count as such here)."""
+    return gap_intervals(views.kept(spark, sf), limit=100)
+
+
+@register(
+    "reading_gap_summary",
+    views.CTE.rstrip() + ", " + _GAPS + """SELECT building_id, count(*) AS gaps, sum(missing_steps)::bigint AS missing_steps,
+  max(missing_steps) AS longest_gap, first(gap_start ORDER BY missing_steps DESC, gap_start) AS longest_gap_start
+  FROM gaps GROUP BY 1""",
+)
+def reading_gap_summary(spark, sf):
+    return quality.gap_summary(views.kept(spark, sf))
+
+
+@register("missing_timestamps_per_building", views.CTE.rstrip() + ", " + _GAPS + "SELECT * FROM missing")
+def missing_timestamps_per_building(spark, sf):
+    return quality.missing_times_by_group(views.kept(spark, sf))
+
+
 @register(
     "extra_timestamps",
     """WITH t AS (SELECT DISTINCT date_trunc('minute', ts) AS timestamp FROM events)

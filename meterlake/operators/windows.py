@@ -1,4 +1,4 @@
-"""Lag, rolling, difference and expanding features, gap filling, and the hourly grid."""
+"""Lag, rolling, difference and expanding features, gap filling, gap intervals, and the hourly grid."""
 
 from __future__ import annotations
 
@@ -286,6 +286,38 @@ def hourly_grid(
     )
 
 
+def gap_intervals(
+    df: DataFrame,
+    group_cols: Sequence[str] = ("building_id",),
+    time_col: str = "timestamp",
+    step: str = "1 hour",
+    limit: int = HOT_ROWS,
+    split: bool | None = None,
+) -> DataFrame:
+    """Gaps of each group as intervals (gap_start, gap_end, missing_steps), at most one a row, however long it is.
+
+    A gap lies between a row and its successor more than one step later; its missing times are the row's own plus one,
+    two, ... steps before the successor. Rows without a time are left out, repeated times make no gap, a NULL group is a
+    group, and a group without a gap has no row.
+    """
+    groups = list(group_cols)
+
+    def build(frame: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return frame.withColumn("__next", F.lead("__t").over(w))
+
+    times = df.filter(F.col(time_col).isNotNull()).select(*groups, F.col(time_col).alias("__t"))
+    chained = over_groups(times, groups, ["__t"], build, 0, 1, limit, split)
+    missing = F.expr(f"(__next - __t - interval 1 microsecond) div (interval {step})")
+    gaps = chained.filter(F.expr(f"__next > __t + interval {step}")).withColumn("__missing", missing)
+    return gaps.select(
+        *groups,
+        F.expr(f"__t + interval {step}").alias("gap_start"),
+        F.expr(f"__t + interval {step} * __missing").alias("gap_end"),
+        F.col("__missing").alias("missing_steps"),
+    )
+
+
 def add_weather_rolling(
     weather: DataFrame,
     column: str = "air_temperature",

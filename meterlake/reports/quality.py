@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import pearson, share
 from ..operators.cleaning import duplicate_keys, outlier_bounds
 from ..operators.quantiles import grouped_stats
+from ..operators.windows import gap_intervals
 
 VALUE = "meter_reading"
 
@@ -136,6 +137,28 @@ def extra_timestamps(df: DataFrame, time_col: str = "timestamp", step: str = "1
     return df.select(time_col).subtract(expected_timestamps(df, time_col, step))
 
 
+def gap_summary(
+    df: DataFrame, group_cols: Sequence[str] = ("building_id",), time_col: str = "timestamp", step: str = "1 hour", **options
+) -> DataFrame:
+    """Number of gaps, missing steps, and length and start of the longest gap (the earliest of equals) per group with gaps."""
+    gaps = gap_intervals(df, group_cols, time_col, step, **options)
+    longest = F.min_by("gap_start", F.struct(-F.col("missing_steps"), F.col("gap_start")))
+    return gaps.groupBy(*group_cols).agg(
+        F.count(F.lit(1)).alias("gaps"),
+        F.sum("missing_steps").alias("missing_steps"),
+        F.max("missing_steps").alias("longest_gap"),
+        longest.alias("longest_gap_start"),
+    )
+
+
+def missing_times_by_group(
+    df: DataFrame, group_cols: Sequence[str] = ("building_id",), time_col: str = "timestamp", step: str = "1 hour", **options
+) -> DataFrame:
+    """Every missing time of a group, expanded from its gaps alone, without a join to the readings."""
+    gaps = gap_intervals(df, group_cols, time_col, step, **options)
+    return gaps.select(*group_cols, F.explode(F.expr(f"sequence(gap_start, gap_end, interval {step})")).alias(time_col))
+
+
 def quality_checks(
     df: DataFrame, expected_columns: Sequence[str], max_missing: float = 0.3, max_duplicates: float = 0.01
 ) -> DataFrame:

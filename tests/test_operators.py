@@ -311,6 +311,28 @@ def test_continuity(spark):
     assert quality.continuity(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("split", [False, True])
+def test_gap_intervals(spark, split):
+    def at(*minutes):
+        return [T0 + timedelta(minutes=m) for m in minutes]
+
+    times = {"a": at(0, 60, 60, 300, 330, 480), "b": at(0, 60), "c": at(30), None: at(0, 180), "d": [None]}
+    df = spark.createDataFrame([(b, t) for b, ts in times.items() for t in ts], "building_id string, timestamp timestamp_ntz")
+    gaps = windows.gap_intervals(df, split=split, limit=2)
+    assert sorted(map(tuple, gaps.collect()), key=str) == sorted(
+        [("a", *at(120, 240), 3), ("a", *at(390, 450), 2), (None, *at(60, 120), 2)], key=str
+    )
+    assert tuple(quality.gap_summary(df, split=split, limit=2).filter("building_id = 'a'").first()) == ("a", 2, 5, 3, *at(120))
+    spelled = quality.missing_times_by_group(df, split=split, limit=2)
+    assert sorted(r[1] for r in spelled.filter("building_id = 'a'").collect()) == at(120, 180, 240, 390, 450)
+    assert windows.gap_intervals(df.limit(0), split=False).count() == 0
+
+
+def test_a_long_gap_is_one_row(spark):
+    df = spark.createDataFrame([("a", datetime(1900, 1, 1)), ("a", datetime(2400, 1, 1))], "building_id string, timestamp timestamp_ntz")
+    assert windows.gap_intervals(df, step="1 minute").collect()[0][3] == (datetime(2400, 1, 1) - datetime(1900, 1, 1)) // timedelta(minutes=1) - 1
+
+
 def test_weighted_average(spark):
     df = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("b", 3, [5.0, 4.0])], "client string, n bigint, coefficients array<double>")
     assert average_models(df).first()[0] == [4.0, 3.0]
