@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .skew import first_per_key, lookup_join
+from .skew import lookup_join
 
 
 def _suffix_clashes(left: DataFrame, right: DataFrame, keys: Sequence[str], suffix: str) -> DataFrame:
@@ -31,14 +31,31 @@ def merge_all(readings: DataFrame, metadata: DataFrame, weather: DataFrame) -> D
     return attach_weather(attach_metadata(readings, metadata), weather)
 
 
-def meter_pairs(df: DataFrame) -> DataFrame:
-    """Readings of two meter types of one building at one time, types in alphabetical order.
+def meter_pairs(df: DataFrame, meters: Sequence[str] | None = None, max_types: int = 64) -> DataFrame:
+    """Readings of two meter types of one building at one time, types in ascending order.
 
-    The first row per (building, time, type) is used, so a repeated reading does not multiply the pairs.
+    The first row per (building, time, type) by ``ord`` and reading, NULL first, is used, so a repeated reading does not multiply the pairs. One shuffle by
+    (building, time), after each task has reduced its rows to one reading a type; the pairs come from these, without a
+    self join. Types are few and become columns: without ``meters`` they are listed first, and more than ``max_types``
+    are an error. Rows with a NULL building, time or type, or of other types, make no pair; a NULL reading does.
     """
-    order = ["ord"] if "ord" in df.columns else ["meter_reading"]
-    keys = ["building_id", "timestamp", "meter"]
-    one = first_per_key(df.select(*dict.fromkeys([*keys, "meter_reading", *order])), keys, order)
-    left = one.select("building_id", "timestamp", F.col("meter").alias("meter_1"), F.col("meter_reading").alias("reading_1"))
-    right = one.select("building_id", "timestamp", F.col("meter").alias("meter_2"), F.col("meter_reading").alias("reading_2"))
-    return left.join(right, ["building_id", "timestamp"]).filter(F.col("meter_1") < F.col("meter_2"))
+    order = ["ord", "meter_reading"] if "ord" in df.columns else ["meter_reading"]
+    rows = df.filter("building_id is not null and timestamp is not null and meter is not null")
+    if meters is None:
+        meters = [r[0] for r in rows.select("meter").distinct().limit(max_types + 1).collect()]
+    types = sorted(set(meters)) or [None]
+    if len(types) > max_types:
+        raise ValueError(f"more than {max_types} meter types")
+    kind = rows.schema["meter"].dataType
+
+    def first(kept) -> Column:
+        reading = F.struct(F.lit(kept).cast(kind).alias("meter"), F.col("meter_reading").alias("reading"))
+        return F.min_by(reading, F.when(F.col("meter") == F.lit(kept).cast(kind), F.struct(*order)))
+
+    per_hour = rows.groupBy("building_id", "timestamp").agg(F.array(*[first(m) for m in types]).alias("__readings"))
+    present = per_hour.withColumn("__readings", F.expr("filter(__readings, x -> x is not null)")).filter("size(__readings) > 1")
+    pairs = F.expr(
+        """flatten(transform(__readings, (x, i) -> transform(slice(__readings, i + 2, size(__readings)), y ->
+          struct(x.meter as meter_1, x.reading as reading_1, y.meter as meter_2, y.reading as reading_2))))"""
+    )
+    return present.select("building_id", "timestamp", F.inline(pairs))

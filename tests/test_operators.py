@@ -1,5 +1,6 @@
 """Small hand-computed cases per operator."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -11,7 +12,7 @@ from meterlake.functions.columns import clip, nan_to_null, pearson
 from meterlake.functions.physical import area_per_floor, building_age, parse_building_id, relative_humidity, tidy_category
 from meterlake.models.linear import average_models
 from meterlake.models.metrics import evaluate
-from meterlake.operators import cleaning, features, reshape, splits, windows
+from meterlake.operators import cleaning, features, joins, reshape, splits, windows
 from meterlake.reports import meter, quality, temporal
 from meterlake.schemas import MissingColumns, has_columns, numeric_columns
 
@@ -333,6 +334,28 @@ def test_a_long_gap_is_one_row(spark):
     assert windows.gap_intervals(df, step="1 minute").collect()[0][3] == (datetime(2400, 1, 1) - datetime(1900, 1, 1)) // timedelta(minutes=1) - 1
 
 
+def test_meter_pairs_in_one_shuffle(spark):
+    rng = random.Random(5)
+    rows = [
+        (rng.choice(["a", "b", None]), rng.randrange(4), rng.choice(["w", "x", "y", None]), rng.choice([1.0, 2.5, None]), i, "z")
+        for i in range(120)
+    ]
+    df = spark.createDataFrame(rows, "building_id string, timestamp int, meter string, meter_reading double, ord int, meter_1 string")
+    first = {}
+    for b, t, m, v, _, _ in rows:
+        if None not in (b, t, m):
+            first.setdefault((b, t, m), v)
+    want = [(b, t, m, v, n, first[b, t, n]) for (b, t, m), v in first.items() for n in "wxy" if m < n and (b, t, n) in first]
+    out = joins.meter_pairs(df)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str) and len(want) > 10
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert {(r[2], r[4]) for r in joins.meter_pairs(df, ["w", "y"]).collect()} == {("w", "y")}
+    assert joins.meter_pairs(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        joins.meter_pairs(df, max_types=2)
+
+
 def test_weighted_average(spark):
     df = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("b", 3, [5.0, 4.0])], "client string, n bigint, coefficients array<double>")
     assert average_models(df).first()[0] == [4.0, 3.0]
