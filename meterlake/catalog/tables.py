@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import nan_to_null
 from ..functions.physical import parse_building_id
@@ -32,6 +33,29 @@ def csv_weather_scan(spark, sf):
     return files.read_csv(spark, path, WEATHER, strict=False)
 
 
+def _spoilt(spark, sf):
+    """Events as a text table in which some values are no numbers and some user ids have a letter."""
+    path = scratch_path(spark, "spoilt")
+    e, n = views.table(spark, sf, "events"), F.col("event_id")
+    value = F.when(n % 23 == 0, F.concat(F.lit("n/a "), n)).when(n % 19 != 0, (n / 8).cast("string"))
+    user = F.when(n % 31 == 0, F.concat(F.lit("u"), "user_id")).otherwise(F.col("user_id").cast("string"))
+    files.write_csv(e.select("event_id", user.alias("user_id"), value.alias("value")), path)
+    kinds = {"event_id": T.LongType(), "user_id": T.LongType(), "value": T.DoubleType()}
+    return files.typed_cells(files.read_text_table(spark, path), kinds, ["event_id"])
+
+
+@register("typed_cells", """SELECT event_id::bigint AS event_id, CASE WHEN event_id % 31 <> 0 THEN user_id END::bigint AS user_id,
+  CASE WHEN event_id % 23 <> 0 AND event_id % 19 <> 0 THEN event_id / 8 END AS value FROM events""")
+def typed_cells(spark, sf):
+    return _spoilt(spark, sf)[0]
+
+
+@register("rejected_cells", """SELECT event_id::varchar AS row_id, 'value' AS "column", 'n/a ' || event_id AS text FROM events
+  WHERE event_id % 23 = 0 UNION ALL SELECT event_id::varchar, 'user_id', 'u' || user_id FROM events WHERE event_id % 31 = 0""")
+def rejected_cells(spark, sf):
+    return _spoilt(spark, sf)[1].withColumnRenamed("event_id", "row_id")
+
+
 @register("first_meter_file", sql("SELECT building_id, timestamp, meter, meter_reading, ord FROM readings"))
 def first_meter_file(spark, sf):
     folder = scratch_path(spark, "raw")

@@ -18,7 +18,8 @@ def nan_to_null(df: DataFrame, columns: Iterable[str] | None = None) -> DataFram
         for f in df.schema.fields
         if f.name in chosen and isinstance(f.dataType, (T.DoubleType, T.FloatType))
     }
-    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats}) if floats else df
+    present = {c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in floats}
+    return df.withColumns(present) if floats else df
 
 
 def at_least(column: Column, low) -> Column:

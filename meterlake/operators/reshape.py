@@ -33,9 +33,10 @@ def is_wide(df: DataFrame) -> bool:
 
 
 def _parses(df: DataFrame, column: str, sample: int) -> bool:
-    """Whether the first few values of a column are all timestamps."""
+    """Whether the first few values of a column are all timestamps, and not numbers that read as years."""
     head = df.select(F.col(column).cast("string").alias("t")).filter("t is not null").limit(sample)
-    seen = head.agg(F.count("*").alias("n"), F.count(F.expr("try_cast(t as timestamp_ntz)")).alias("ok")).first()
+    times = F.expr("if(try_cast(t as double) is null, try_cast(t as timestamp_ntz), null)")
+    seen = head.agg(F.count("*").alias("n"), F.count(times).alias("ok")).first()
     return seen["n"] > 0 and seen["n"] == seen["ok"]
 
 

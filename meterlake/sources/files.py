@@ -21,13 +21,36 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
         return nan_to_null(
             spark.read.option("header", True).option("inferSchema", True).option("nanValue", "nan").csv(path)
         )
-    text = spark.read.option("header", True).csv(path)
+    text = read_text_table(spark, path)
     has_columns(text, schema.fieldNames(), strict)
     present = [f for f in schema.fields if f.name in text.columns]
     typed = text.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in present])
     return nan_to_null(typed)
 
 
+def read_text_table(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV with all columns as text: only the header line is read before the table is used."""
+    return spark.read.option("header", True).csv(path)
+
+
+def typed_cells(
+    text: DataFrame, types: Mapping[str, T.DataType], keys: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """(typed, rejected) of a text table: the named columns with their types, and the cells that don't fit them.
+
+    A cell that is no value of its column's type is NULL in the first table and a row (keys, column, text) of the second,
+    with the keys as text. Empty cells and "nan" are missing, not rejected. Both come from one projection of the same scan.
+    """
+    parsed = {c: F.col(f"`{c}`").try_cast(t) for c, t in types.items()}
+    typed = nan_to_null(text.select(*[v.alias(c) for c, v in parsed.items()]))
+    bad = [
+        F.when(F.col(f"`{c}`").isNotNull() & v.isNull(), F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("text")))
+        for c, v in parsed.items()
+    ]
+    rejected = text.select(*keys, F.inline(F.filter(F.array(*bad), lambda cell: cell.isNotNull())))
+    return typed, rejected
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 

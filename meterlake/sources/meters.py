@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.reshape import first_buildings, parse_timestamps, timestamp_column, to_long
-from .files import read_csv, read_metadata, read_weather
+from .files import read_csv, read_metadata, read_text_table, read_weather, typed_cells
 
 METER_FILES = ("train.csv", "electricity.csv", "meter_readings.csv")
 METER_TYPES = ("electricity", "chilledwater", "hotwater", "steam")
@@ -44,11 +45,22 @@ def read_raw(spark: SparkSession, folder: str, strict: bool = True) -> tuple[Dat
     )
 
 
+def read_wide(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(readings, rejected cells) of a wide file whose columns beside the time are readings, so no type is inferred.
+
+    Rejected are (time column, column, text) of cells that are no number; they are NULL in the readings. The time stays text.
+    """
+    text = read_text_table(spark, path)
+    time_col = timestamp_column(text)
+    kinds = {c: T.StringType() if c == time_col else T.DoubleType() for c in text.columns}
+    return typed_cells(text, kinds, [time_col])
+
+
 def read_wide_long(
     spark: SparkSession, path: str, buildings: int | None = None, drop_missing: bool = False
 ) -> DataFrame:
     """One wide file as long readings; optionally the first few buildings, and only present readings."""
-    wide = read_csv(spark, path)
+    wide, _ = read_wide(spark, path)
     time_col = timestamp_column(wide)
     names = [c for c in wide.columns if c != time_col]
     chosen = names if buildings is None else first_buildings(names, buildings)
@@ -68,10 +80,10 @@ def read_meter_types(
         path = first_existing(spark, folder, [f"{meter}.txt", f"{meter}.csv"])
         if path is None:
             continue
-        wide = read_csv(spark, path)
-        if "timestamp" not in wide.columns or len(wide.columns) < 2:
+        columns = read_text_table(spark, path).columns
+        if "timestamp" not in columns or len(columns) < 2:
             continue
-        wide = parse_timestamps(wide)
+        wide = parse_timestamps(read_wide(spark, path)[0])
         if row_cap is not None:
             wide = wide.orderBy("timestamp").limit(row_cap)
         tables.append(to_long(wide).withColumn("meter", F.lit(meter)))

@@ -107,3 +107,19 @@ def test_provenance(spark, tmp_path):
     assert not provenance.inputs_complete(spark, str(folder))
     write(folder / "weather.csv", "site_id\n")
     assert provenance.inputs_complete(spark, str(folder))
+
+
+def test_wide_file_is_typed_from_its_header(spark, tmp_path):
+    path = str(tmp_path / "w.csv")
+    (tmp_path / "w.csv").write_text("timestamp,a.1,b\n2024-01-01 00:00:00,1.5,oops\n2024-01-01 01:00:00,nan,2\n2024-01-01 02:00:00,,-\n")
+    spark.sparkContext.setJobGroup("header", "reads before use")
+    wide, rejected = meters.read_wide(spark, path)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("header")) <= 1
+    assert [tuple(r)[1:] for r in wide.orderBy("timestamp").collect()] == [(1.5, None), (None, 2.0), (None, None)]
+    bad = sorted(map(tuple, rejected.collect()))
+    assert bad == [("2024-01-01 00:00:00", "b", "oops"), ("2024-01-01 02:00:00", "b", "-")]
+    assert meters.read_wide_long(spark, path, drop_missing=True).count() == 2
+    (tmp_path / "y.csv").write_text("a,b\n2016,1\n2017,2\n")
+    with pytest.raises(ValueError):
+        meters.read_wide(spark, str(tmp_path / "y.csv"))
