@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.llm import decontamination, jaccard, language, packing, quality
 from meterlake.llm.common import table
-from meterlake.session import scratch_path
+from meterlake.session import bound_batches, scratch_path
+
+
+def in_small_batches(stage: Callable) -> Callable:
+    """The stage with Python workers that hold a few megabytes of texts at once, as they live on from stage to stage."""
+
+    @wraps(stage)
+    def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return bounded
 
 
 def kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -15,16 +29,19 @@ def kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     return docs.join(decisions.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
 
 
+@in_small_batches
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; NULL and empty texts go."""
     return kept(docs, quality.classify(docs, table(spark, sf_dir, "labels")).where("accepted"))
 
 
+@in_small_batches
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a wide enough margin; texts without letters go."""
     return kept(docs, language.identify(docs, language.learn_dictionaries(docs)).where("accepted"))
 
 
+@in_small_batches
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id; unlinked documents stay.
 
@@ -33,12 +50,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return kept(docs, jaccard.near_groups(docs, n=5, percent=80).where("doc_id = component_id"))
 
 
+@in_small_batches
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a copy of a benchmark item."""
     hit = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
 
 
+@in_small_batches
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 1024 tokens."""
     pieces = packing.pack(docs)

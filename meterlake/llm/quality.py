@@ -130,29 +130,42 @@ def shard_number(lang, code, shards: int):
     return F.pmod(F.shiftright(mixed, 16), F.lit(shards)) if isinstance(mixed, Column) else (mixed >> 16) % shards
 
 
-def count_grams(texts: DataFrame) -> DataFrame:
-    """(key, c) of the longest n-grams of (lang, text) rows; each task adds up its own before the shuffle."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, back = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            return keys, np.bincount(back, weights=np.concatenate([h[1] for h in held])).astype(np.int64)
+def gram_counts(frames: Iterator[pd.DataFrame], at_once: int = 1 << 19) -> Iterator[pd.DataFrame]:
+    """(key, c) of the longest n-grams of one task's (lang, text) rows; a key may come again.
 
-        for frame in frames:
-            got = [keys_of(t, n)[-1] for t, n in zip(frame["text"], frame["lang"]) if t]
-            for at in range(0, len(got), 500):
-                held.append(np.unique(np.concatenate(got[at : at + 500]), return_counts=True))
-            if held:
-                held[:] = [merged()]
-                if len(held[0][0]) > 2_000_000:
+    About `at_once` n-grams and one text wait to be added up, and as many distinct ones are held, however many rows a frame has.
+    """
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting: list[np.ndarray] = []
+
+    def add() -> None:
+        held.append(np.unique(np.concatenate(waiting), return_counts=True))
+        waiting.clear()
+        keys, back = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        held[:] = [(keys, np.bincount(back, weights=np.concatenate([h[1] for h in held])).astype(np.int64))]
+
+    size = 0
+    for frame in frames:
+        for text, lang in zip(frame["text"], frame["lang"]):
+            if not text:
+                continue
+            waiting.append(keys_of(text, lang)[-1])
+            size += len(waiting[-1])
+            if size >= at_once:
+                add()
+                size = 0
+                if len(held[0][0]) > at_once:
                     yield pd.DataFrame({"key": held[0][0], "c": held[0][1]})
                     held.clear()
-        if held:
-            yield pd.DataFrame({"key": held[0][0], "c": held[0][1]})
+    if waiting:
+        add()
+    if held:
+        yield pd.DataFrame({"key": held[0][0], "c": held[0][1]})
+
 
-    return texts.mapInPandas(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+def count_grams(texts: DataFrame) -> DataFrame:
+    """(key, c) of the longest n-grams of (lang, text) rows; each task adds up its own before the shuffle."""
+    return texts.mapInPandas(gram_counts, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 def fit(texts: DataFrame, shard_rows: int = 1 << 20) -> Model | None:

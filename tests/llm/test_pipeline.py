@@ -2,7 +2,9 @@
 
 import __spark_entry__ as entry
 import corpus_pipeline
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import check
 from meterlake.llm import queries
@@ -53,3 +55,24 @@ def test_near_duplicate_stage_takes_five_words_and_four_fifths(spark, sf):
     rows = [(i, " ".join(w), "en", "x", 1) for i, w in enumerate([words, above, below])]
     kept = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, docs.select("doc_id", "text", "lang", "source", "n_chars").schema), sf)
     assert {r.doc_id for r in kept.collect()} == {0, 2}
+
+
+def test_stages_bring_few_megabytes_of_texts_to_a_worker_at_once(spark, sf):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"), F.lit("en").alias("lang"), F.lit("x").alias("source"), F.lit(1).alias("n_chars"))
+
+    def sizes(frames):
+        for frame in frames:
+            yield pd.DataFrame({"rows": [len(frame)], "size": [int(frame["text"].str.len().sum())]})
+
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(key)
+            stage(spark, docs.limit(20), sf)
+            got = docs.mapInPandas(sizes, "rows long, size long").toPandas()
+            assert got["rows"].sum() == 3000 and got["size"].max() <= (4 << 20) + 10_000
+        spark.conf.set(key, "1m")  # the session's own bound stays
+        corpus_pipeline.STAGES[-1][1](spark, docs.limit(20), sf)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)

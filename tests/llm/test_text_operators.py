@@ -1,9 +1,12 @@
 """Corpus operators on small hand-made tables: brute force, round trips, and the cases each docstring defines."""
 
 import random
+import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -426,6 +429,22 @@ def test_quality_model_loses_no_gram(spark):
         assert quality.perplexities(got, model).first().perplexity == pytest.approx(np.exp(-np.mean(want)), rel=1e-4)
 
 
+def test_quality_counts_grams_a_few_texts_at_a_time():
+    texts, langs = [prose(i, 300) for i in range(2000)], [i % 3 for i in range(2000)]
+    frame = pd.DataFrame({"text": [*texts, "", None], "lang": [*langs, 1, 1]})
+    want = Counter(np.concatenate([quality.keys_of(t, n)[-1] for t, n in zip(texts, langs)]).tolist())
+    for at_once, most in ((1 << 17, 16), (2_000, 8)):  # the second holds fewer n-grams than there are
+        got: Counter = Counter()
+        tracemalloc.start()
+        for part in quality.gram_counts(iter([frame.iloc[:1500], frame.iloc[:0], frame.iloc[1500:]]), at_once):
+            got.update(dict(zip(part["key"].tolist(), part["c"].tolist())))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got == want
+        assert peak < most << 20  # the n-grams of all texts of the first frame are 25 MB alone
+    assert not list(quality.gram_counts(iter([frame.iloc[2000:]])))
+
+
 def test_quality_of_scripts_beyond_latin(spark):
     # Cyrillic, Chinese and emoji: no two characters share codes, and probabilities follow the formulas.
     codes = quality.codes_of("".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])))
