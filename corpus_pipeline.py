@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.llm import decontamination, jaccard, language, packing, quality
-from meterlake.llm.common import table
+from meterlake.llm.common import rows_among, table
 from meterlake.session import bound_batches, scratch_path
 
 
@@ -47,7 +47,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Linked: a Jaccard similarity of at least 0.8 on shingles of five words.
     """
-    return kept(docs, jaccard.near_groups(docs, n=5, percent=80).where("doc_id = component_id"))
+    first = jaccard.near_groups(docs, n=5, percent=80).where("doc_id = component_id").select(F.col("doc_id").alias("id"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*docs.columns).alias("row"))
+    return rows_among(whole, first).select("row.*")
 
 
 @in_small_batches

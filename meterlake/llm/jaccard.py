@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.operators.skew import lookup_join
@@ -205,8 +205,57 @@ def whole_key(got: np.ndarray) -> int:
     return int(key.view(np.int64))
 
 
-def region_rows(docs: DataFrame, n: int, percent: int, many: int) -> DataFrame:
-    """(key, id, star): region keys of documents.
+def packed_regions(keys: np.ndarray, ids: np.ndarray, stars: np.ndarray, buckets: int) -> pd.DataFrame:
+    """(bucket, keys, ids, stars): one row for each bucket of keys, about 6 bytes a key.
+
+    The upper half of a key tells its bucket, and only its low 40 bits are sent. Two keys that differ above may so be taken
+    for one, which makes a region too large but loses no link. Ids go in ascending order as steps, in as few bytes as these need.
+    """
+    of = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    order = np.lexsort((ids, of))
+    of, ids, stars = of[order], ids[order], stars[order]
+    low = keys[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    out, begins = [], np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])[: len(of)])
+    for lo, hi in zip(begins.tolist(), [*begins[1:].tolist(), len(of)]):
+        part = ids[lo:hi].astype("<i8")
+        steps = np.diff(part.view("<u8"))
+        width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(steps) or int(steps.max()) >> (8 * w) == 0)
+        sent = bytes([width]) + part[:1].tobytes() + steps.astype(f"<u{width}").tobytes()
+        out.append((of[lo], low[lo:hi].tobytes(), sent, np.packbits(stars[lo:hi]).tobytes()))
+    return pd.DataFrame(out, columns=["bucket", "keys", "ids", "stars"])
+
+
+def unpacked_regions(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys (their low 40 bits), ids and stars of the rows of one bucket."""
+    raw = np.frombuffer(b"".join(frame["keys"]), dtype=np.uint8).reshape(-1, 5)
+    keys = np.zeros((len(raw), 8), dtype=np.uint8)
+    keys[:, :5] = raw
+    ids, stars = [], []
+    for sent, bits in zip(frame["ids"], frame["stars"]):
+        first, steps = np.frombuffer(sent[1:9], dtype="<u8"), np.frombuffer(sent[9:], dtype=f"<u{sent[0]}").astype(np.uint64)
+        ids.append(np.cumsum(np.concatenate([first, steps]), dtype=np.uint64).view(np.int64))
+        stars.append(np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=len(ids[-1])).astype(bool))
+    return keys.view("<u8").ravel(), np.concatenate(ids), np.concatenate(stars)
+
+
+def met_regions(frame: pd.DataFrame) -> pd.DataFrame:
+    """(key, id, low, n, star) of the bucket's keys that several rows have: smallest id, number of rows, whether any is a star."""
+    keys, ids, stars = unpacked_regions(frame)
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+    keys, ids, stars = keys[order], ids[order], stars[order]
+    order = np.lexsort((ids, keys))
+    keys, ids, stars = keys[order], ids[order], stars[order]
+    begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    sizes = np.diff(np.append(begins, len(keys)))
+    star = np.logical_or.reduceat(stars, begins) if len(begins) else stars
+    whole = keys.astype(np.int64) | np.int64(frame["bucket"].iloc[0]) << np.int64(40)
+    return pd.DataFrame({"key": whole, "id": ids, "low": np.repeat(ids[begins], sizes), "n": np.repeat(sizes, sizes), "star": np.repeat(star, sizes)})
+
+
+def region_rows(docs: DataFrame, n: int, percent: int, many: int, buckets: int) -> DataFrame:
+    """(bucket, keys, ids, stars): region keys of documents, packed by bucket.
 
     A key that more than `many` documents of a task have is sent with its smallest id alone, marked as a star; the
     others' edges to that id get keys of their own, so that no frequent key brings its documents together in one task.
@@ -230,10 +279,10 @@ def region_rows(docs: DataFrame, n: int, percent: int, many: int) -> DataFrame:
             own = mix64(mix64(edges[:, 0].astype(np.uint64)) + edges[:, 1].astype(np.uint64))
             sent = ~often | first
             keys, ids, held = [], [], 0
-            return pd.DataFrame({
-                "key": np.concatenate([k[sent], own, own]).view(np.int64), "id": np.concatenate([i[sent], edges[:, 0], edges[:, 1]]),
-                "star": np.concatenate([often[sent], np.ones(2 * len(edges), dtype=bool)]),
-            })
+            return packed_regions(
+                np.concatenate([k[sent], own, own]), np.concatenate([i[sent], edges[:, 0], edges[:, 1]]),
+                np.concatenate([often[sent], np.ones(2 * len(edges), dtype=bool)]), buckets,
+            )
 
         for frame in frames:
             for key, text in zip(frame["id"], frame["text"]):
@@ -248,19 +297,48 @@ def region_rows(docs: DataFrame, n: int, percent: int, many: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInPandas(run, "key long, id long, star boolean")
+    return docs.mapInPandas(run, "bucket int, keys binary, ids binary, stars binary")
+
+
+def key_buckets(total_shingles: int, percent: int, bucket_keys: int = 1 << 19) -> int:
+    """As many buckets as give each about `bucket_keys` region keys."""
+    keys_a_shingle = len(signatures(mix64(np.arange(1000, dtype=np.uint64)), percent)) / 1000
+    return min(max(1, -int(-total_shingles * keys_a_shingle // bucket_keys)), 1 << 23)
+
+
+def vector_groups(n: int) -> int:
+    """Coordinates of a set's count vector: a power of two with at most 8 elements each, so that the overlap of unrelated sets stays low."""
+    return int(np.clip(1 << max(0, -(-n // 8) - 1).bit_length(), 128, 1 << 14))
 
 
-def bounded_edges(rows: DataFrame, lists: DataFrame, n: int, percent: int, groups: int = 128) -> DataFrame:
+def packed_vector(hashes: np.ndarray) -> tuple[int, bytes]:
+    """Coordinates and their counts, a byte each or four where one is larger."""
+    groups = vector_groups(len(hashes))
+    v = count_vector(hashes, groups)
+    return groups, v.astype("<u1" if v.max() < 256 else "<i4").tobytes()
+
+
+def unpacked_vectors(groups: np.ndarray, packed: list[bytes]) -> np.ndarray:
+    """Count vectors as rows, folded to the fewest coordinates of any."""
+    least = int(groups.min())
+    if all(len(p) == least for p in packed):
+        return np.frombuffer(b"".join(packed), dtype="<u1").reshape(-1, least).astype(np.int32)
+    whole = (np.frombuffer(p, dtype="<u1" if len(p) == g else "<i4").astype(np.int32) for g, p in zip(groups.tolist(), packed))
+    return np.stack([v.reshape(-1, least).sum(axis=0, dtype=np.int32) for v in whole])
+
+
+def bounded_edges(rows: DataFrame, lists: DataFrame, n: int, percent: int) -> DataFrame:
     """(a, b) edges that connect, within each list of ids, the documents whose count vectors allow a link.
 
     The lists of a near-copy group mostly repeat each other. Those of one smallest id meet in a task, which sends only the
-    edges that connect what its earlier edges haven't: at most one for each document.
+    edges that connect what its earlier edges haven't: at most one for each document. Vectors grow with the sets, as with a fixed number
+    of coordinates all long texts would seem alike and their blocks would grow faster than the corpus.
     """
 
     def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"id": frame["id"], "v": [count_vector(shingles(t, n), groups).astype("<i4").tobytes() for t in frame["text"]]})
+            found = [packed_vector(shingles(t, n)) for t in frame["text"]]
+            yield pd.DataFrame({"id": frame["id"], "groups": [g for g, _ in found], "v": [v for _, v in found]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, forest = None, Forest()
@@ -279,17 +357,19 @@ def bounded_edges(rows: DataFrame, lists: DataFrame, n: int, percent: int, group
 
     def edges(frame: pd.DataFrame, forest: Forest) -> pd.DataFrame:
         regions, ids, out = frame["region"].to_numpy(), frame["id"].tolist(), []
-        points = np.frombuffer(b"".join(frame["v"]), dtype="<i4").reshape(len(ids), groups)
+        groups, packed = frame["groups"].to_numpy(), frame["v"].tolist()
         cuts = np.flatnonzero(np.diff(regions)) + 1
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
             roots = np.array([forest.root(x) for x in ids[lo:hi]])
-            pairs = ((ids[lo + x], ids[lo + y]) for x, y in connect(points[lo:hi], percent, label=roots))
+            if (roots == roots[0]).all():
+                continue
+            pairs = ((ids[lo + x], ids[lo + y]) for x, y in connect(unpacked_vectors(groups[lo:hi], packed[lo:hi]), percent, label=roots))
             out += [pair for pair in pairs if forest.join(*pair)]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     # A document has a bounded number of keys, so the lists with one smallest id are few.
     members = lists.select(F.xxhash64("ids").alias("region"), F.get("ids", F.lit(0)).alias("low"), F.explode("ids").alias("id"))
-    points = rows.where(maybe_among(members.select("id").distinct())).mapInPandas(vectors, "id long, v binary")
+    points = rows.where(maybe_among(members.select("id").distinct())).mapInPandas(vectors, "id long, groups int, v binary")
     # Lists have at most a few thousand ids; in order of region, a task holds one batch and one list.
     ordered = members.join(points, "id").repartition("low").sortWithinPartitions("low", "region")
     return ordered.mapInPandas(run, "a long, b long")
@@ -322,7 +402,8 @@ def near_groups(
     Two documents link when 100 * |intersection| >= percent * |union| of their distinct n-word shingles. No link is lost:
     0. Documents of equal sets are one node, their smallest id; only its text goes on.
     1. Tokens are hashed into more groups than linked sets can differ in, so linked sets agree on a whole group; its
-       content is the key of a region. A task sends a frequent key once, and its documents' edges to the smallest id.
+       content is the key of a region. A task sends a frequent key once, and its documents' edges to the smallest id. Keys
+       go packed by bucket, a bucket to a task, as there are many a document.
     2. In each region the sets' count vectors (tokens hashed into groups, one coordinate each) are the points of an
        R-tree, which bounds the overlap of pairs by summed coordinate minima. Documents that bounded pairs connect (or, in a
        frequent region, all) form a block. In a block the same tree finds the pairs, which are verified on the sets;
@@ -337,17 +418,17 @@ def near_groups(
     nameless = shingle_sets(whole.where("id is null").withColumn("id", F.lit(0).cast("long")), n)
     whole = whole.where("id is not null")
     sets = stored(shingle_sets(whole, n), "jaccard-sets")
-    first = cut_lineage(sets.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep")))
-    belongs = cut_lineage(lookup_join(sets.where("digest is not null").select("id", "digest"), first, ["digest"]).select("id", "rep").distinct())
+    first = cut_lineage(sets.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("size")))
+    belongs = lookup_join(sets.where("digest is not null").select("id", "digest"), first.select("digest", "rep"), ["digest"])
+    belongs = cut_lineage(belongs.select("id", "rep").distinct())
     # Rows of one id with different texts are one node.
     twice = belongs.groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b < most").select("id", "b")
     same = belongs.join(twice, "id").select(F.col("rep").alias("a"), "b").where("a <> b")
     rows = whole.where(maybe_among(first.select(F.col("rep").alias("id"))))
 
-    region = Window.partitionBy("key")
-    found = region_rows(rows, n, percent, many=32)
-    met = found.select("key", "id", F.min("id").over(region).alias("low"), F.count("*").over(region).alias("n"), F.max("star").over(region).alias("star"))
-    met = cut_lineage(met.where("n > 1"))
+    buckets = key_buckets(first.agg(F.sum("size")).first()[0] or 0, percent)
+    found = region_rows(rows, n, percent, many=32, buckets=buckets)
+    met = cut_lineage(found.groupBy("bucket").applyInPandas(met_regions, "key long, id long, low long, n long, star boolean"))
     stars = met.where("(star or n > 2000) and id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
     lists = met.where("not star and n <= 2000").groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1)
     lists = cut_lineage(lists.select("ids").distinct())

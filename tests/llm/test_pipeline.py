@@ -57,6 +57,16 @@ def test_near_duplicate_stage_takes_five_words_and_four_fifths(spark, sf):
     assert {r.doc_id for r in kept.collect()} == {0, 2}
 
 
+def test_near_duplicate_stage_shuffles_no_text_that_surely_stays(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("id", F.lit("own"))
+    null = docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))
+    left = corpus_pipeline.near_duplicate_stage(spark, docs.unionByName(docs.limit(5)).unionByName(null), sf)
+    plan = left._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union" and "Join" not in plan.children().apply(0).toString()
+    got = left.collect()
+    assert left.columns == docs.columns and {r.id for r in got} == {"own"} and len(got) == len({r.doc_id for r in got}) + 5
+
+
 def test_stages_bring_few_megabytes_of_texts_to_a_worker_at_once(spark, sf):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     docs = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"), F.lit("en").alias("lang"), F.lit("x").alias("source"), F.lit(1).alias("n_chars"))

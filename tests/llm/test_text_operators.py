@@ -252,6 +252,42 @@ def test_jaccard_groups_against_all_pairs(docs_of, task_shingles):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute_components(rows) and len(got) == len(rows)
 
 
+def test_region_keys_go_packed_and_meet_by_bucket():
+    pick = np.random.default_rng(5)
+    for ids in (np.sort(pick.integers(0, 2000, 100_000)), pick.permutation(np.repeat([-(2**63), -7, 0, 2**62, 2**63 - 1], 50))):
+        keys = pick.integers(0, 2**64, len(ids), dtype=np.uint64)
+        keys[: len(keys) // 2] = pick.choice(keys[:300], len(keys) // 2)
+        stars = pick.random(len(ids)) < 0.2
+        parts = [jaccard.packed_regions(keys[at::2], ids[at::2], stars[at::2], 7) for at in (0, 1)]
+        assert sum(len(x) for f in parts for c in ("keys", "ids", "stars") for x in f[c]) < 6.5 * len(ids) or len(ids) < 1000
+        met = pd.concat([jaccard.met_regions(f) for _, f in pd.concat(parts).groupby("bucket")])
+        groups = {}
+        for key, doc, star in zip(keys.tolist(), ids.tolist(), stars.tolist()):
+            groups.setdefault(key, []).append((doc, star))
+        want = [(d, min(g)[0], len(g), any(s for _, s in g)) for g in groups.values() if len(g) > 1 for d, _ in g]
+        assert sorted(zip(met["id"], met["low"], met["n"], met["star"])) == sorted(want)
+        assert met["key"].nunique() == sum(len(g) > 1 for g in groups.values())
+    assert len(jaccard.met_regions(jaccard.packed_regions(np.array([9], dtype=np.uint64), np.array([1]), np.array([True]), 1))) == 0
+
+
+def test_long_unrelated_texts_form_no_block(spark):
+    long = {k: " ".join(f"{k}w{i}" for i in range(5000)) for k in (1, 2)}
+    long[3] = long[1].replace("1w700 ", "other ").replace("1w2500 ", "")
+    long[4] = " ".join(long[1].split()[:4200])
+    rows = spark.createDataFrame(list(long.items()), "id long, text string")
+    for ids, want in (([1, 2], []), ([1, 3], [(1, 3)]), ([2, 3], []), ([1, 4], [(1, 4)]), ([1, 2, 3, 4], [(1, 3), (1, 4)])):
+        lists = spark.createDataFrame([(ids,)], "ids array<long>")
+        assert sorted(tuple(r) for r in jaccard.bounded_edges(rows, lists, 5, 80).collect()) == want
+    sets = [jaccard.shingles(t, 5) for t in (*long.values(), "a b c d e f g", "x " * 90_000)]
+    vectors = [jaccard.packed_vector(s) for s in sets]
+    for a, (ga, va) in zip(sets, vectors):
+        for b, (gb, vb) in zip(sets, vectors):
+            folded = jaccard.unpacked_vectors(np.array([ga, gb]), [va, vb])
+            assert (folded == [jaccard.count_vector(s, min(ga, gb)) for s in (a, b)]).all()
+    crowded = np.arange(300, dtype=np.uint64) * np.uint64(128)
+    assert (jaccard.unpacked_vectors(np.array([128]), [jaccard.packed_vector(crowded)[1]]).sum()) == 300
+
+
 def test_jaccard_empty(docs_of):
     assert jaccard.near_groups(docs_of((1, "a")).limit(0)).count() == 0
 
