@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import ntz_literal
 from ..operators.splits import split_time
 from ..session import scratch_path, shared_dir
+from .cells import fit_over_cells
 from .tuning import tune_over_folds
 
 # Stands for a missing feature value: below every real one, so trees can split it off.
@@ -56,8 +57,8 @@ def fit_boosted(
         found = split_time(train, 1.0 - validation_share, time_col).first()
         newest = F.coalesce(F.col(time_col) >= ntz_literal(None if found is None else found[0]), F.lit(False))
         rows, held = rows.filter(~newest), rows.filter(newest)
-    stages = [VectorAssembler(inputCols=list(features), outputCol="features"), default_trees(target, **params)]
-    model = Pipeline(stages=stages).fit(rows)
+    assembler, trees = VectorAssembler(inputCols=list(features), outputCol="features"), default_trees(target, **params)
+    model = fit_over_cells(assembler, trees, rows) or Pipeline(stages=[assembler, trees]).fit(rows)
     if held is None or held.isEmpty():
         return model
     return first_trees(model, best_stage(stage_errors(model, held), patience))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meterlake.models import additive, boosted, linear, regimes
+from meterlake.models import additive, boosted, cells, linear, regimes
 from meterlake.models.metrics import evaluate
 from meterlake.operators.splits import time_folds, time_split
 
@@ -209,3 +209,44 @@ def test_gains_of_one_stump_are_its_loss_of_squared_error(spark):
     y = np.array([10.0 * (i % 2) + i % 3 for i in range(60)])
     loss = ((y - y.mean()) ** 2).sum() - sum(((y[k::2] - y[k::2].mean()) ** 2).sum() for k in (0, 1))
     assert got["a"] == (pytest.approx(loss), 1) and got["b"] == (0.0, 0)
+
+
+def _noisy(spark, count=6000):
+    rows = spark.range(0, count, 1, 3).select("id", F.rand(1).alias("a"), F.floor(F.rand(2) * 9).cast("double").alias("b"), F.randn(3).alias("c"), F.randn(4).alias("d"))
+    value = F.sin(F.col("a") * 6) * 100 + F.col("b") ** 2 + F.when(F.col("c") > 0, F.col("d") * 9).otherwise(0) + F.randn(5)
+    return rows.withColumn("meter_reading", value).withColumn("c", F.when(F.col("id") % 11 > 0, F.col("c")))
+
+
+@pytest.mark.parametrize(
+    "params",
+    [{"maxIter": 5}, {"maxIter": 3, "featureSubsetStrategy": "0.5", "maxBins": 9, "minInstancesPerNode": 50, "maxDepth": 6}, {"maxIter": 3, "subsamplingRate": 1.0, "maxBins": 8}],
+)
+def test_trees_over_cells_are_the_librarys(spark, monkeypatch, params):
+    rows, names = _noisy(spark), ["a", "b", "c", "d"]
+    found = []
+    for most in (cells.MOST_CELLS, 3):
+        monkeypatch.setattr(cells, "MOST_CELLS", most)
+        model = boosted.fit_boosted(rows, names, validation_share=None, **params)
+        nodes = boosted.node_table(model, spark).orderBy("tree", "node").collect()
+        scores = [r.prediction for r in boosted.predict_boosted(model, rows, names).orderBy("id").collect()]
+        found.append(([tuple(r)[:5] for r in nodes], [r.gain for r in nodes], scores))
+    assert found[0][0] == found[1][0] and len(found[0][0]) > 40
+    assert found[0][1] == pytest.approx(found[1][1]) and found[0][2] == pytest.approx(found[1][2])
+
+
+def test_rows_are_read_a_few_times_for_any_number_of_trees(spark):
+    rows, context = _noisy(spark, 2000), spark.sparkContext
+    jobs = []
+    for count in (2, 30):
+        context.setJobGroup(f"trees-{count}", "trees")
+        model = boosted.fit_boosted(rows, ["a", "b"], validation_share=None, maxIter=count)
+        assert model.stages[-1].getNumTrees == count
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(f"trees-{count}")))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] <= 15
+
+
+def test_features_that_are_no_number_are_refused(spark):
+    rows = spark.createDataFrame([(1.0, 2.0), (float("nan"), 3.0)], "a double, meter_reading double")
+    with pytest.raises(Exception, match="NaN"):
+        boosted.fit_boosted(rows, ["a"], validation_share=None, maxIter=1)
