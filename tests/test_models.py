@@ -250,3 +250,22 @@ def test_features_that_are_no_number_are_refused(spark):
     rows = spark.createDataFrame([(1.0, 2.0), (float("nan"), 3.0)], "a double, meter_reading double")
     with pytest.raises(Exception, match="NaN"):
         boosted.fit_boosted(rows, ["a"], validation_share=None, maxIter=1)
+
+
+@pytest.mark.parametrize("name", ["scored_models", "tree_importances"])
+def test_tree_queries_read_their_rows_a_few_times(spark, tmp_path, name):
+    import __spark_entry__ as entry
+
+    number = F.col("id")
+    spark.range(0, 1500, 1, 2).select(
+        F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(int(id % 300))").alias("l_shipdate"), (number % 7).alias("l_suppkey"), number.alias("l_orderkey"),
+        F.lit(1).alias("l_linenumber"), F.floor(F.rand(1) * 50).cast("double").alias("l_quantity"), F.round(F.rand(2) / 10, 2).alias("l_discount"),
+        F.round(F.rand(3) / 12, 2).alias("l_tax"), (F.rand(4) * 1000 + number % 50).alias("l_extendedprice"),
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    context = spark.sparkContext
+    context.setJobGroup(f"query-{name}", name)
+    rows = entry.queries()[name](spark, str(tmp_path)).collect()
+    jobs = len(context.statusTracker().getJobIdsForGroup(f"query-{name}"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(rows) == (5 if name == "tree_importances" else 300)
+    assert jobs < 200, "a hundred trees of five levels took several hundred"
